@@ -84,8 +84,11 @@ def _fill_shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.R
              pa.array(count[live]), pa.array(np.where(seen, "observed", "interpolated")), pa.array(distance)], names=names)
 
 
-def regular_series(readings: DataFrame, steps: DataFrame, *, source: str, day: Column, value: Column, step: str = "grid_step", shard: int = SHARD) -> DataFrame:
-    """source, period_start (date), value, n_readings, state (observed, interpolated), distance (periods to the nearest observation)."""
+def regular_series(readings: DataFrame, steps: DataFrame, *, source: str, day: Column, value: Column, step: str = "grid_step", shard: int = SHARD, decimals: int | None = None) -> DataFrame:
+    """source, period_start (date), value, n_readings, state (observed, interpolated), distance (periods to the nearest observation).
+
+    ``decimals`` rounds the sum of a period's readings, so that the order in which they are added doesn't show.
+    """
     v = value.cast("double")
     per_day = (
         readings.select(F.col(source).alias("source"), day.alias("day"), F.when(~F.isnan(v), v).alias("v"))
@@ -101,7 +104,7 @@ def regular_series(readings: DataFrame, steps: DataFrame, *, source: str, day: C
         .withColumn("shard", F.floor(F.col("period") / shard))
     )
     # All days of one source and period are in one partition already, so this adds no shuffle of rows with other keys.
-    summed = placed.groupBy("source", "step", "shard", "period").agg((F.sum("s") / F.sum("c")).alias("value"), F.sum("c").alias("c"))
+    summed = placed.groupBy("source", "step", "shard", "period").agg(((F.sum("s") if decimals is None else F.round(F.sum("s"), decimals)) / F.sum("c")).alias("value"), F.sum("c").alias("c"))
     shards = summed.groupBy("source", "step", "shard").agg(
         F.sort_array(F.collect_list(F.struct("period", "value", "c"))).alias("x")
     )

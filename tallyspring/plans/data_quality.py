@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspring.operators import records, regular_grid, rolling
+from tallyspring.operators import fill, records, regular_grid, rolling, spikes
 from tallyspring.session import table
 
 
@@ -16,6 +16,52 @@ def reading_day() -> F.Column:
     return F.coalesce(F.to_date("read_at"), F.expr("try_to_date(substr(trim(date), 1, 10), 'yyyy-MM-dd')"))
 
 
+def _panels(spark: SparkSession, folder: str) -> list[fill.Panel]:
+    return [
+        fill.Panel("accounts", table(spark, folder, "accounts"), "row_id", "period_key", "value", ["account_key", "product_key"], {"plant_key": "product_key", "product_group": "product_key"}),
+        fill.Panel("drivers", table(spark, folder, "drivers"), "row_id", "date", "driver_value", ["driver_unique_name"], {"driver_classification": "driver_unique_name"}, period_may_miss=False),
+    ]
+
+
+def _limits(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """Rows with floor_value and ceiling_value of their driver's unit. Both sides are files, so Spark knows their sizes."""
+    catalog = table(spark, folder, "driver_catalog").select(F.col("driver_unique_name").alias("_driver"), "unit_code")
+    units = table(spark, folder, "driver_units").select(F.col("unit_code").alias("_unit"), "floor_value", "ceiling_value")
+    return rows.join(catalog, F.col("driver_unique_name") == F.col("_driver"), "left").join(units, F.col("unit_code") == F.col("_unit"), "left")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    panels = _panels(spark, folder)
+    accounts, drivers = fill.flagged(panels)
+    readings = table(spark, folder, "driver_readings").select("reading_id", "driver_unique_name", "read_at", "driver_value")
+    drivers = drivers.where("NOT no_driver_value").select("row_id", "driver_unique_name", "_m", F.col("driver_value") * F.coalesce(F.when(~F.isnan("denorm"), F.col("denorm")), F.lit(1.0)))
+    drivers = drivers.toDF("row_id", "driver_unique_name", "month", "measured")
+    accounts = accounts.where("NOT no_value")
+    limits = {"floor": F.col("floor_value"), "ceiling": F.col("ceiling_value")}
+    return spikes.implausible([
+        spikes.Measured("driver_readings", _limits(spark, folder, readings), "reading_id", [F.col("driver_unique_name")], F.col("read_at"), F.col("driver_value"), spikes.IRREGULAR, **limits),
+        spikes.Measured("drivers", _limits(spark, folder, drivers), "row_id", [F.col("driver_unique_name")], F.col("month"), F.col("measured"), spikes.MONTHLY, **limits),
+        spikes.Measured("accounts", accounts, "row_id", [F.col("account_key"), F.col("product_key")], F.col("_m"), F.col("value"), spikes.MONTHLY),
+    ])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return fill.missing_entries(_panels(spark, folder))
+
+
+def _p4_filled(spark: SparkSession, folder: str, which: int) -> DataFrame:
+    panels = _panels(spark, folder)
+    return fill.filled(panels[which], fill.flagged(panels)[which])
+
+
+def p4_accounts_filled(spark: SparkSession, folder: str) -> DataFrame:
+    return _p4_filled(spark, folder, 0)
+
+
+def p4_drivers_filled(spark: SparkSession, folder: str) -> DataFrame:
+    return _p4_filled(spark, folder, 1)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return records.rejected(table(spark, folder, "driver_lines_raw"), ["line_id"])
 
@@ -30,7 +76,7 @@ def p3_trailing(spark: SparkSession, folder: str) -> DataFrame:
 
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
     return regular_grid.regular_series(
-        table(spark, folder, "driver_readings"), table(spark, folder, "driver_catalog"), source="driver_unique_name", day=reading_day(), value=F.col("driver_value")
+        table(spark, folder, "driver_readings"), table(spark, folder, "driver_catalog"), source="driver_unique_name", day=reading_day(), value=F.col("driver_value"), decimals=6
     )
 
 
@@ -39,14 +85,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_series(spark: SparkSession, folder: str) -> DataFrame:
-    out = _grid(spark, folder)
-    return out.withColumn("value", F.round("value", 4))
+    return _grid(spark, folder)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_loaded": p2_loaded,
     "p3_trailing": p3_trailing,
+    "p4_found": p4_found,
+    "p4_accounts_filled": p4_accounts_filled,
+    "p4_drivers_filled": p4_drivers_filled,
     "p5_found": p5_found,
     "p5_series": p5_series,
 }
@@ -92,7 +141,7 @@ o AS (
   SELECT u.n, grid_step, v, CAST(CASE grid_step WHEN 'week' THEN date_trunc('week', d) WHEN 'month' THEN date_trunc('month', d) ELSE d END AS DATE) AS p
   FROM u JOIN driver_catalog c ON u.n = c.driver_unique_name
   WHERE v IS NOT NULL AND NOT (grid_step = 'weekday' AND isodow(d) > 5)),
-s AS (SELECT n, grid_step, p, avg(v) AS value, count(*) AS n_readings FROM o GROUP BY ALL),
+s AS (SELECT n, grid_step, p, round(sum(v), 6) / count(*) AS value, count(*) AS n_readings FROM o GROUP BY ALL),
 b AS (SELECT n, grid_step, min(p) AS lo, max(p) AS hi FROM s GROUP BY ALL),
 g AS (
   SELECT n, grid_step, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP),
@@ -124,7 +173,7 @@ SELECT n AS driver_unique_name, d AS day, t7 AS total_7, CASE WHEN n7 > 0 THEN t
 l AS (
   SELECT *, max(seen_i) OVER (PARTITION BY n ORDER BY i) AS li, min(seen_i) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ri FROM j)
 SELECT l.n AS driver_unique_name, l.p AS period_start,
-  round(CASE WHEN l.value IS NOT NULL THEN l.value ELSE a.value + (z.value - a.value) * (l.i - li) / (ri - li) END, 4) AS value,
+  CASE WHEN l.value IS NOT NULL THEN l.value ELSE a.value + (z.value - a.value) * (l.i - li) / (ri - li) END AS value,
   CAST(coalesce(l.n_readings, 0) AS BIGINT) AS n_readings, CASE WHEN l.value IS NULL THEN 'interpolated' ELSE 'observed' END AS state,
   CAST(least(l.i - li, ri - l.i) AS BIGINT) AS distance
 FROM l JOIN j a ON a.n = l.n AND a.i = li JOIN j z ON z.n = l.n AND z.i = ri""",
