@@ -112,33 +112,51 @@ class Model:
         return [s for s, m in zip(self.subjects, mass) if m >= SHARE * mass.sum() and (m >= 1.5 or m >= 0.8 * mass.max())]
 
 
-def fit(samples: list[tuple[list[str], list[int], list[str]]], subjects: list[str], leaves: int = LEAVES, most_words: int = WORDS, rounds: int = 12) -> Model:
-    """``samples``: per document its words, how often each occurs, and its labels."""
+@dataclass
+class Sample:
+    """Documents' words in flat arrays: entry i says that ``words[word[i]]`` occurs ``times[i]`` times in document ``doc[i]``."""
+
+    words: list[str]
+    doc: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+    labels: list[list[str]]
+
+    @staticmethod
+    def of(documents: list[tuple[str, list[str]]]) -> Sample:
+        """Of texts with their labels."""
+        counted = [(Counter(words(t)), y) for t, y in documents]
+        names = sorted({w for c, _ in counted for w in c})
+        at = {w: i for i, w in enumerate(names)}
+        flat = [(d, at[w], n) for d, (c, _) in enumerate(counted) for w, n in c.items()]
+        doc, word, times = (np.array(v, np.int64) for v in zip(*flat)) if flat else (np.zeros(0, np.int64),) * 3
+        return Sample(names, doc, word, times, [y for _, y in counted])
+
+
+def fit(sample: Sample, subjects: list[str], leaves: int = LEAVES, most_words: int = WORDS, rounds: int = 12) -> Model:
     at = {s: i for i, s in enumerate(subjects)}
-    samples = [(w, n, [at[x] for x in set(y) if x in at]) for w, n, y in samples]
-    samples = [x for x in samples if x[2] and x[0]]
-    df = Counter(w for ws, _, _ in samples for w in ws if len(w) > 2 or not w.isascii())
-    enough = 2 if len(samples) >= 200 else 1
-    vocabulary = [w for w, n in df.most_common() if n >= enough][:most_words]
-    known = {w: i for i, w in enumerate(vocabulary)}
-    if not vocabulary:
+    labels = np.zeros((len(sample.labels), len(subjects)))
+    for d, ys in enumerate(sample.labels):
+        own = [at[y] for y in set(ys) if y in at]
+        labels[d, own] = 1 / max(len(own), 1)
+    counted = np.bincount(sample.word, minlength=len(sample.words))
+    enough = 2 if len(labels) >= 200 else 1
+    fair = np.array([n >= enough and (len(w) > 2 or not w.isascii()) for w, n in zip(sample.words, counted)], bool)
+    taken = np.flatnonzero(fair)
+    taken = taken[np.argsort(-counted[taken], kind="stable")][:most_words]
+    if not len(taken) or not labels.any():
         return Model(subjects, {}, np.zeros((0, len(subjects))), [], [])
-    doc, word, times = [], [], []
-    for d, (ws, ns, _) in enumerate(samples):
-        for w, n in zip(ws, ns):
-            j = known.get(w)
-            if j is not None:
-                doc.append(d)
-                word.append(j)
-                times.append(min(n, 8))
-    doc, word, times = np.array(doc), np.array(word), np.array(times, float)
-    labels = np.zeros((len(samples), len(subjects)))
-    for d, (_, _, ys) in enumerate(samples):
-        labels[d, ys] = 1 / len(ys)
+    place = np.full(len(sample.words), -1)
+    place[taken] = np.arange(len(taken))
+    inside = (place[sample.word] >= 0) & labels.any(axis=1)[sample.doc]
+    doc, word, times = sample.doc[inside], place[sample.word[inside]], np.minimum(sample.times[inside], 8).astype(np.float32)
+    vocabulary, df = [sample.words[i] for i in taken], counted[taken]
+    n_docs = len(labels)
     # words that say something about the subject weigh in the vectors: how far their labels are from the usual mix
     usual = labels.mean(axis=0) + 1e-9
     mix = np.zeros((len(vocabulary), len(subjects)))
-    np.add.at(mix, word, labels[doc])
+    for c in range(len(subjects)):
+        mix[:, c] = np.bincount(word, labels[doc, c], len(vocabulary))
     n_w = mix.sum(axis=1, keepdims=True)
     p = (mix + 2 * usual) / (n_w + 2)
     tells = (p * np.log(p / usual)).sum(axis=1)
@@ -149,10 +167,10 @@ def fit(samples: list[tuple[list[str], list[int], list[str]]], subjects: list[st
     place = np.full(len(vocabulary), -1)
     place[dims] = np.arange(len(dims))
     use = place[word] >= 0
-    x = np.zeros((len(samples), len(dims)), np.float32)
+    x = np.zeros((n_docs, len(dims)), np.float32)
     np.add.at(x, (doc[use], place[word[use]]), (np.sqrt(times) * tells[word])[use])
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    leaf = bisecting_kmeans(x, leaves, least=max(3, len(samples) // 400))
+    leaf = bisecting_kmeans(x, leaves, least=max(3, n_docs // 400))
     k = int(leaf.max()) + 1
     by_leaf = np.zeros((k, len(subjects)))
     np.add.at(by_leaf, leaf, labels)
@@ -164,20 +182,22 @@ def fit(samples: list[tuple[list[str], list[int], list[str]]], subjects: list[st
             named, sure, k = np.append(named, s), np.append(sure, False), k + 1
     allowed = labels[:, named] > 0
     allowed |= (named[None, :] == named[leaf][:, None]) & sure[leaf][:, None]
-    allowed = np.hstack([allowed, np.ones((len(samples), 1), bool)]).astype(float)
+    allowed = np.hstack([allowed, np.ones((n_docs, 1), bool)]).astype(np.float32)
     # start: a document's words belong to its own leaf, to the leaves of its labels, and to the common language
     theta = allowed * 0.2
-    own = allowed[np.arange(len(samples)), leaf] > 0
+    own = allowed[np.arange(n_docs), leaf] > 0
     theta[np.flatnonzero(own), leaf[own]] += 1
     theta[:, -1] = 1
     theta /= theta.sum(axis=1, keepdims=True)
-    w = np.full((len(vocabulary), k + 1), 0.01)
-    np.add.at(w, word, times[:, None] * theta[doc])
+    w = np.full((len(vocabulary), k + 1), 0.01, np.float32)
+    for a in range(0, len(doc), 50_000):
+        part = slice(a, a + 50_000)
+        np.add.at(w, word[part], times[part, None] * theta[doc[part]])
     w /= w.sum(axis=0)
     for _ in range(rounds):
         new_w, new_t = np.full_like(w, 0.005), np.full_like(theta, 0.01)
-        for a in range(0, len(doc), 200_000):
-            d, j, n = doc[a : a + 200_000], word[a : a + 200_000], times[a : a + 200_000]
+        for a in range(0, len(doc), 50_000):
+            d, j, n = doc[a : a + 50_000], word[a : a + 50_000], times[a : a + 50_000]
             part = w[j] * theta[d]
             part *= (n / np.maximum(part.sum(axis=1), 1e-300))[:, None]
             np.add.at(new_w, j, part)
@@ -191,7 +211,7 @@ def fit(samples: list[tuple[list[str], list[int], list[str]]], subjects: list[st
         per[:, named[c]] += new_w[:, c]
     every = new_w.sum(axis=1)
     # a word seen in few documents is trusted less
-    trust = np.array([df[v] / (df[v] + 1) for v in vocabulary])
+    trust = df / (df + 1)
     speaks, top = trust * per.sum(axis=1) / every, trust * per.max(axis=1) / every
     keep = np.flatnonzero((speaks >= SPEAKS) & (top >= SPEAKS))
     shares = per[keep] / per[keep].sum(axis=1, keepdims=True)
@@ -202,19 +222,28 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         counted = [Counter(words(t)) if t else Counter() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), b.column("labels")],
-            names=["words", "times", "labels"],
+            [b.column("k"), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), b.column("labels")],
+            names=["k", "words", "times", "labels"],
         )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, subject: str, most: int = FIT_DOCS) -> list[tuple]:
-    """Words, their counts and labels of at most ``most`` labelled documents, in a random but fixed order."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, subject: str, most: int = FIT_DOCS) -> Sample:
+    """Words, their counts and labels of at most ``most`` labelled documents, chosen at random but always alike."""
     named = labels.where(F.col(subject).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_set(subject)).alias("labels"))
     few = named.orderBy(F.xxhash64("_k"), "_k").limit(most)
     # bounded by ``most`` ids and their labels
-    joined = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(few), F.col(key) == F.col("_k")).select("text", "labels")
-    rows = joined.mapInArrow(_count_batches, "words array<string>, times array<int>, labels array<string>").collect()
-    return sorted((r.words, r.times, r.labels) for r in rows)
+    joined = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(few), F.col(key) == F.col("_k")).select(F.col("_k").cast("string").alias("k"), "text", "labels")
+    got = joined.mapInArrow(_count_batches, "k string, words array<string>, times array<int>, labels array<string>").toArrow().sort_by("k").combine_chunks()
+    listed = got.column("words").combine_chunks()
+    coded = listed.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+    names = coded.dictionary.to_pylist()
+    # the order of the words shall not depend on that of the rows
+    order = np.argsort(np.array(names, object), kind="stable") if names else np.zeros(0, np.int64)
+    rank = np.zeros(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    times = got.column("times").combine_chunks().flatten().to_numpy()
+    return Sample([names[i] for i in order], doc, rank[coded.indices.to_numpy()], times, got.column("labels").to_pylist())
 
 
 def _assign_batches(batches: Iterator[pa.RecordBatch], model: Model, key: str) -> Iterator[pa.RecordBatch]:
