@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspring.plans import data_quality
+from tallyspring.plans import data_quality, driver_analysis
 
-_MODULES = (data_quality,)
+_MODULES = (driver_analysis, data_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return data_quality.p5_series(spark, folder)
+    return driver_analysis.flagship(spark, folder)
