@@ -120,8 +120,16 @@ def _series(p: Panel) -> Column:
     return F.to_json(F.array(*[F.col(c).cast("string") for c in p.series]))
 
 
-def flagged(panels: list[Panel]) -> list[DataFrame]:
-    """Each panel's rows with a flag ``no_<field>`` per field, and ``_m``, the month (null where missing)."""
+def _own(p: Panel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The panel's own columns, so that others can't clash with what is made here."""
+    return p.rows.select(*dict.fromkeys([p.row_id, p.period, p.value, *p.series, *p.categories, *p.categories.values(), *keep]))
+
+
+def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
+    """Each panel's rows with a flag ``no_<field>`` per field, and ``_m``, the month (null where missing).
+
+    Of other columns only those in ``keep`` stay, where a panel has them.
+    """
     values = [p.rows.select(F.concat(F.lit(p.name), _series(p)).alias("series"), F.col(p.value).cast("double").alias("v")) for p in panels]
     entries = [
         p.rows.select(F.lit(f"{p.name}.{c}").alias("field"), F.col(g).cast("string").alias("grp"), F.col(c).cast("string").alias("w"))
@@ -139,7 +147,7 @@ def flagged(panels: list[Panel]) -> list[DataFrame]:
         month = month_of(F.col(p.period))
         lo, hi = span_of_months(p.rows, month)
         v = F.col(p.value).cast("double")
-        df = matches(p.rows, v, fillers, "filler", "_filler")
+        df = matches(_own(p, tuple(c for c in keep if c in p.rows.columns)), v, fillers, "filler", "_filler")
         real_month = F.coalesce(month.between(F.lit(lo), F.lit(hi)), F.lit(False)) if lo is not None else F.lit(False)
         flags = {f"no_{p.value}": v.isNull() | F.isnan(v) | F.col("_filler"), "_m": F.when(real_month, month)}
         if p.period_may_miss:

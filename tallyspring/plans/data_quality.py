@@ -32,7 +32,7 @@ def _limits(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     panels = _panels(spark, folder)
-    accounts, drivers = fill.flagged(panels)
+    accounts, drivers = fill.flagged(panels, keep=("denorm",))
     readings = table(spark, folder, "driver_readings").select("reading_id", "driver_unique_name", "read_at", "driver_value")
     drivers = drivers.where("NOT no_driver_value").select("row_id", "driver_unique_name", "_m", F.col("driver_value") * F.coalesce(F.when(~F.isnan("denorm"), F.col("denorm")), F.lit(1.0)))
     drivers = drivers.toDF("row_id", "driver_unique_name", "month", "measured")
@@ -167,6 +167,15 @@ w AS (
   WINDOW a AS (PARTITION BY n ORDER BY d ROWS 6 PRECEDING), b AS (PARTITION BY n ORDER BY d ROWS 29 PRECEDING))
 SELECT n AS driver_unique_name, d AS day, t7 AS total_7, CASE WHEN n7 > 0 THEN t7 / n7 END AS average_7, CAST(n7 AS BIGINT) AS n_7,
   t30 AS total_30, CASE WHEN n30 > 0 THEN t30 / n30 END AS average_30, CAST(n30 AS BIGINT) AS n_30 FROM w""",
+    "p4_found": """
+WITH words AS (SELECT unnest(['', '-', '--', '?', '??', '#n/a', 'k.a.', 'n/a', 'none', 'not set', 'null', 'tbc', 'tbd', 'unknown']) AS w),
+e AS (
+  SELECT 'accounts' AS table_name, row_id, unnest(['plant_key', 'product_group']) AS field_name, unnest([plant_key, product_group]) AS x FROM accounts
+  UNION ALL SELECT 'drivers', row_id, 'driver_classification', driver_classification FROM drivers),
+v AS (SELECT 'accounts' AS table_name, row_id, 'value' AS field_name, value AS x FROM accounts UNION ALL SELECT 'drivers', row_id, 'driver_value', driver_value FROM drivers)
+SELECT * EXCLUDE x FROM e WHERE x IS NULL OR trim(lower(x)) IN (SELECT w FROM words)
+UNION ALL SELECT * EXCLUDE x FROM v WHERE x IS NULL OR isnan(x) OR x IN (-999, -9999, -1e30, 99999.99, 999999)
+UNION ALL SELECT 'accounts', row_id, 'period_key' FROM accounts WHERE try_cast(period_key AS DATE) IS NULL OR try_cast(period_key AS DATE) NOT BETWEEN DATE '2017-01-01' AND DATE '2023-12-01'""",
     "p5_found": _PERIODS + "SELECT n AS driver_unique_name, strftime(p, '%Y-%m-%d') AS period_start FROM j WHERE value IS NULL",
     "p5_series": _PERIODS
     + """,

@@ -277,7 +277,7 @@ def mutual_information(spark, folder):
 @_query(
     _PANEL
     + """, f AS (SELECT a.account, a.month, b.value AS m, a.value AS t FROM acc a JOIN acc b ON a.account = b.account AND b.month = CAST(a.month - INTERVAL 12 MONTH AS DATE))
-SELECT account, round(sum(abs(t - m)), 3) AS l1, round(sqrt(sum(pow(t - m, 2))), 3) AS l2, round(avg(pow(t - m, 2)), 2) AS mse, round(sqrt(avg(pow(t - m, 2))), 4) AS rmse, round(avg(pow((t - m) / t, 2)) * 100, 6) AS mse_pct,
+SELECT account, round(sum(abs(t - m)), 3) AS l1, round(sqrt(sum(pow(t - m, 2))), 3) AS l2, round(avg(pow(t - m, 2)), -3) AS mse, round(sqrt(avg(pow(t - m, 2))), 2) AS rmse, round(avg(pow((t - m) / t, 2)) * 100, 6) AS mse_pct,
   round(sqrt(avg(pow((t - m) / t, 2))) * 100, 6) AS rmse_pct, round(avg(abs((t - m) / t)), 8) AS mape, round(1 - sum(pow(t - m, 2)) / (var_pop(t) * count(*)), 6) AS r2 FROM f GROUP BY account"""
 )
 def error_metrics(spark, folder):
@@ -285,7 +285,7 @@ def error_metrics(spark, folder):
     f = panel.shift(a, F.lit(12)).select("account", "month", F.col("value").alias("m")).join(a.withColumnRenamed("value", "t"), ["account", "month"])
     m, t = F.col("m"), F.col("t")
     return f.groupBy("account").agg(
-        F.round(E.l1(t - m), 3).alias("l1"), F.round(E.l2(t - m), 3).alias("l2"), F.round(E.mse(m, t), 2).alias("mse"), F.round(E.rmse(m, t), 4).alias("rmse"),
+        F.round(E.l1(t - m), 3).alias("l1"), F.round(E.l2(t - m), 3).alias("l2"), F.round(E.mse(m, t), -3).alias("mse"), F.round(E.rmse(m, t), 2).alias("rmse"),
         F.round(E.mse_pct(m, t), 6).alias("mse_pct"), F.round(E.rmse_pct(m, t), 6).alias("rmse_pct"), F.round(E.mape(m, t), 8).alias("mape"), F.round(E.r_squared(m, t), 6).alias("r2"),
     )
 
@@ -417,9 +417,9 @@ def _single_scores(spark, folder):
     return ranking.scores(pairs(spark, folder), list(ranking.SINGLE))
 
 
-@_query(_SCORES + "SELECT account, classification, driver, metric, round(value, 6) AS value FROM sc")
+@_query(_SCORES + "SELECT account, classification, driver, metric, CASE WHEN metric = 'slr' THEN round(value, 2) ELSE round(value, 6) END AS value FROM sc")
 def ranking_scores(spark, folder):
-    return _single_scores(spark, folder).withColumn("value", F.round("value", 6))
+    return _single_scores(spark, folder).withColumn("value", F.when(F.col("metric") == "slr", F.round("value", 2)).otherwise(F.round("value", 6)))
 
 
 @_query(_SCORES + "SELECT account, classification, driver, round(avg_rank, 8) AS avg_rank, CAST(final_rank AS INT) AS final_rank FROM fin")
@@ -430,13 +430,13 @@ def ranking_final(spark, folder):
 @_query(
     _SCORES
     + """SELECT account, classification, driver, round(max(CASE WHEN metric = 'pearson' THEN value END), 6) AS pearson, round(max(CASE WHEN metric = 'spearman' THEN value END), 6) AS spearman,
-  round(max(CASE WHEN metric = 'slr' THEN value END), 4) AS slr, round(max(CASE WHEN metric = 'moving_average' THEN value END), 6) AS moving_average, round(any_value(avg_rank), 8) AS avg_rank, CAST(any_value(final_rank) AS INT) AS final_rank
+  round(max(CASE WHEN metric = 'slr' THEN value END), 2) AS slr, round(max(CASE WHEN metric = 'moving_average' THEN value END), 6) AS moving_average, round(any_value(avg_rank), 8) AS avg_rank, CAST(any_value(final_rank) AS INT) AS final_rank
 FROM sc JOIN fin USING (account, classification, driver) GROUP BY account, classification, driver"""
 )
 def ranking_report(spark, folder):
     scored = _single_scores(spark, folder)
     r = T.ranking_report(scored, ranking.ranks(scored, decimals=6))
-    return r.withColumns({c: F.round(c, 6) for c in ("pearson", "spearman", "moving_average")} | {"slr": F.round("slr", 4), "avg_rank": F.round("avg_rank", 8)})
+    return r.withColumns({c: F.round(c, 6) for c in ("pearson", "spearman", "moving_average")} | {"slr": F.round("slr", 2), "avg_rank": F.round("avg_rank", 8)})
 
 
 @_query()
@@ -462,9 +462,9 @@ def _lag_scores(spark, folder):
     return ranking.lag_scores(training(accounts(spark, folder)), training(drivers(spark, folder)), 6, ["spearman", "slr"])
 
 
-@_query(_LAGGED + "SELECT account, classification, driver, lag, metric, round(value, 5) AS value FROM sl")
+@_query(_LAGGED + "SELECT account, classification, driver, lag, metric, CASE WHEN metric = 'slr' THEN round(value, 2) ELSE round(value, 5) END AS value FROM sl")
 def lag_scores(spark, folder):
-    return _lag_scores(spark, folder).withColumn("value", F.round("value", 5))
+    return _lag_scores(spark, folder).withColumn("value", F.when(F.col("metric") == "slr", F.round("value", 2)).otherwise(F.round("value", 5)))
 
 
 @_query(
