@@ -5,6 +5,8 @@ Series come as one padded matrix, a row per series, values first and NaN behind
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
@@ -12,20 +14,18 @@ from numpy.lib.stride_tricks import sliding_window_view
 MAD = 1.4826
 
 
-def normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Quantile of the standard normal distribution for upper tails (p near 1), by Newton steps on the tail's series."""
-    q = np.maximum(1 - np.asarray(p, float), 1e-300)
-    u = np.sqrt(-2 * np.log(q))
-    z = u - (np.log(u * np.sqrt(2 * np.pi))) / np.maximum(u, 1e-9)
-    for _ in range(40):
-        tail = np.exp(-z * z / 2) / np.sqrt(2 * np.pi) / np.maximum(z, 1e-9) * (1 - 1 / z**2 + 3 / z**4 - 15 / z**6 + 105 / z**8)
-        z = np.maximum(z + (tail - q) / np.maximum(np.exp(-z * z / 2) / np.sqrt(2 * np.pi), 1e-300), 0.5)
-    return z
+_NORMAL = NormalDist()
+
+
+def normal_quantile(tail: np.ndarray) -> np.ndarray:
+    """The point beyond which ``tail`` of a standard normal distribution lies."""
+    q = np.asarray(tail, float)
+    return -np.array([_NORMAL.inv_cdf(v) for v in np.clip(q, 1e-300, 0.5).ravel().tolist()]).reshape(q.shape)
 
 
-def t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Student's t quantile from the normal one by the Cornish-Fisher expansion (good to 3 digits for df >= 8)."""
-    z, v = normal_quantile(p), np.maximum(np.asarray(df, float), 3.0)
+def t_quantile(tail: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Student's t point for an upper tail from the normal one by the Cornish-Fisher expansion (good to 3 digits for df >= 8)."""
+    z, v = normal_quantile(tail), np.maximum(np.asarray(df, float), 3.0)
     return (
         z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
     )
@@ -33,11 +33,12 @@ def t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 def esd_limits(n: np.ndarray, k: int, alpha: float) -> np.ndarray:
     """Critical values of the generalised extreme studentised deviate test: row per n, column i for the (i+1)-th outlier."""
-    n = np.asarray(n, float)[:, None]
+    sizes, back = np.unique(np.asarray(n), return_inverse=True)
+    m = sizes.astype(float)[:, None]
     i = np.arange(1, k + 1)[None, :]
-    left = np.maximum(n - i - 1, 3.0)
-    t = t_quantile(1 - alpha / (2 * np.maximum(n - i + 1, 2.0)), left)
-    return (n - i) * t / np.sqrt((left + t * t) * np.maximum(n - i + 1, 2.0))
+    left = np.maximum(m - i - 1, 3.0)
+    t = t_quantile(alpha / (2 * np.maximum(m - i + 1, 2.0)), left)
+    return ((m - i) * t / np.sqrt((left + t * t) * np.maximum(m - i + 1, 2.0)))[back]
 
 
 def esd_flags(score: np.ndarray, n: np.ndarray, alpha: float, share: float = 0.2) -> np.ndarray:

@@ -51,7 +51,7 @@ def filler_numbers(values: DataFrame) -> DataFrame:
     real = values.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") != 0) & F.col("series").isNotNull())
     # per series and value first: repeated values shrink to one row before anything is shuffled far
     each = real.groupBy("series", "v").agg(F.count(F.lit(1)).alias("n"))
-    q = each.groupBy("series").agg(F.percentile_approx("v", [0.1, 0.5, 0.9], 200).alias("q"))
+    q = real.groupBy("series").agg(F.percentile_approx("v", [0.1, 0.5, 0.9], 200).alias("q"))
     width = F.greatest(F.col("q")[2] - F.col("q")[0], F.abs(F.col("q")[1]) * 0.2, F.lit(1e-9))
     far = (F.col("v") < F.col("q")[0] - 3 * width) | (F.col("v") > F.col("q")[2] + 3 * width)
     known = F.col("v").isin(*NUMBERS)
@@ -96,10 +96,19 @@ def month_of(c: Column) -> Column:
 
 
 def span_of_months(rows: DataFrame, month: Column) -> tuple:
-    """(first, last) month that carries data: of the months with at least a tenth of the usual number of rows."""
+    """(first, last) month that series can have: of the months that lie together (gaps of up to a year), the group with the most rows.
+
+    What comes here is one number per month of the calendar, however large the table.
+    """
     per = rows.select(month.alias("m")).where("m IS NOT NULL").groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    usual = per.agg(F.percentile_approx("n", 0.5).alias("u"))
-    return tuple(per.join(F.broadcast(usual), F.col("n") >= F.greatest(F.col("u") * 0.1, F.lit(1))).agg(F.min("m"), F.max("m")).first())
+    groups: list[list] = []
+    for m, n in sorted(tuple(r) for r in per.collect()):
+        k = m.year * 12 + m.month
+        if not groups or k - groups[-1][3] > 12:
+            groups.append([m, m, 0, k])
+        groups[-1][1:] = [m, groups[-1][2] + n, k]
+    best = max(groups, key=lambda g: g[2], default=[None, None])
+    return best[0], best[1]
 
 
 @dataclass
