@@ -382,14 +382,14 @@ def covariances(spark, folder):
 
 @_query(
     _PANEL
-    + """SELECT account, month, value, CAST(t AS INT) AS t, lag_1, lag_2, round(mean_3, 3) AS mean_3, round(std_3, 3) AS std_3, round(month_sin, 8) AS month_sin, round(month_cos, 8) AS month_cos FROM (
+    + """SELECT account, month, value, CAST(t AS INT) AS t, lag_1, lag_2, round(mean_3, 3) AS mean_3, round(std_3, 3) AS std_3, round(month_sin, 8) + 0.0 AS month_sin, round(month_cos, 8) + 0.0 AS month_cos FROM (
   SELECT account, month, value, row_number() OVER w - 1 AS t, lag(value, 1) OVER w AS lag_1, lag(value, 2) OVER w AS lag_2, avg(value) OVER (PARTITION BY account ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean_3,
     stddev_pop(value) OVER (PARTITION BY account ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS std_3, sin(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_sin, cos(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_cos
   FROM acc WINDOW w AS (PARTITION BY account ORDER BY month)) WHERE t >= 2"""
 )
 def lag_features(spark, folder):
     f = stats.lag_features(accounts(spark, folder), ["account"], 2, (3,))
-    return f.withColumns({c: F.round(c, 3) for c in ("mean_3", "std_3")} | {c: F.round(c, 8) for c in ("month_sin", "month_cos")})
+    return f.withColumns({c: F.round(c, 3) for c in ("mean_3", "std_3")} | {c: F.round(c, 8) + F.lit(0.0) for c in ("month_sin", "month_cos")})
 
 
 # ---- ranking
