@@ -1,0 +1,23 @@
+import os
+
+import pytest
+from tallyspring.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables aren't here")
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_runs(spark, name):
+    assert queries.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_columns(spark):
+    assert queries.p6_ids(spark, FOLDER).dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
+    assert queries.p8_found(spark, FOLDER).columns == ["doc_id", "subject"]
+
+
+def test_the_entry_has_them():
+    import __spark_entry__
+
+    assert set(queries.QUERIES) <= set(__spark_entry__.queries())
