@@ -35,9 +35,8 @@ def candidate_pairs(aligned: DataFrame, ranked: DataFrame, candidates: int = 25)
 
 def correlation(pairs: DataFrame) -> DataFrame:
     """Mean of |Pearson|, |Spearman| (by permutations) and |Kendall|."""
-    p = stats.complete(pairs).groupBy(*PAIR).agg(F.abs(stats.E.pearson(F.col("x"), F.col("y"))).alias("p"))
-    joined = p.join(stats.spearman_argsort(pairs, PAIR), PAIR).join(stats.kendall(pairs, PAIR), PAIR)
-    return joined.select(*PAIR, ((F.col("p") + F.abs("spearman_argsort") + F.abs("kendall")) / 3).alias("collinearity"))
+    p = stats.packed(pairs, PAIR, F.abs(stats.E.pearson(F.col("x"), F.col("y"))).alias("r"))
+    return p.select(*PAIR, ((F.col("r") + F.abs(stats.argsort_rho()) + F.abs(stats.tau())) / 3).alias("collinearity"))
 
 
 def pairwise_r2(pairs: DataFrame) -> DataFrame:

@@ -24,32 +24,28 @@ KEYS = ["account", "classification", "driver"]
 TIE = 1e-5
 
 
-def _pearson(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    return stats.complete(pairs).groupBy(*keys).agg(F.abs(E.pearson(F.col("x"), F.col("y"))).alias("value"))
-
-
-def _spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    return stats.spearman_argsort(pairs, keys).select(*keys, F.abs("spearman_argsort").alias("value"))
-
-
-def _slr(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    return stats.complete(pairs).groupBy(*keys).agg(E.slr_error(F.col("x"), F.col("y")).alias("value"))
-
+#: Methods on each driver alone, all from one grouping of the pairs: those that are plain aggregates, and those of the ordered array.
+AGGREGATES: dict[str, Callable[[], Column]] = {
+    "pearson": lambda: F.abs(E.pearson(F.col("x"), F.col("y"))),
+    "slr": lambda: E.slr_error(F.col("x"), F.col("y")),
+}
+ORDERED: dict[str, Callable[[], Column]] = {
+    "spearman": lambda: F.abs(stats.argsort_rho()),
+    # signed correlation of the account with the driver's exponential moving average
+    "moving_average": lambda: E.pearson_of_arrays(E.ema_array(F.transform("p", lambda e: e["x"]), 0.5), F.transform("p", lambda e: e["y"])),
+}
+SINGLE = ["pearson", "spearman", "slr", "moving_average"]
 
-def _moving_average(pairs: DataFrame, keys: list[str], a: float = 0.5) -> DataFrame:
-    """Signed correlation of the account with the driver's exponential moving average."""
-    packed = stats.complete(pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month", "x", "y"))).alias("p"))
-    z = packed.select(*keys, F.explode(F.arrays_zip(E.ema_array(F.transform("p", lambda e: e["x"]), a).alias("e"), F.transform("p", lambda e: e["y"]).alias("y"))).alias("z"))
-    return z.groupBy(*keys).agg(E.pearson(F.col("z.e"), F.col("z.y")).alias("value"))
 
+def _single(pairs: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
+    plain = [AGGREGATES[m]().alias(m) for m in methods if m in AGGREGATES]
+    if any(m in ORDERED for m in methods):
+        wide = stats.packed(pairs, keys, *plain)
+    else:
+        wide = stats.complete(pairs).groupBy(*keys).agg(*plain)
+    values = [F.struct(F.lit(m).alias("metric"), (F.col(m) if m in AGGREGATES else ORDERED[m]()).alias("value")) for m in methods]
+    return wide.select(*keys, F.explode(F.array(*values)).alias("_s")).select(*keys, "_s.metric", "_s.value")
 
-#: Methods on each driver alone: (aligned pairs, keys) -> keys, value.
-SINGLE: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
-    "pearson": _pearson,
-    "spearman": _spearman,
-    "slr": _slr,
-    "moving_average": _moving_average,
-}
 
 #: Methods on a class's drivers together: (months x drivers, account) -> score per driver.
 JOINT: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
@@ -113,7 +109,8 @@ def _joint(pairs: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
 def scores(pairs: DataFrame, methods: list[str], keys: list[str] | None = None) -> DataFrame:
     """keys, metric, value of aligned pairs."""
     keys = keys or KEYS
-    parts = [SINGLE[m](pairs, keys).withColumn("metric", F.lit(m)).select(*keys, "metric", "value") for m in methods if m in SINGLE]
+    single = [m for m in methods if m in SINGLE]
+    parts = [_single(pairs, keys, single)] if single else []
     joint = [m for m in methods if m in JOINT]
     if joint:
         parts.append(_joint(pairs, keys, joint))
@@ -162,7 +159,7 @@ def lag_scores(accounts: DataFrame, drivers: DataFrame, most: int = 12, methods:
     pairs = P.pair(accounts, expanded).where(F.col("month") >= F.add_months(F.lit(first), most))
     keys = ["account", "classification", "driver", "lag"]
     methods = methods or LAG_METHODS
-    single = scores(pairs, [m for m in methods if m in SINGLE], keys)
+    single = scores(pairs, [m for m in methods if m in SINGLE], keys) if any(m in SINGLE for m in methods) else None
     joint = [m for m in methods if m in JOINT]
     if not joint:
         return single
@@ -170,7 +167,8 @@ def lag_scores(accounts: DataFrame, drivers: DataFrame, most: int = 12, methods:
     named = pairs.withColumn("classification", F.to_json(F.struct("classification", "driver")))
     found = _joint(named, ["account", "classification", "lag"], joint)
     back = F.from_json("classification", "classification string, driver string")
-    return single.unionByName(found.select("account", back["classification"].alias("classification"), back["driver"].alias("driver"), "lag", "metric", "value"))
+    found = found.select("account", back["classification"].alias("classification"), back["driver"].alias("driver"), "lag", "metric", "value")
+    return found if single is None else single.unionByName(found)
 
 
 def best_lags(scored: DataFrame, top: int = 4, decimals: int = 9) -> DataFrame:

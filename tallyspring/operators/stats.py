@@ -16,18 +16,41 @@ def complete(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y"))
 
 
-def _packed(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, p: the pairs in the order of months, as structs of t, x, y."""
-    packed = complete(pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month", "x", "y"))).alias("p"))
-    return packed.withColumn("p", F.transform("p", lambda e, i: F.struct(i.alias("t"), e["x"].alias("x"), e["y"].alias("y"))))
+def packed(pairs: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """keys, p, and further aggregates: p holds the pairs in the order of months, as structs of t, x, y. One shuffle serves all that is asked of a pair."""
+    got = complete(pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month", "x", "y"))).alias("p"), *more)
+    return got.withColumn("p", F.transform("p", lambda e, i: F.struct(i.alias("t"), e["x"].alias("x"), e["y"].alias("y"))))
 
 
-def spearman_argsort(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """1 - 6 sum d^2 / (n (n^2 - 1)), d being the difference of the sorting permutations (ties by month), not of the ranks."""
+def argsort_rho() -> Column:
+    """Of p: 1 - 6 sum d^2 / (n (n^2 - 1)), d being the difference of the sorting permutations (ties by month), not of the ranks."""
     order = lambda c: F.transform(F.array_sort(F.transform("p", lambda e: F.struct(e[c].alias("v"), e["t"].alias("t")))), lambda e: e["t"])
     d2 = F.aggregate(F.zip_with(order("x"), order("y"), lambda a, b: ((a - b) * (a - b)).cast("double")), F.lit(0.0), lambda s, v: s + v)
     n = F.size("p").cast("double")
-    return _packed(pairs, keys).select(*keys, (1 - E.div(6 * d2, n * (n * n - 1))).alias("spearman_argsort"))
+    return 1 - E.div(6 * d2, n * (n * n - 1))
+
+
+def tau() -> Column:
+    """Of p: Kendall's tau-b. Concordance is counted inside the array."""
+    sums = F.aggregate(
+        "p",
+        F.struct(F.lit(0.0).alias("b"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v")),
+        lambda s, e: F.aggregate(
+            F.slice("p", 1, F.greatest(e["t"], F.lit(0))),
+            s,
+            lambda q, o: F.struct(
+                (q["b"] + F.signum(e["x"] - o["x"]) * F.signum(e["y"] - o["y"])).alias("b"),
+                (q["u"] + F.abs(F.signum(e["x"] - o["x"]))).alias("u"),
+                (q["v"] + F.abs(F.signum(e["y"] - o["y"]))).alias("v"),
+            ),
+        ),
+        lambda s: E.div(s["b"], F.sqrt(s["u"] * s["v"])),
+    )
+    return sums
+
+
+def spearman_argsort(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    return packed(pairs, keys).select(*keys, argsort_rho().alias("spearman_argsort"))
 
 
 def _mid_rank(c: str, keys: list[str]) -> Column:
@@ -42,17 +65,7 @@ def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kendall(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Tau-b. Concordance is counted inside each pair's array."""
-    sign = lambda v: F.signum(v)
-
-    def over_earlier(f):
-        inner = lambda e: F.aggregate(F.slice("p", 1, F.greatest(e["t"], F.lit(0))), F.lit(0.0), lambda s, o: s + f(e, o))
-        return F.aggregate(F.transform("p", inner), F.lit(0.0), lambda s, v: s + v)
-
-    both = over_earlier(lambda e, o: sign(e["x"] - o["x"]) * sign(e["y"] - o["y"]))
-    in_x = over_earlier(lambda e, o: F.abs(sign(e["x"] - o["x"])))
-    in_y = over_earlier(lambda e, o: F.abs(sign(e["y"] - o["y"])))
-    return _packed(pairs, keys).select(*keys, E.div(both, F.sqrt(in_x * in_y)).alias("kendall"))
+    return packed(pairs, keys).select(*keys, tau().alias("kendall"))
 
 
 def mutual_information(pairs: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyspring.functions import expressions as E
 from tallyspring.operators import collinearity, forecasting, panel, ranking, reconcile, scenarios, stats
-from tallyspring.session import table
+from tallyspring.session import materialize, table
 from tallyspring.sources import tables as T
 
 FIRST, LAST = date(1995, 1, 1), date(2001, 7, 1)
@@ -414,7 +414,7 @@ fin AS (SELECT *, row_number() OVER (PARTITION BY account, classification ORDER
 
 
 def _single_scores(spark, folder):
-    return ranking.scores(pairs(spark, folder), list(ranking.SINGLE))
+    return ranking.scores(pairs(spark, folder), ranking.SINGLE)
 
 
 @_query(_SCORES + "SELECT account, classification, driver, metric, CASE WHEN metric = 'slr' THEN round(value, 2) ELSE round(value, 6) END AS value FROM sc")
@@ -434,7 +434,7 @@ def ranking_final(spark, folder):
 FROM sc JOIN fin USING (account, classification, driver) GROUP BY account, classification, driver"""
 )
 def ranking_report(spark, folder):
-    scored = _single_scores(spark, folder)
+    scored = materialize(_single_scores(spark, folder), "scores")
     r = T.ranking_report(scored, ranking.ranks(scored, decimals=6))
     return r.withColumns({c: F.round(c, 6) for c in ("pearson", "spearman", "moving_average")} | {"slr": F.round("slr", 2), "avg_rank": F.round("avg_rank", 8)})
 
@@ -496,8 +496,9 @@ _CAND = """, dp AS (
 
 
 def _candidates(spark, folder):
-    p = pairs(spark, folder)
-    return p, ranking.ranks(_single_scores(spark, folder))
+    """The pairs and their ranks, each written once, as all methods read them."""
+    p = materialize(pairs(spark, folder), "pairs")
+    return p, materialize(ranking.ranks(ranking.scores(p, ranking.SINGLE)), "ranks")
 
 
 @_query(_PANEL + _CAND + f"SELECT account, driver_a, driver_b, round(pow({_PEARSON}, 2), 8) AS collinearity FROM dp GROUP BY ALL")
