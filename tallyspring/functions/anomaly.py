@@ -134,7 +134,8 @@ def stuck_flags(x: np.ndarray, t: np.ndarray, n: np.ndarray, q: np.ndarray, chan
     """Rows of stretches that stay within two last digits for longer than the source's own habit explains.
 
     Rows of one moment count once. Were neighbours alike with the probability p seen in the rest of the
-    source, a stretch of L would turn up by chance n * p**(L-1) times; below ``chance`` it is flagged.
+    source, a stretch of L would turn up by chance n * p**(L-1) times; below ``chance`` it is flagged. Where the
+    source rests at one value again and again (a closure), neighbours at that value don't speak for stretches elsewhere.
     """
     flags = np.zeros(x.shape, bool)
     width = x.shape[1]
@@ -149,6 +150,10 @@ def stuck_flags(x: np.ndarray, t: np.ndarray, n: np.ndarray, q: np.ndarray, chan
         m = n[i]
         xs, new = x[i, :m], fresh[i, :m]
         pairs, alike = max(int(new.sum()) - 1, 1), int((near[i, :m] & new).sum())
+        at_rest, level = 0, np.nan
+        if alike:
+            held, often = np.unique(xs[near[i, :m] & new], return_counts=True)
+            at_rest, level = int(often.max()), held[int(often.argmax())]
         starts = np.nonzero(~near[i, :m])[0]
         ends = np.append(starts[1:], m)
         for a, b in zip(starts, ends):
@@ -164,8 +169,9 @@ def stuck_flags(x: np.ndarray, t: np.ndarray, n: np.ndarray, q: np.ndarray, chan
                     k += 1
                 length = int(new[j:k].sum()) + (0 if new[j] else 1)
                 if length >= least:
-                    rest = max(pairs - (length - 1), 1)
-                    p = min(max((alike - (length - 1)) / rest, 0.02), 1.0)
+                    off = at_rest if abs(lo - level) > 2.01 * q[i] else 0
+                    rest = max(pairs - off - (length - 1), 1)
+                    p = min(max((alike - off - (length - 1)) / rest, 0.02), 1.0)
                     if pairs * p ** (length - 1) < chance:
                         flags[i, j:k] = True
                 j = k
@@ -234,7 +240,8 @@ def spike_flags(
                 size = np.median(rest[i, a:b])
                 if returns_yearly(days, rest[i, :m], a, size):
                     continue
-                if steps is not None and any(abs(e) > 0.5 * abs(size) and abs(size - e) < 0.25 * abs(size) for e in np.median(steps[i, a:b], axis=0)):
+                near = max(0.25 * abs(size), 3 * local[i, a])
+                if steps is not None and any(abs(e) > 0.5 * abs(size) and abs(size - e) < near for e in np.median(steps[i, a:b], axis=0)):
                     continue
             flags[i, a:b] = ok
     return flags, rest, score

@@ -78,6 +78,15 @@ def test_source_that_moves_in_steps_is_none():
     assert set(np.flatnonzero(judged(x))) == {100}
 
 
+def test_closures_every_year_are_none_but_a_stuck_stretch_beside_them_is():
+    rng = np.random.default_rng(6)
+    month = np.arange(84) + 2017 * 12
+    x = np.where(np.isin(month % 12, (6, 7, 8, 9)), 0.0, np.round(5000 + rng.normal(0, 80, 84), 2))
+    assert not judged(x, True, month).any()
+    x[46:54] = x[46]
+    assert set(np.flatnonzero(judged(x, True, month))) == set(range(46, 54))
+
+
 def test_season_and_yearly_peaks_are_none():
     rng = np.random.default_rng(4)
     month = np.arange(84) + 2017 * 12
