@@ -33,6 +33,8 @@ NUMBERS = (-99.0, -999.0, -9999.0, -99999.0, 99999.0, 999999.0, 9999999.0, 99999
 
 #: Series in which a number must lie far outside to be a filler by the data alone; and groups for a word.
 SERIES, GROUPS = 3, 3
+#: Copies of a series' quantiles.
+SALTS = 8
 #: Fillers that are sent to the executors as literals; more than that are joined.
 LITERALS = 1_000
 
@@ -52,11 +54,14 @@ def filler_numbers(values: DataFrame) -> DataFrame:
     # per series and value first: repeated values shrink to one row before anything is shuffled far
     each = real.groupBy("series", "v").agg(F.count(F.lit(1)).alias("n"))
     q = real.groupBy("series").agg(F.percentile_approx("v", [0.1, 0.5, 0.9], 200).alias("q"))
+    # a series that holds a large part of the rows meets its three numbers in many tasks
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     width = F.greatest(F.col("q")[2] - F.col("q")[0], F.abs(F.col("q")[1]) * 0.2, F.lit(1e-9))
     far = (F.col("v") < F.col("q")[0] - 3 * width) | (F.col("v") > F.col("q")[2] + 3 * width)
     known = F.col("v").isin(*NUMBERS)
     return (
-        each.join(q, "series")
+        each.join(q, ["series", "salt"])
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("series_n"), F.count(F.when(far, 1)).alias("far_n"), F.max(known).alias("known"))
         .where(((F.col("far_n") >= SERIES) & (F.col("far_n") * 2 > F.col("series_n"))) | (F.col("known") & (F.col("far_n") >= 1)))
@@ -123,6 +128,7 @@ class Panel:
     series: list[str]
     categories: dict[str, str]  # category -> column whose rows all carry the same one
     period_may_miss: bool = True
+    arrived: str | None = None  # when a row was loaded, which tells the month of one that lacks it
 
 
 def _series(p: Panel) -> Column:
@@ -131,7 +137,7 @@ def _series(p: Panel) -> Column:
 
 def _own(p: Panel, keep: tuple[str, ...] = ()) -> DataFrame:
     """The panel's own columns, so that others can't clash with what is made here."""
-    return p.rows.select(*dict.fromkeys([p.row_id, p.period, p.value, *p.series, *p.categories, *p.categories.values(), *keep]))
+    return p.rows.select(*dict.fromkeys([p.row_id, p.period, p.value, *p.series, *p.categories, *p.categories.values(), *([p.arrived] if p.arrived else []), *keep]))
 
 
 def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
@@ -179,6 +185,23 @@ def missing_entries(panels: list[Panel]) -> DataFrame:
     return out
 
 
+def _months_from_arrival(p: Panel, base: DataFrame) -> DataFrame:
+    """Rows without a month get the one that rows usually arrive for at that time, if their series lacks it. ``_guessed`` marks them."""
+    base = base.withColumn("_guessed", F.lit(False))
+    if not p.arrived or not p.period_may_miss:
+        return base
+    late = (F.year(p.arrived) * 12 + F.month(p.arrived) - F.year("_m") * 12 - F.month("_m")).cast("int")
+    usual = base.where(F.col("_m").isNotNull() & F.col(p.arrived).isNotNull()).groupBy(late.alias("late")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "late").first()
+    if not usual:
+        return base
+    have = base.where("_m IS NOT NULL").select(F.col("_s").alias("_hs"), F.col("_m").alias("_hm")).distinct()
+    lost = base.where("_m IS NULL").withColumn("_g", F.add_months(F.trunc(p.arrived, "month"), -usual["late"]))
+    lost = lost.join(have, (F.col("_s") == F.col("_hs")) & (F.col("_g") == F.col("_hm")), "left")
+    fits = F.col("_hm").isNull() & F.col("_g").isNotNull() & F.col("_s").isNotNull()
+    lost = lost.withColumns({"_guessed": fits, "_m": F.when(fits, F.col("_g"))}).drop("_g", "_hs", "_hm")
+    return base.where("_m IS NOT NULL").unionByName(lost)
+
+
 def filled(panel: Panel, flags: DataFrame, gap_limit: int = 12) -> DataFrame:
     """Rows of the panel, and a row for each month without one, with every entry and per field its method and distance.
 
@@ -187,10 +210,10 @@ def filled(panel: Panel, flags: DataFrame, gap_limit: int = 12) -> DataFrame:
     """
     p = panel
     cats = list(p.categories)
-    base = flags.withColumn("_s", _series(p))
+    base = _months_from_arrival(p, flags.withColumn("_s", _series(p)))
     observed = F.when(~F.col(f"no_{p.value}"), F.col(p.value).cast("double"))
     monthly = base.where("_m IS NOT NULL").groupBy("_s", "_m").agg(
-        F.avg(observed).alias("_v"), *[F.min(F.when(~F.col(f"no_{c}"), F.col(c))).alias(f"_c_{c}") for c in cats]
+        F.lit(True).alias("_there"), F.avg(observed).alias("_v"), *[F.min(F.when(~F.col(f"no_{c}"), F.col(c))).alias(f"_c_{c}") for c in cats]
     )
     ends = monthly.groupBy("_s").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
     grid = ends.select("_s", F.explode(F.expr("sequence(_lo, _hi, interval 1 month)")).alias("_m")).join(monthly, ["_s", "_m"], "left")
@@ -213,15 +236,18 @@ def filled(panel: Panel, flags: DataFrame, gap_limit: int = 12) -> DataFrame:
         dl, dr = F.col("_i") - F.col(f"_l_{c}.i"), F.col(f"_r_{c}.i") - F.col("_i")
         near = F.when(F.coalesce(dl, F.lit(10**6)) <= F.coalesce(dr, F.lit(10**6)), F.col(f"_l_{c}.v")).otherwise(F.col(f"_r_{c}.v"))
         grid = grid.withColumns({f"_n_{c}": F.when(F.least(dl, dr) <= gap_limit, near), f"_d_{c}": F.least(dl, dr)})
-    got = grid.select("_s", F.col("_m").alias("_month"), "_v", "_value", "_method", "_distance", *[f"_n_{c}" for c in cats], *[f"_d_{c}" for c in cats])
-    joined = base.withColumnRenamed("_s", "_bs").join(got, (F.col("_bs") == F.col("_s")) & (F.col("_m") == F.col("_month")), "full")
-    made = F.col(p.row_id).isNull() & F.col("_bs").isNull()
+    got = grid.select("_s", F.col("_m").alias("_month"), "_there", "_v", "_value", "_method", "_distance", *[f"_n_{c}" for c in cats], *[f"_d_{c}" for c in cats])
+    # Rows keep to a left join, whose larger side AQE may split where one series holds many of them; months without a row come apart from it.
+    kept = base.withColumnRenamed("_s", "_bs").join(got, (F.col("_bs") == F.col("_s")) & (F.col("_m") == F.col("_month")), "left").withColumn("row_made", F.lit(False))
+    joined = kept.unionByName(got.where("_there IS NULL").withColumn("row_made", F.lit(True)), allowMissingColumns=True)
+    made = F.col("row_made")
     from_series = [F.when(made, F.get(F.from_json("_s", "array<string>"), k)).otherwise(F.col(c).cast("string")).alias(c) for k, c in enumerate(p.series)]
     no_value = made | F.col(f"no_{p.value}")
     cols = [F.col(p.row_id), F.date_format(F.coalesce("_m", "_month"), "yyyy-MM-dd").alias(p.period), *from_series,
             F.when(no_value, F.col("_value")).otherwise(F.col(p.value).cast("double")).alias(p.value),
             F.when(~no_value, "observed").otherwise(F.coalesce("_method", F.lit("none"))).alias(f"{p.value}_method"),
-            F.when(~no_value, 0).otherwise(F.col("_distance")).alias(f"{p.value}_distance"), made.alias("row_made")]
+            F.when(~no_value, 0).otherwise(F.col("_distance")).alias(f"{p.value}_distance"), "row_made",
+            F.when(made, "made").when(F.col("_guessed"), "from_arrival").when(F.col("_m").isNull(), "none").otherwise("observed").alias(f"{p.period}_method")]
     for c in cats:
         none = made | F.col(f"no_{c}")
         cols += [F.when(none, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c),

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest number of shards of one source, and of hot sources whose cuts may be broadcast (2 000 x 256 x 8 bytes = 4 MB).
-MOST_SHARDS, BROADCAST_SOURCES = 256, 2_000
+#: Largest number of shards of one source, and of cuts (8 bytes each) that may be broadcast; more are joined.
+MOST_SHARDS, BROADCAST_CUTS = 10_000, 500_000
 
 
 def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, halo: float = 0.02) -> DataFrame:
@@ -23,7 +23,7 @@ def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, halo: flo
     if not hot:
         return rows.withColumns({"shard": F.lit(0), "own": F.lit(True)})
     parts = max(2, min(math.ceil(largest / target), MOST_SHARDS))
-    near = F.broadcast if hot <= BROADCAST_SOURCES else (lambda df: df)
+    near = F.broadcast if hot * (parts + 1) <= BROADCAST_CUTS else (lambda df: df)
     only_hot = rows.join(near(counted), keys, "left_semi")
     cuts = only_hot.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(t, [i / parts for i in range(parts + 1)], 20 * parts)).alias("_cuts")
@@ -31,8 +31,12 @@ def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, halo: flo
     named = [F.col(k).alias(f"_{k}") for k in keys]
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     joined = rows.join(near(cuts.select(*named, "_cuts")), on, "left")
-    # _at: number of the shard; its bounds are _cuts[_at] and _cuts[_at + 1]
-    placed = joined.withColumn("_at", F.expr(f"greatest(least(size(filter(_cuts, c -> c <= {t})) - 1, size(_cuts) - 2), 0)"))
+    # _at: number of the shard; its bounds are _cuts[_at] and _cuts[_at + 1]. Found in two steps, among every
+    # step-th cut and then among those between, so that a row looks at twice the root of the number of cuts.
+    step = math.isqrt(parts) + 1
+    coarse = f"size(filter(sequence(0, size(_cuts) - 1, {step}), i -> _cuts[i] <= {t})) - 1"
+    fine = f"greatest(_c, 0) * {step} + size(filter(slice(_cuts, greatest(_c, 0) * {step} + 1, {step}), c -> c <= {t})) - 1"
+    placed = joined.withColumn("_c", F.expr(f"CASE WHEN size(_cuts) > 0 THEN {coarse} END")).withColumn("_at", F.expr(f"CASE WHEN size(_cuts) > 0 THEN greatest(least({fine}, size(_cuts) - 2), 0) END"))
     shards = F.expr(f"""
         CASE WHEN _cuts IS NULL OR size(_cuts) < 3 THEN array(named_struct('shard', 0, 'own', true)) ELSE
         filter(array(
@@ -40,4 +44,4 @@ def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, halo: flo
           CASE WHEN _at + 2 < size(_cuts) AND {t} >= _cuts[_at + 1] - (_cuts[_at + 1] - _cuts[_at]) * {halo} THEN named_struct('shard', _at + 1, 'own', false) END,
           CASE WHEN _at > 0 AND {t} < _cuts[_at] + (_cuts[_at + 1] - _cuts[_at]) * {halo} THEN named_struct('shard', _at - 1, 'own', false) END
         ), s -> s IS NOT NULL) END""")
-    return placed.withColumn("_s", F.explode(shards)).withColumns({"shard": F.col("_s.shard"), "own": F.col("_s.own")}).drop("_s", "_at", "_cuts", *[f"_{k}" for k in keys])
+    return placed.withColumn("_s", F.explode(shards)).withColumns({"shard": F.col("_s.shard"), "own": F.col("_s.own")}).drop("_s", "_at", "_c", "_cuts", *[f"_{k}" for k in keys])

@@ -18,7 +18,7 @@ def reading_day() -> F.Column:
 
 def _panels(spark: SparkSession, folder: str) -> list[fill.Panel]:
     return [
-        fill.Panel("accounts", table(spark, folder, "accounts"), "row_id", "period_key", "value", ["account_key", "product_key"], {"plant_key": "product_key", "product_group": "product_key"}),
+        fill.Panel("accounts", table(spark, folder, "accounts"), "row_id", "period_key", "value", ["account_key", "product_key"], {"plant_key": "product_key", "product_group": "product_key"}, arrived="loaded_at"),
         fill.Panel("drivers", table(spark, folder, "drivers"), "row_id", "date", "driver_value", ["driver_unique_name"], {"driver_classification": "driver_unique_name"}, period_may_miss=False),
     ]
 

@@ -65,6 +65,18 @@ def test_filled(panel):
     assert lone.value == 5.0
 
 
+def test_months_from_arrival(spark):
+    at = lambda m: f"{2020 + m // 12}-{m % 12 + 1:02d}"
+    rows = [(i, at(i) + "-01", "s", "p", float(i), "a", at(i + 1) + "-03") for i in range(12)]
+    rows[5] = (5, "TBC", "s", "p", 5.0, "a", at(6) + "-04")
+    rows += [(20, None, "s", "p", 6.0, "a", at(8) + "-02"), (21, None, None, None, 1.0, "a", None)]
+    df = spark.createDataFrame(rows, "row_id long, period string, series string, product string, value double, plant string, loaded string").withColumn("loaded", F.to_timestamp("loaded"))
+    p = fill.Panel("t", df, "row_id", "period", "value", ["series"], {"plant": "product"}, arrived="loaded")
+    got = {r.row_id: (r.period, r.period_method) for r in fill.filled(p, fill.flagged([p])[0]).collect()}
+    assert got[5] == ("2020-06-01", "from_arrival") and got[3] == ("2020-04-01", "observed")
+    assert got[20] == (None, "none") and got[21] == (None, "none") and None not in got and len(got) == 14
+
+
 def test_empty_and_all_missing(spark, panel):
     empty = fill.Panel("t", panel.rows.limit(0), "row_id", "period", "value", ["series"], {"plant": "product"})
     assert fill.missing_entries([empty]).count() == 0
