@@ -132,7 +132,9 @@ class Panel:
 
 
 def _series(p: Panel) -> Column:
-    return F.to_json(F.array(*[F.col(c).cast("string") for c in p.series]))
+    """Name of the series; null where a part of it is."""
+    whole = F.array(*[F.col(c).cast("string") for c in p.series])
+    return F.when(~F.exists(whole, lambda c: c.isNull()), F.to_json(whole))
 
 
 def _own(p: Panel, keep: tuple[str, ...] = ()) -> DataFrame:
