@@ -196,7 +196,7 @@ def _months_from_arrival(p: Panel, base: DataFrame) -> DataFrame:
     usual = base.where(F.col("_m").isNotNull() & F.col(p.arrived).isNotNull()).groupBy(late.alias("late")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "late").first()
     if not usual:
         return base
-    have = base.where("_m IS NOT NULL").select(F.col("_s").alias("_hs"), F.col("_m").alias("_hm")).distinct()
+    have = base.where("_m IS NOT NULL AND _s IS NOT NULL").select(F.col("_s").alias("_hs"), F.col("_m").alias("_hm")).distinct()
     lost = base.where("_m IS NULL").withColumn("_g", F.add_months(F.trunc(p.arrived, "month"), -usual["late"]))
     lost = lost.join(have, (F.col("_s") == F.col("_hs")) & (F.col("_g") == F.col("_hm")), "left")
     fits = F.col("_hm").isNull() & F.col("_g").isNotNull() & F.col("_s").isNotNull()
@@ -214,7 +214,7 @@ def filled(panel: Panel, flags: DataFrame, gap_limit: int = 12) -> DataFrame:
     cats = list(p.categories)
     base = _months_from_arrival(p, flags.withColumn("_s", _series(p)))
     observed = F.when(~F.col(f"no_{p.value}"), F.col(p.value).cast("double"))
-    monthly = base.where("_m IS NOT NULL").groupBy("_s", "_m").agg(
+    monthly = base.where("_m IS NOT NULL AND _s IS NOT NULL").groupBy("_s", "_m").agg(
         F.lit(True).alias("_there"), F.avg(observed).alias("_v"), *[F.min(F.when(~F.col(f"no_{c}"), F.col(c))).alias(f"_c_{c}") for c in cats]
     )
     ends = monthly.groupBy("_s").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
