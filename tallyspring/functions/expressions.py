@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -128,14 +127,18 @@ def pearson_of_arrays(x: Column, y: Column) -> Column:
 # ---- shapes
 
 
-def gamma_shape(t: Column, k: float) -> Column:
-    """t**k e**-t over the gamma function of k + 1."""
-    return F.pow(t, F.lit(k)) * F.exp(-t) / math.gamma(k + 1)
+def ramp_exponent(lag: int, months: int) -> float:
+    """How a change is spread over the forecast months: 1 (evenly) for a lag of half of them, below 1 (early) for shorter lags, above for longer."""
+    off = lag - months // 2
+    if off == 0:
+        return 1.0
+    part = lag / months
+    return off + part if off > 0 else 0.5 / (part - off)
 
 
-def power_ramp(t: Column, lo: float, hi: float, power: float) -> Column:
-    """From lo at t = 0 to hi at t = 1."""
-    return lo + (hi - lo) * F.pow(t, F.lit(power))
+def lag_ramp(position: Column, lo: float, hi: float, lag: int, months: int) -> Column:
+    """From lo towards hi: the value at month ``position`` (1 to ``months``), with the exponent of the lag."""
+    return lo + (hi - lo) * F.pow(position / months, F.lit(ramp_exponent(lag, months)))
 
 
 def snake_title(name: Column) -> Column:

@@ -25,6 +25,18 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return b[1:], float(b[0])
 
 
+def project_rows(v: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Projection of a vector onto the space that the rows of ``basis`` span."""
+    q = np.linalg.lstsq(basis.T, v, rcond=None)[0]
+    return basis.T @ q
+
+
+def principal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(components, singular values) of rows brought to zero mean and unit deviation."""
+    _, s, v = np.linalg.svd(standardize(rows.T).T, full_matrices=False)
+    return v, s
+
+
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, float]:
     """Centred normal equations, solved on the smaller side (months or drivers)."""
     mx, my = x.mean(axis=0), y.mean()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,16 +22,14 @@ ENUMERATED = 2_000_000
 
 def scatter(drivers: DataFrame) -> DataFrame:
     """Per driver: whether it is seasonal, and its relative (seasonal) or absolute (other) scatter."""
-    strength = None
+    found = stats.residual_std(drivers, SERIES, SEGMENT).join(drivers.groupBy(*SERIES).agg(F.avg("value").alias("mean")), SERIES)
     for p in PERIODS:
-        s = stats.seasonal_strength(drivers, SERIES, p).withColumnRenamed("seasonal_strength", f"s{p}")
-        strength = s if strength is None else strength.join(s, SERIES)
-    plain = stats.residual_std(drivers, SERIES, SEGMENT)
-    deseasonal = stats.deseasonalised_std(drivers, SERIES, 12, SEGMENT)
-    level = drivers.groupBy(*SERIES).agg(F.avg("value").alias("mean"))
-    joined = strength.join(plain, SERIES).join(deseasonal, SERIES, "left").join(level, SERIES)
-    seasonal = F.greatest(*[F.coalesce(f"s{p}", F.lit(0.0)) for p in PERIODS]) >= SEASONAL_FROM
-    return joined.select(*SERIES, seasonal.alias("seasonal"), F.when(seasonal, E.div(F.col("deseasonalised_std"), F.abs("mean"))).otherwise(F.col("residual_std")).alias("scatter"))
+        found = found.join(stats.seasonal_strength(drivers, SERIES, p).select(*SERIES, F.coalesce("seasonal_strength", F.lit(0.0)).alias(f"s{p}")), SERIES)
+        found = found.join(stats.deseasonalised_std(drivers, SERIES, p, SEGMENT).withColumnRenamed("deseasonalised_std", f"d{p}"), SERIES, "left")
+    strongest = F.greatest(*[F.col(f"s{p}") for p in PERIODS])
+    own = F.coalesce(*[F.when(F.col(f"s{p}") == strongest, F.col(f"d{p}")) for p in PERIODS])
+    seasonal = strongest >= SEASONAL_FROM
+    return found.select(*SERIES, seasonal.alias("seasonal"), F.when(seasonal, E.div(own, F.abs("mean"))).otherwise(F.col("residual_std")).alias("scatter"))
 
 
 def perturb(forecasts: DataFrame, scattered: DataFrame, levels: dict[str, int] | None = None) -> DataFrame:
@@ -102,6 +100,24 @@ def extrema_by_search(spark, coefficients: np.ndarray, means: np.ndarray, sample
     return {k: [names[i] for i in decode(np.array([c]), d)[0]] for k, c in (("highest", hi), ("lowest", lo))}
 
 
+def extrema_by_model(spark, predict: Callable[[np.ndarray], np.ndarray], levels: np.ndarray, sample: int | None = 500, seed: int = 42) -> dict[str, list[str]]:
+    """Levels of the highest and lowest mean prediction of any model: ``levels`` is (levels x months x drivers), ``predict`` takes months x drivers.
+
+    Combinations are rows, so an exact search (``sample`` None) is spread over the cluster and no array of all of them exists.
+    """
+    names, d = list(LEVELS), levels.shape[2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = decode(pdf["code"].to_numpy(), d, len(names))
+            score = [float(predict(np.stack([levels[k, :, i] for i, k in enumerate(row)], axis=1)).mean()) for row in at]
+            yield pdf.assign(score=score)
+
+    scored = combinations(spark, d, sample, seed).mapInPandas(run, "code long, score double")
+    hi, lo = scored.agg(F.max_by("code", F.struct("score", -F.col("code"))), F.min_by("code", F.struct("score", "code"))).first()
+    return {k: [names[i] for i in decode(np.array([c]), d, len(names))[0]] for k, c in (("highest", hi), ("lowest", lo))}
+
+
 def extrema(spark, method: str, aligned: DataFrame | None = None, **search) -> DataFrame | dict:
     """auto: by correlation for linear models (``aligned`` given), else by sampling; correlation, sampling or exact by name."""
     if method == "correlation" or (method == "auto" and aligned is not None):

@@ -301,6 +301,18 @@ def kl_divergence(spark, folder):
     return p.groupBy(*DRIVER).agg(F.round(E.kl_divergence(F.col("p"), F.col("q")), 8).alias("kl"))
 
 
+@_query("SELECT CAST(p AS BIGINT) AS position, CAST(l AS INT) AS lag, round(10 + 5 * pow(p / 6.0, CASE WHEN l = 3 THEN 1 WHEN l < 3 THEN 0.5 / (3 - l + l / 6.0) ELSE l - 3 + l / 6.0 END), 8) AS value FROM unnest(generate_series(1, 6)) AS a(p), unnest([1, 3, 5]) AS b(l)")
+def lag_ramps(spark, folder):
+    at = spark.range(1, 7).withColumnRenamed("id", "position")
+    parts = [at.select("position", F.lit(lag).alias("lag"), F.round(E.lag_ramp(F.col("position"), 10.0, 15.0, lag, 6), 8).alias("value")) for lag in (1, 3, 5)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query(_PANEL + "SELECT initcap AS title, driver FROM (SELECT DISTINCT driver, upper(left(driver, 1)) || lower(substr(driver, 2)) AS initcap FROM drv WHERE classification = 'Internal')")
+def titles(spark, folder):
+    return drivers(spark, folder).where("classification = 'Internal'").select(E.snake_title(F.col("driver")).alias("title"), "driver").distinct()
+
+
 @_query(
     _PANEL
     + """, d AS (SELECT *, value - lag(value) OVER (PARTITION BY account ORDER BY month) AS df FROM acc),
@@ -714,16 +726,17 @@ def report_series(spark, folder):
 _SIX = _SEASON.replace("ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING", "ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING").replace("lag(value, 6) OVER w + lead(value, 6)", "lag(value, 3) OVER w + lead(value, 3)").replace("/ 12 AS tr", "/ 6 AS tr").replace("t % 12", "t % 6").replace("t >= 6 AND t < n - 6", "t >= 3 AND t < n - 3")
 for _a, _b in (("o AS", "o6 AS"), ("FROM o)", "FROM o6)"), ("h AS", "h6 AS"), ("FROM h GROUP", "FROM h6 GROUP"), ("m AS (SELECT", "m6 AS (SELECT"), ("FROM m)", "FROM m6)"), ("c AS (SELECT", "c6 AS (SELECT"), ("dec AS (SELECT h.*, seasonal FROM h JOIN c USING", "dec6 AS (SELECT h6.*, seasonal FROM h6 JOIN c6 USING")):
     _SIX = _SIX.replace(_a, _b)
+_DESEASON_SIX = _DESEASON.replace(", r AS", ", r6 AS").replace("FROM dec ", "FROM dec6 ").replace("sg AS", "sg6 AS").replace("FROM r)", "FROM r6)").replace("sb AS", "sb6 AS").replace("FROM sg ", "FROM sg6 ").replace("dstd AS", "dstd6 AS").replace("JOIN sb ", "JOIN sb6 ")
 _SCATTER = (
-    (_PANEL + _SEASON + _DESEASON + _SIX).replace("FROM drv WINDOW", "FROM tdrv WINDOW")
+    (_PANEL + _SEASON + _DESEASON + _SIX + _DESEASON_SIX).replace("FROM drv WINDOW", "FROM tdrv WINDOW")
     + """, s12 AS (SELECT classification, driver, var_pop(seasonal) / nullif(var_pop(value), 0) AS s FROM dec GROUP BY ALL), s6 AS (SELECT classification, driver, var_pop(seasonal) / nullif(var_pop(value), 0) AS s FROM dec6 GROUP BY ALL),
 po AS (SELECT classification, driver, value AS y, row_number() OVER (PARTITION BY classification, driver ORDER BY month) - 1 AS t, count(*) OVER (PARTITION BY classification, driver) AS n FROM tdrv),
 pg AS (SELECT classification, driver, y, CAST(t AS DOUBLE) AS x, least(floor(t / 8), greatest(floor(n / 8) - 1, 0)) AS s FROM po),
 pb AS (SELECT classification, driver, s, avg(y) AS my, avg(x) AS mx, covar_pop(x, y) / nullif(var_pop(x), 0) AS b FROM pg GROUP BY ALL),
 pstd AS (SELECT classification, driver, stddev_pop(y - my - coalesce(b, 0) * (x - mx)) AS d FROM pg JOIN pb USING (classification, driver, s) GROUP BY ALL),
 lv AS (SELECT classification, driver, avg(value) AS m FROM tdrv GROUP BY ALL),
-scat AS (SELECT lv.classification, lv.driver, greatest(coalesce(s12.s, 0), coalesce(s6.s, 0)) >= 0.1 AS seasonal, CASE WHEN greatest(coalesce(s12.s, 0), coalesce(s6.s, 0)) >= 0.1 THEN dstd.d / nullif(abs(m), 0) ELSE pstd.d END AS scatter
-  FROM lv JOIN s12 USING (classification, driver) JOIN s6 USING (classification, driver) JOIN pstd USING (classification, driver) LEFT JOIN dstd USING (classification, driver))"""
+scat AS (SELECT lv.classification, lv.driver, greatest(coalesce(s12.s, 0), coalesce(s6.s, 0)) >= 0.1 AS seasonal, CASE WHEN greatest(coalesce(s12.s, 0), coalesce(s6.s, 0)) >= 0.1 THEN CASE WHEN coalesce(s6.s, 0) >= coalesce(s12.s, 0) THEN dstd6.d ELSE dstd.d END / nullif(abs(m), 0) ELSE pstd.d END AS scatter
+  FROM lv JOIN s12 USING (classification, driver) JOIN s6 USING (classification, driver) JOIN pstd USING (classification, driver) LEFT JOIN dstd USING (classification, driver) LEFT JOIN dstd6 USING (classification, driver))"""
 )
 
 
@@ -743,6 +756,11 @@ def scenario_levels(spark, folder):
     return _levels(spark, folder).withColumn("value", F.round("value", 5))
 
 
+@_query(_SCATTER + "SELECT classification, driver, seasonal, round(scatter, 6) AS scatter FROM scat")
+def scenario_scatter(spark, folder):
+    return scenarios.scatter(training(drivers(spark, folder))).withColumn("scatter", F.round("scatter", 6))
+
+
 @_query()
 def scenario_assembled(spark, folder):
     wanted = spark.createDataFrame([("External", "ASIA", "HIGH"), ("Internal", "PROMO", "LOW")], "classification string, driver string, level string")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspring.operators import collinearity, forecasting, panel, ranking, reconcile
+from tallyspring.operators import collinearity, forecasting, panel, ranking, reconcile, scenarios
 from tallyspring.session import materialize
 from tallyspring.sources.config import Config
 
@@ -57,6 +57,42 @@ def _designs(accounts: DataFrame, drivers: DataFrame, lags: DataFrame, selected:
     return forecasting.design(forecasting.with_future(accounts, moved.select("account", "classification", "driver", "month", "x")))
 
 
+def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lags: DataFrame, selected: DataFrame, best: DataFrame, c: Config, scenario: DataFrame) -> DataFrame:
+    """account, scenario (chosen, highest, lowest), month, value over the testing months.
+
+    Drivers are forecast and perturbed to five levels; each account's chosen model is refitted and forecasts at the
+    levels of the scenario (classification, driver, level), and of the levels that raise and lower the account by the
+    sign of its correlation with each driver; all are corrected by what the base forecast differs from that at AVG.
+    """
+    g = c.general
+    known, end = g.validation.end_date, g.testing.end_date
+    months = (end.year - known.year) * 12 + end.month - known.month
+    chosen = selected.where("status = 'selected'").select("account", "classification", "driver")
+    needed = drivers.join(chosen.select("classification", "driver").distinct(), ["classification", "driver"], "left_semi")
+    past = panel.date_range(needed, None, known)
+    levels = materialize(scenarios.perturb(forecasting.forecast_drivers(past, c.forecasting.driver_method, months), scenarios.scatter(past)), "levels")
+    with_lags = lags.join(chosen, ["account", "classification", "driver"], "left_semi")
+    extrema = scenarios.extrema_by_correlation(ranking.align(panel.date_range(accounts, None, known), past, with_lags))
+
+    def designs(per_account: DataFrame) -> DataFrame:
+        """Designs with the future of each driver at its level (account, classification, driver, level)."""
+        ahead = levels.join(per_account, ["classification", "driver", "level"]).select("account", "classification", "driver", "month", "value")
+        behind = past.join(per_account.select("account", "classification", "driver"), ["classification", "driver"]).select("account", "classification", "driver", "month", "value")
+        both = behind.unionByName(ahead).join(with_lags.select("account", "classification", "driver", "lag"), ["account", "classification", "driver"])
+        moved = both.withColumn("month", F.add_months("month", F.col("lag").cast("int"))).where(F.col("month") <= F.lit(end))
+        return forecasting.design(forecasting.with_future(accounts, moved.select("account", "classification", "driver", "month", F.col("value").alias("x"))))
+
+    def forecast(level: DataFrame) -> DataFrame:
+        out = forecasting.final_forecast(designs(level), best, known, end)
+        return out.select("account", "month", F.col("forecast").alias("value"))
+
+    average = materialize(forecast(chosen.withColumn("level", F.lit("AVG"))), "average")
+    named = chosen.join(scenario.select("classification", "driver", "level"), ["classification", "driver"], "left").withColumn("level", F.coalesce("level", F.lit("AVG")))
+    parts = {"chosen": named, **{k: extrema.select("account", "classification", "driver", F.col(k).alias("level")) for k in ("highest", "lowest")}}
+    made = [scenarios.account_scenario(forecast(level), average, base).withColumn("scenario", F.lit(k)) for k, level in parts.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("account", "scenario", "month", "value")
+
+
 def run(accounts: DataFrame, drivers: DataFrame, c: Config, lags: DataFrame | None = None, best: DataFrame | None = None) -> Result:
     """Everything; lags or the choice of methods may be given from outside, and are then used as they are."""
     g, f = c.general, c.forecasting

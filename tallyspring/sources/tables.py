@@ -71,6 +71,12 @@ def selection_report(ranked: DataFrame, selected: DataFrame) -> DataFrame:
     return ranked.select(*keys, "final_rank").join(selected.select(*keys, "status"), keys, "left").withColumn("status", F.coalesce("status", F.lit("not_considered")))
 
 
+def selected_long(selected: DataFrame, lags: DataFrame, segment: str, region: str) -> DataFrame:
+    """Selected drivers with their lag, and the segment and region they were selected for."""
+    keys = ["account", "classification", "driver"]
+    return selected.where("status = 'selected'").select(*keys).join(lags.select(*keys, "lag"), keys, "left").withColumns({"segment": F.lit(segment), "region": F.lit(region)})
+
+
 def _horizon(df: DataFrame, keys: list[str], first: int, longest: int) -> DataFrame:
     """Columns forecast_val_<first> and on, by month within the keys."""
     i = F.row_number().over(Window.partitionBy(*keys).orderBy("month")) - 1 + first

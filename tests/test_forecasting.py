@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tallyspring.functions import forecast as U
 from tallyspring.operators import forecasting
+from tallyspring.sources import tables
 
 MONTHS = [date(2019 + i // 12, i % 12 + 1, 1) for i in range(72)]
 
@@ -126,3 +127,13 @@ def test_pipeline(spark):
     assert r.forecasts.count() == 18
     wide = r.reconciled.groupBy("month").pivot("account").agg(F.first("value")).collect()
     assert len(wide) == 6 and all(w.total == pytest.approx(w.x + w.y) for w in wide)
+    scenario = spark.createDataFrame([("c", "d1", "VERY_HIGH"), ("c", "d2", "AVG"), ("c", "d3", "LOW")], "classification string, driver string, level string")
+    base = r.forecasts.select("account", "month", F.col("forecast").alias("value"))
+    ridge = r.best.withColumn("method", F.lit("ridge"))
+    plans = {(x.account, x.scenario, x.month): x.value for x in pipeline.plan_scenarios(accounts, drivers, base, r.lags, r.selected, ridge, c, scenario).collect()}
+    flat = {(x.account, x.month): x.value for x in base.collect()}
+    assert len(plans) == 3 * 18
+    for (a, m), v in flat.items():
+        assert plans[a, "lowest", m] <= v + 1e-6 <= plans[a, "highest", m] + 2e-6
+    assert any(plans["x", "chosen", m] > flat["x", m] + 1e-6 for a, m in flat if a == "x")
+    assert {x.lag for x in tables.selected_long(r.selected, r.lags, "total", "total").collect()} <= {0, 1, 2}

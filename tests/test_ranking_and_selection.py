@@ -131,3 +131,12 @@ def test_binomial_tail():
 
     assert models.binomial_tail(15, 20) == pytest.approx(sum(comb(20, k) for k in range(15, 21)) / 2**20)
     assert models.binomial_tail(0, 20) == pytest.approx(1.0)
+
+
+def test_projection_and_components():
+    rng = np.random.default_rng(5)
+    b, v = rng.normal(size=(2, 6)), rng.normal(size=6)
+    p = models.project_rows(v, b)
+    assert p == pytest.approx(np.linalg.pinv(b) @ b @ v) and models.project_rows(p, b) == pytest.approx(p)
+    comps, s = models.principal(rng.normal(size=(4, 20)))
+    assert comps @ comps.T == pytest.approx(np.eye(4)) and (np.diff(s) <= 0).all()

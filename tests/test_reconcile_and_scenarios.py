@@ -90,3 +90,10 @@ def test_search_equals_enumeration(spark):
     assert exact == every
     assert S.combinations(spark, 3, 500).count() == 125 and S.combinations(spark, 4, 500).count() == 500
     assert S.decode(np.array([0, 7, 124]), 3).tolist() == [[0, 0, 0], [0, 1, 2], [4, 4, 4]]
+
+
+def test_search_with_any_model(spark):
+    levels = np.stack([np.full((3, 2), k) for k in (-2.0, -1.0, 0.0, 1.0, 2.0)])
+    curved = lambda x: -((x[:, 0] - 1) ** 2) + x[:, 1]
+    for sample in (None, 1000):
+        assert S.extrema_by_model(spark, curved, levels, sample) == {"highest": ["HIGH", "VERY_HIGH"], "lowest": ["VERY_LOW", "VERY_LOW"]}
