@@ -24,7 +24,8 @@ from tallyspring.functions import expressions as E
 from tallyspring.functions import forecast as U
 from tallyspring.functions import models as M
 
-NAME_SEASONAL = ("season", "month", "quarter", "holiday", "weather", "temp")
+# Words in a driver's name that make it seasonal whatever its strength.
+NAME_SEASONAL = ("Degree Days", "Heating", "Cooling", "Temperature", "Weather")
 
 
 class ModelNotTrainedError(RuntimeError):
@@ -57,7 +58,7 @@ def forecast_drivers(drivers: DataFrame, method: str, horizon: int, lags: DataFr
             for r in pdf.itertuples():
                 months, x = [e["month"] for e in r.p], np.array([e["value"] for e in r.p], float)
                 extra = dict(params)
-                if method == "exponential_smoothing" and any(k in (r.driver or "").lower() for k in NAME_SEASONAL):
+                if method == "exponential_smoothing" and any(k in (r.driver or "") for k in NAME_SEASONAL):
                     extra.setdefault("seasonal", len(x) >= 24)
                 if method == "xgboost":
                     extra.setdefault("month0", months[0].month - 1)
