@@ -18,6 +18,7 @@ period are each filled alike; empty tables give empty results.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def plain(c: Column) -> Column:
 
 
 def filler_numbers(values: DataFrame) -> DataFrame:
-    """Of series (string), v (double): the numbers, as ``filler``, that stand in place of entries."""
+    """Of series, v (double): the numbers, as ``filler``, that stand in place of entries."""
     real = values.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") != 0) & F.col("series").isNotNull())
     # per series and value first: repeated values shrink to one row before anything is shuffled far
     each = real.groupBy("series", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -147,7 +148,11 @@ def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
 
     Of other columns only those in ``keep`` stay, where a panel has them.
     """
-    values = [p.rows.select(F.concat(F.lit(p.name), _series(p)).alias("series"), F.col(p.value).cast("double").alias("v")) for p in panels]
+    # for counting, a number stands for the series: it is a fraction of the name's size in the shuffle
+    whole = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in p.series]) for p in panels]
+    values = [
+        p.rows.select(F.when(w, F.xxhash64(F.lit(p.name), *[F.col(c).cast("string") for c in p.series])).alias("series"), F.col(p.value).cast("double").alias("v")) for p, w in zip(panels, whole)
+    ]
     entries = [
         p.rows.select(F.lit(f"{p.name}.{c}").alias("field"), F.col(g).cast("string").alias("grp"), F.col(c).cast("string").alias("w"))
         for p in panels
