@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 MOST_SHARDS, BROADCAST_CUTS = 10_000, 500_000
 
 
-def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, halo: float = 0.02) -> DataFrame:
+def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, halo: float = 0.02, counted: DataFrame | None = None) -> DataFrame:
     """Adds ``shard`` and ``own``. Sources of up to ``target`` rows are one shard.
 
     Larger ones are cut at quantiles of their times, which a mergeable sketch finds with partial
     aggregation, so that no source has to be in one place. Rows near a cut (``halo`` of the
-    neighbouring shard's span) also go to the shard across it, there with ``own`` false.
+    neighbouring shard's span) also go to the shard across it, there with ``own`` false. ``counted`` has the
+    rows' keys from before any joins, to be counted at less cost.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
+    counted = (rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
     hot, largest = counted.agg(F.count(F.lit(1)), F.max("_n")).first()
     if not hot:
         return rows.withColumns({"shard": F.lit(0), "own": F.lit(True)})

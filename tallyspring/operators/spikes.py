@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,27 +143,32 @@ class Measured:
     habit: Habit
     floor: Column | None = None
     ceiling: Column | None = None
+    plain: DataFrame | None = None  # the rows before limits were joined to them, where they were
+
+    def keys(self, kind: int) -> tuple[Column, Column]:
+        """Two hashes that stand for the source; a row without one is its own."""
+        none = reduce(lambda a, b: a | b, [c.isNull() for c in self.source])
+        own = F.col(self.row_id).cast("long")
+        return F.when(none, own).otherwise(F.xxhash64(F.lit(kind), *self.source)), F.when(none, F.lit(1).cast("long")).otherwise(F.xxhash64(*self.source, F.lit("second")))
 
 
 def implausible(tables: list[Measured], shard_rows: int = SHARD_ROWS) -> DataFrame:
     """table_name, row_id of all entries that can't be real."""
-    parts = []
+    parts, plain = [], []
     for kind, m in enumerate(tables):
         value = m.value.cast("double")
         limit = lambda c: F.lit(None).cast("double") if c is None else F.when(~F.isnan(c), c)
-        no_source = F.greatest(*[c.isNull() for c in m.source]) if len(m.source) > 1 else m.source[0].isNull()
+        g, h = m.keys(kind)
+        plain.append((m.rows if m.plain is None else m.plain).select(g.alias("g"), h.alias("h")))
         moment = (F.year(m.time) * 12 + F.month(m.time) - 1).cast("double") if m.habit.monthly else F.unix_micros(m.time.cast("timestamp")) / 86_400e6
         parts.append(
             m.rows.select(
                 F.lit(kind).cast("byte").alias("kind"), F.col(m.row_id).cast("long").alias("row_id"), moment.alias("t"), value.alias("v"),
                 F.coalesce(value < limit(m.floor), F.lit(False)).alias("low"), F.coalesce(value > limit(m.ceiling), F.lit(False)).alias("high"),
-                F.when(no_source, F.col(m.row_id).cast("long")).otherwise(F.xxhash64(F.lit(kind), *m.source)).alias("g"),
-                F.when(no_source, F.lit(1).cast("long")).otherwise(F.xxhash64(*m.source, F.lit("second"))).alias("h"),
+                g.alias("g"), h.alias("h"),
             ).where(F.col("v").isNotNull() & ~F.isnan("v"))
         )
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    long, counted = (reduce(lambda a, b: a.unionByName(b), x) for x in (parts, plain))
     infinite = F.abs("v") == float("inf")
     # rows that can only be held against limits become a source of their own
     alone = infinite | F.col("t").isNull()
@@ -171,7 +177,7 @@ def implausible(tables: list[Measured], shard_rows: int = SHARD_ROWS) -> DataFra
         (F.col("low") | F.col("high") | infinite).alias("out"), F.when(alone, F.xxhash64("row_id", "kind")).otherwise(F.col("g")).alias("g"),
         F.when(alone, F.lit(2).cast("long")).otherwise(F.col("h")).alias("h"),
     )
-    sharded = time_shards(long, ["g", "h"], "t", shard_rows).withColumn("g", F.when(F.col("shard") == 0, F.col("g")).otherwise(F.xxhash64("g", "shard")))
+    sharded = time_shards(long, ["g", "h"], "t", shard_rows, counted=counted).withColumn("g", F.when(F.col("shard") == 0, F.col("g")).otherwise(F.xxhash64("g", "shard")))
     ready = sharded.select("g", "h", "kind", "t", "v", "row_id", "own", "out").repartition("g").sortWithinPartitions("g", "h", "t", "row_id")
     habits = [m.habit for m in tables]
     found = ready.mapInArrow(lambda it: _judge_batches(it, habits), "kind byte, row_id long")

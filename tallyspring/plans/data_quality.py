@@ -39,8 +39,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     accounts = accounts.where("NOT no_value")
     limits = {"floor": F.col("floor_value"), "ceiling": F.col("ceiling_value")}
     return spikes.implausible([
-        spikes.Measured("driver_readings", _limits(spark, folder, readings), "reading_id", [F.col("driver_unique_name")], F.col("read_at"), F.col("driver_value"), spikes.IRREGULAR, **limits),
-        spikes.Measured("drivers", _limits(spark, folder, drivers), "row_id", [F.col("driver_unique_name")], F.col("month"), F.col("measured"), spikes.MONTHLY, **limits),
+        spikes.Measured("driver_readings", _limits(spark, folder, readings), "reading_id", [F.col("driver_unique_name")], F.col("read_at"), F.col("driver_value"), spikes.IRREGULAR, plain=readings, **limits),
+        spikes.Measured("drivers", _limits(spark, folder, drivers), "row_id", [F.col("driver_unique_name")], F.col("month"), F.col("measured"), spikes.MONTHLY, plain=drivers, **limits),
         spikes.Measured("accounts", accounts, "row_id", [F.col("account_key"), F.col("product_key")], F.col("_m"), F.col("value"), spikes.MONTHLY),
     ])
 
