@@ -13,7 +13,6 @@ the first container of their group; repeated rows are items of their own; an emp
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
