@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted to, at most; leaves of the cluster tree, at most; words that it knows, at most.
-FIT_DOCS, LEAVES, WORDS = 20_000, 64, 12_000
+FIT_DOCS, LEAVES, WORDS = 8_000, 64, 12_000
 #: Share of the subject words that a subject needs; probability from which a word speaks of subjects at all; such words needed in a text, and in a short one.
 SHARE, SPEAKS, LEAST, LEAST_SHORT, SHORT = 0.22, 0.6, 2, 1, 30
 
