@@ -179,6 +179,8 @@ def stuck_flags(x: np.ndarray, t: np.ndarray, n: np.ndarray, q: np.ndarray, chan
 
 
 YEAR = 365.25
+#: Part of the scatter nearby that stands against the usual one.
+NEARBY = 0.6
 
 
 def returns_yearly(days: np.ndarray, rest: np.ndarray, at: int, size: float, window: float = 12.0, years: int = 2) -> bool:
@@ -205,13 +207,23 @@ def spike_flags(
     y = np.where(live, x - season, 0.0)
     rest = np.where(live, y - running_median(y, n, half), np.nan)
     dev = np.abs(rest)
-    scale = row_median(dev) * MAD
+    # rows at rest (closures, repeated rows) say nothing about the scatter
+    rests = np.zeros(x.shape, bool)
+    rests[:, 1:] = (np.abs(np.diff(x, axis=1)) <= q[:, None] / 2) & live[:, 1:]
+    rests[:, :-1] |= rests[:, 1:]
+    moving = np.where((~rests & live).sum(axis=1)[:, None] >= 12, np.where(rests, np.nan, dev), dev)
+    scale = row_median(moving) * MAD
     # sources that move in steps: the usual size of a step stands for the scatter
     jump = np.where(live[:, 1:], np.abs(np.diff(np.where(live, x, 0.0), axis=1)), np.nan)
     jump = np.where(jump > q[:, None] / 2, jump, np.nan)
     scale = np.where(stepped(x, n, q), np.maximum(scale, np.nan_to_num(row_median(jump)) / 2), scale)
     scale = np.maximum(np.nan_to_num(scale), q / 2)
-    around = running_median(np.nan_to_num(dev), n, wide) * MAD
+    # the scatter nearby counts where it is clearly larger than the source's usual one (that of few rows varies by itself)
+    # on either side of a row, so that the first rows of a noisier phase are held against that phase
+    near = running_median(np.nan_to_num(dev), n, wide // 2)
+    j, last = np.arange(width)[None, :], np.maximum(n[:, None] - 1, 0)
+    sides = [np.take_along_axis(near, np.clip(j + s * (wide // 2 + 1), 0, last), axis=1) for s in (-1, 1)]
+    around = np.maximum(*sides) * MAD * NEARBY
     local = np.maximum(scale[:, None], around)
     score = np.where(live, rest / local, np.nan)
     hit = esd_flags(score / margin, n, alpha, share)

@@ -43,8 +43,8 @@ class Habit:
     still: int  # moments that a stuck stretch lasts at least
 
 
-MONTHLY = Habit(True, half=5, wide=12, alpha=1e-6, margin=1.5, longest=3, still=5)
-IRREGULAR = Habit(False, half=10, wide=25, alpha=1e-6, margin=1.3, longest=5, still=6)
+MONTHLY = Habit(True, half=5, wide=12, alpha=1e-6, margin=1.35, longest=3, still=5)
+IRREGULAR = Habit(False, half=10, wide=25, alpha=1e-6, margin=1.15, longest=5, still=6)
 
 #: Cells of one padded matrix.
 CELLS = 400_000
