@@ -195,9 +195,9 @@ def spike_flags(
     x: np.ndarray, t: np.ndarray, n: np.ndarray, season: np.ndarray, q: np.ndarray, *, half: int, alpha: float, margin: float, longest: int,
     days_per_t: float, steps: np.ndarray | None = None, wide: int = 20, share: float = 0.2,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(flags, remainder, score): one or a few neighbouring rows beyond the limits, after which the source returns.
+    """(flags, remainder, band): one or a few neighbouring rows beyond the limits, after which the source returns.
 
-    The limits are those of the generalised ESD test times ``margin``, as real scatter has heavier tails than
+    The band is how far the first limit lies from the course. The limits are those of the generalised ESD test times ``margin``, as real scatter has heavier tails than
     a normal one. What comes again at the same time of other years isn't flagged, nor is a month that behaves as
     the month before or after it usually does (a season that comes early, late or not at all); ``steps`` are the
     differences of the seasonal component to those two neighbours.
@@ -256,4 +256,4 @@ def spike_flags(
                 if steps is not None and any(abs(e) > 0.5 * abs(size) and abs(size - e) < near for e in np.median(steps[i, a:b], axis=0)):
                     continue
             flags[i, a:b] = ok
-    return flags, rest, score
+    return flags, rest, limit[:, None] * local

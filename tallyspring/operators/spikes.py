@@ -12,7 +12,7 @@ against the limits and the stuck rule only; repeated rows are judged alike; an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -62,9 +62,21 @@ def _matrices(sizes: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def judge(starts: np.ndarray, sizes: np.ndarray, t: np.ndarray, v: np.ndarray, habit: Habit) -> np.ndarray:
-    """Flags for rows that lie group after group, each sorted by time. ``t`` is days, or months where the habit is monthly."""
-    flags = np.zeros(len(v), bool)
+@dataclass
+class Verdict:
+    """Per row: whether it is stuck or a spike, its distance from the course, the distance that is too far, and the last digit."""
+
+    stuck: np.ndarray
+    spike: np.ndarray
+    rest: np.ndarray
+    band: np.ndarray
+    digit: np.ndarray
+
+
+def assess(starts: np.ndarray, sizes: np.ndarray, t: np.ndarray, v: np.ndarray, habit: Habit) -> Verdict:
+    """Of rows that lie group after group, each sorted by time. ``t`` is days, or months where the habit is monthly."""
+    out = Verdict(*(np.zeros(len(v), k) for k in (bool, bool, float, float, float)))
+    out.band += np.inf
     enough = sizes >= habit.still
     starts, sizes = starts[enough], sizes[enough]
     for pick in _matrices(sizes):
@@ -83,34 +95,25 @@ def judge(starts: np.ndarray, sizes: np.ndarray, t: np.ndarray, v: np.ndarray, h
             still = anomaly.stepped(x, n, q)
             season[still] = 0
             steps[still] = 0
-        spikes, _, _ = anomaly.spike_flags(
+        spikes, rest, band = anomaly.spike_flags(
             x, when, n, season, q, half=habit.half, alpha=habit.alpha, margin=habit.margin, longest=habit.longest,
             days_per_t=anomaly.YEAR / 12 if habit.monthly else 1.0, steps=steps, wide=habit.wide,
         )
-        spikes &= ~flat & (n >= LEAST)[:, None]
-        got = (flat | spikes) & live
-        flags[src[got]] = True
-    return flags
+        known = live & (n >= LEAST)[:, None]
+        at = src[live]
+        out.stuck[at], out.spike[at], out.rest[at] = flat[live], (spikes & ~flat & known)[live], rest[live]
+        out.band[at], out.digit[at] = np.where(known, band, np.inf)[live], np.broadcast_to(q[:, None], x.shape)[live]
+    return out
 
 
-def _judge_batches(batches: Iterator[pa.RecordBatch], habits: list[Habit], least_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group and time; a group may run over several batches."""
-    held: list[pa.RecordBatch] = []
+def judge(starts: np.ndarray, sizes: np.ndarray, t: np.ndarray, v: np.ndarray, habit: Habit) -> np.ndarray:
+    found = assess(starts, sizes, t, v, habit)
+    return found.stuck | found.spike
 
-    def judged(table: pa.Table) -> pa.RecordBatch:
-        c = {k: table.column(k).to_numpy() for k in ("g", "h", "kind", "t", "v", "row_id", "own", "out")}
-        new = np.ones(table.num_rows, bool)
-        new[1:] = (np.diff(c["g"]) != 0) | (np.diff(c["h"]) != 0)
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, table.num_rows))
-        flags = c["out"].copy()
-        for k, habit in enumerate(habits):
-            mine = np.flatnonzero(c["kind"][starts] == k)
-            if len(mine):
-                flags |= judge(starts[mine], sizes[mine], c["t"], c["v"], habit)
-        keep = flags & c["own"]
-        return pa.RecordBatch.from_arrays([pa.array(c["kind"][keep]), pa.array(c["row_id"][keep])], names=["kind", "row_id"])
 
+def _by_group(batches: Iterator[pa.RecordBatch], judged: Callable[[pa.Table], pa.RecordBatch], least_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """``judged`` of tables of whole groups. Rows come sorted by group (g, h); a group may run over several batches."""
+    held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
         held.append(b)
@@ -130,6 +133,44 @@ def _judge_batches(batches: Iterator[pa.RecordBatch], habits: list[Habit], least
         yield judged(pa.Table.from_batches(held).combine_chunks())
 
 
+def _groups(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    new = np.ones(len(c["g"]), bool)
+    new[1:] = (np.diff(c["g"]) != 0) | (np.diff(c["h"]) != 0)
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(new)))
+
+
+def _judge_rows(table: pa.Table, habits: list[Habit]) -> pa.RecordBatch:
+    c = {k: table.column(k).to_numpy() for k in ("g", "h", "kind", "t", "v", "row_id", "own", "out")}
+    starts, sizes = _groups(c)
+    flags = c["out"].copy()
+    for k, habit in enumerate(habits):
+        mine = np.flatnonzero(c["kind"][starts] == k)
+        if len(mine):
+            flags |= judge(starts[mine], sizes[mine], c["t"], c["v"], habit)
+    keep = flags & c["own"]
+    return pa.RecordBatch.from_arrays([pa.array(c["kind"][keep]), pa.array(c["row_id"][keep])], names=["kind", "row_id"])
+
+
+POINT = "kind byte, g long, h long, t double, point double, like double, course double, band double"
+
+
+def _judge_points(table: pa.Table, habits: list[Habit]) -> pa.RecordBatch:
+    """Of one point per source and month: those that are flagged, with how near to the point a row shares its verdict, and those of several rows, with the course."""
+    c = {k: table.column(k).to_numpy() for k in ("g", "h", "kind", "t", "v", "n")}
+    starts, sizes = _groups(c)
+    like, course, band = np.full(len(c["v"]), -1.0), c["v"].copy(), np.full(len(c["v"]), np.inf)
+    for k, habit in enumerate(habits):
+        mine = np.flatnonzero(c["kind"][starts] == k)
+        if len(mine):
+            found = assess(starts[mine], sizes[mine], c["t"], c["v"], habit)
+            like = np.where(found.stuck, 2.01 * found.digit, np.where(found.spike, np.abs(found.rest) / 2, like))
+            at = c["kind"] == k
+            course, band = np.where(at, c["v"] - found.rest, course), np.where(at & ~found.stuck, found.band, band)
+    keep = (like >= 0) | (c["n"] > 1)
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (c["kind"], c["g"], c["h"], c["t"], c["v"], like, course, band)], names=["kind", "g", "h", "t", "point", "like", "course", "band"])
+
+
 @dataclass
 class Measured:
     """One table's measurements. ``time`` is a day or timestamp column; ``floor`` and ``ceiling`` may be null."""
@@ -159,7 +200,8 @@ def implausible(tables: list[Measured], shard_rows: int = SHARD_ROWS) -> DataFra
         value = m.value.cast("double")
         limit = lambda c: F.lit(None).cast("double") if c is None else F.when(~F.isnan(c), c)
         g, h = m.keys(kind)
-        plain.append((m.rows if m.plain is None else m.plain).select(g.alias("g"), h.alias("h")))
+        if not m.habit.monthly:
+            plain.append((m.rows if m.plain is None else m.plain).select(g.alias("g"), h.alias("h")))
         moment = (F.year(m.time) * 12 + F.month(m.time) - 1).cast("double") if m.habit.monthly else F.unix_micros(m.time.cast("timestamp")) / 86_400e6
         parts.append(
             m.rows.select(
@@ -168,18 +210,28 @@ def implausible(tables: list[Measured], shard_rows: int = SHARD_ROWS) -> DataFra
                 g.alias("g"), h.alias("h"),
             ).where(F.col("v").isNotNull() & ~F.isnan("v"))
         )
-    long, counted = (reduce(lambda a, b: a.unionByName(b), x) for x in (parts, plain))
+    long, counted = (reduce(lambda a, b: a.unionByName(b), x) if x else None for x in (parts, plain))
     infinite = F.abs("v") == float("inf")
     # rows that can only be held against limits become a source of their own
     alone = infinite | F.col("t").isNull()
     long = long.select(
         "kind", "row_id", F.coalesce("t", F.lit(0.0)).alias("t"), F.when(infinite, 0.0).otherwise(F.col("v")).alias("v"),
         (F.col("low") | F.col("high") | infinite).alias("out"), F.when(alone, F.xxhash64("row_id", "kind")).otherwise(F.col("g")).alias("g"),
-        F.when(alone, F.lit(2).cast("long")).otherwise(F.col("h")).alias("h"),
+        F.when(alone, F.lit(2).cast("long")).otherwise(F.col("h")).alias("h"), alone.alias("alone"),
     )
-    sharded = time_shards(long, ["g", "h"], "t", shard_rows, counted=counted).withColumn("g", F.when(F.col("shard") == 0, F.col("g")).otherwise(F.xxhash64("g", "shard")))
-    ready = sharded.select("g", "h", "kind", "t", "v", "row_id", "own", "out").repartition("g").sortWithinPartitions("g", "h", "t", "row_id")
     habits = [m.habit for m in tables]
-    found = ready.mapInArrow(lambda it: _judge_batches(it, habits), "kind byte, row_id long")
+    monthly = F.col("kind").isin([k for k, h in enumerate(habits) if h.monthly])
+    # Irregular sources: single rows, hot sources in shards.
+    sharded = time_shards(long.where(~monthly), ["g", "h"], "t", shard_rows, counted=counted).withColumn("g", F.when(F.col("shard") == 0, F.col("g")).otherwise(F.xxhash64("g", "shard")))
+    ready = sharded.select("g", "h", "kind", "t", "v", "row_id", "own", "out").repartition("g").sortWithinPartitions("g", "h", "t", "row_id")
+    found = ready.mapInArrow(lambda it: _by_group(it, lambda x: _judge_rows(x, habits)), "kind byte, row_id long")
+    # Monthly sources: a point per month (its middle value), so that a source is as long as the calendar however often its
+    # rows are repeated; rows then share the verdict of their month's point, or stand apart from its course themselves.
+    rows = long.where(monthly)
+    points = rows.where("NOT alone").groupBy("kind", "g", "h", "t").agg(F.percentile_approx("v", 0.5, 1000).alias("v"), F.count(F.lit(1)).alias("n"))
+    judged = points.repartition("g").sortWithinPartitions("g", "h", "t").mapInArrow(lambda it: _by_group(it, lambda x: _judge_points(x, habits)), POINT)
+    shared = (F.abs(F.col("v") - F.col("point")) <= F.col("like")) | (F.abs(F.col("v") - F.col("course")) > F.col("band"))
+    by_month = rows.where("NOT alone AND NOT out").join(judged, ["kind", "g", "h", "t"]).where(shared)
+    found = found.unionByName(by_month.select("kind", "row_id")).unionByName(rows.where("out").select("kind", "row_id"))
     names = F.element_at(F.array(*[F.lit(m.name) for m in tables]), F.col("kind").cast("int") + 1)
     return found.select(names.alias("table_name"), "row_id")

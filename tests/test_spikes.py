@@ -139,3 +139,20 @@ def test_limits_nulls_and_empty(spark):
     m = lambda d: [spikes.Measured("t", d, "id", [F.col("source")], F.col("at"), F.col("v"), spikes.IRREGULAR, F.lit(0.0), F.lit(100.0))]
     assert {r.row_id for r in spikes.implausible(m(df)).collect()} == {1, 3, 4, 6}
     assert spikes.implausible(m(df.limit(0))).count() == 0
+
+
+def test_monthly_rows_share_the_verdict_of_their_month_however_often_they_repeat(spark):
+    rng = np.random.default_rng(7)
+    rows, spike, k = [], set(), 0
+    for i in range(60):
+        at = datetime.date(2019 + i // 12, i % 12 + 1, 1)
+        v = float(np.round(200 + rng.normal(0, 2), 2))
+        for c in range(40 if i % 7 == 0 else 1):
+            k += 1
+            wrong = i == 28 or (i == 35 and c == 3)  # a whole month of copies, and one copy that differs
+            spike |= {k} if wrong else set()
+            rows.append((k, "hot", at, 900.0 + c % 2 if wrong else v + 0.01 * (c % 3)))
+    df = spark.createDataFrame(rows, "id long, source string, at date, v double")
+    m = spikes.Measured("t", df, "id", [F.col("source")], F.col("at"), F.col("v"), spikes.MONTHLY)
+    assert {r.row_id for r in spikes.implausible([m]).collect()} == spike
+    assert spikes.implausible([spikes.Measured("t", df.limit(0), "id", [F.col("source")], F.col("at"), F.col("v"), spikes.MONTHLY)]).count() == 0
