@@ -1,7 +1,8 @@
 """Collinearity among an account's candidate drivers, and the choice of drivers that aren't.
 
-A matrix over the candidates is the result's own form; candidates of an account are the ``candidates``
-best-ranked drivers per class (a parameter), so its size depends on that and not on the data.
+A matrix over the candidates is the result's own form; candidates of an account are all its ranked drivers, as
+the methods that look at all at once are defined on them together. ``candidates`` bounds them to the best-ranked
+ones per class; those beyond aren't computed, and selection never takes them.
 Selection follows the ranks and is order-dependent, so it runs per account.
 """
 
@@ -23,11 +24,15 @@ REMOVE, PRUNE = 0.7, 0.85
 PAIR = ["account", "driver_a", "driver_b"]
 
 
-def candidate_pairs(aligned: DataFrame, ranked: DataFrame, candidates: int = 25) -> DataFrame:
-    """account, driver_a < driver_b, month, x, y of the candidates of each account (x and y are the two drivers)."""
-    top = ranked.where(F.col("final_rank") <= candidates).select("account", "classification", "driver")
+def _rows(aligned: DataFrame, ranked: DataFrame, candidates: int | None) -> DataFrame:
+    top = ranked if candidates is None else ranked.where(F.col("final_rank") <= candidates)
     name = F.concat_ws("/", "classification", "driver")
-    rows = aligned.join(top, ["account", "classification", "driver"], "left_semi").select("account", name.alias("driver"), "month", "x")
+    return aligned.join(top.select("account", "classification", "driver"), ["account", "classification", "driver"], "left_semi").select("account", name.alias("driver"), "month", "x")
+
+
+def candidate_pairs(aligned: DataFrame, ranked: DataFrame, candidates: int | None = None) -> DataFrame:
+    """account, driver_a < driver_b, month, x, y of the candidates of each account (x and y are the two drivers)."""
+    rows = _rows(aligned, ranked, candidates)
     a = rows.select("account", "month", F.col("driver").alias("driver_a"), F.col("x"))
     b = rows.select("account", "month", F.col("driver").alias("driver_b"), F.col("x").alias("y"))
     return a.join(b, ["account", "month"]).where("driver_a < driver_b")
@@ -59,11 +64,9 @@ def _wide(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return list(wide.columns), wide.to_numpy(float)
 
 
-def matrices(aligned: DataFrame, ranked: DataFrame, method: str, candidates: int = 25) -> DataFrame:
+def matrices(aligned: DataFrame, ranked: DataFrame, method: str, candidates: int | None = None) -> DataFrame:
     """The methods that look at all candidates at once, per account."""
-    top = ranked.where(F.col("final_rank") <= candidates).select("account", "classification", "driver")
-    rows = aligned.join(top, ["account", "classification", "driver"], "left_semi").select("account", F.concat_ws("/", "classification", "driver").alias("driver"), "month", "x")
-    make = MATRIX[method]
+    rows, make = _rows(aligned, ranked, candidates), MATRIX[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, x = _wide(pdf)
@@ -74,7 +77,7 @@ def matrices(aligned: DataFrame, ranked: DataFrame, method: str, candidates: int
     return rows.groupBy("account").applyInPandas(run, "account string, driver_a string, driver_b string, collinearity double")
 
 
-def combined(aligned: DataFrame, ranked: DataFrame, methods: list[str] | None = None, candidates: int = 25) -> DataFrame:
+def combined(aligned: DataFrame, ranked: DataFrame, methods: list[str] | None = None, candidates: int | None = None) -> DataFrame:
     """Weighted mean over the methods; a method without a value for a pair drops out of that pair's weights."""
     methods = methods or list(WEIGHTS)
     pairs = candidate_pairs(aligned, ranked, candidates)
@@ -95,14 +98,18 @@ def accept_pruning(mean: float, used: int, threshold: float = PRUNE) -> bool:
     return used == 0 or mean < threshold / (math.log(used) + 1)
 
 
-def greedy(ranked: pd.DataFrame, pairs: dict[tuple[str, str], float], quota: int, threshold: float = REMOVE, rounds: int = 10, within_class: bool = False) -> pd.DataFrame:
+def greedy(ranked: pd.DataFrame, pairs: dict[tuple[str, str], float], quota: int, threshold: float = REMOVE, rounds: int = 10, within_class: bool = False, unknown: float | None = None) -> pd.DataFrame:
     """In the order of ranks per class, drivers whose mean collinearity with those taken so far (of all classes) is low enough.
 
     Where a class stays short of its quota the threshold is raised by a tenth, again and again, but never past the quota.
+    A pair that wasn't computed or is undefined counts as ``unknown``: NaN, so that no threshold lets the driver in. Without
+    any pairs collinearity isn't looked at.
     """
+    if unknown is None:
+        unknown = math.nan if pairs else 0.0
     chosen: list[tuple[str, str]] = []
     accept = accept_pruning if within_class else accept_removal
-    with_ = lambda a, others: float(np.mean([pairs.get((min(a, b), max(a, b)), 0.0) for b in others])) if others else 0.0
+    with_ = lambda a, others: float(np.mean([pairs.get((min(a, b), max(a, b)), unknown) for b in others])) if others else 0.0
     for kind, g in ranked.sort_values(["classification", "final_rank"]).groupby("classification", sort=True):
         names, mine, limit = list(g["driver"]), [], threshold
         for c in range(rounds + 1):
@@ -132,7 +139,7 @@ def select(ranked: DataFrame, pairs: DataFrame, quota: int = 3, within_class: bo
             for r in pdf.itertuples():
                 table = pd.DataFrame(list(r.drivers))
                 values = {(p["driver_a"], p["driver_b"]): p["collinearity"] for p in (r.pairs if r.pairs is not None else [])}
-                got = greedy(table, values, quota, threshold, within_class=within_class)
+                got = greedy(table, values, quota, threshold, within_class=within_class, unknown=math.nan)
                 table = table.merge(got.assign(taken=True), on=["classification", "driver"], how="left")
                 last = table[table["taken"].notna()].groupby("classification")["final_rank"].max()
                 table["status"] = np.where(table["taken"].notna(), "selected", np.where(table["final_rank"] < table["classification"].map(last).fillna(0), "skipped", "not_considered"))

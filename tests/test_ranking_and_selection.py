@@ -36,6 +36,17 @@ def test_selection_never_passes_the_quota():
     assert list(collinearity.greedy(ranked, {}, 2)["driver"]) == ["a", "b"]
 
 
+def test_drivers_ranked_after_the_25th_are_held_against_those_taken(spark):
+    months, rng = [date(2019 + i // 12, i % 12 + 1, 1) for i in range(36)], np.random.default_rng(8)
+    signal = rng.normal(size=36)
+    x = {f"d{k:02}": rng.normal(size=36) if k == 28 else signal + 0.01 * rng.normal(size=36) for k in range(1, 31)}
+    aligned = spark.createDataFrame([("a", "c", n, m, float(v), float(y)) for n, vs in x.items() for m, v, y in zip(months, vs, signal)], "account string, classification string, driver string, month date, x double, y double")
+    ranked = spark.createDataFrame([("a", "c", n, k + 1) for k, n in enumerate(sorted(x))], "account string, classification string, driver string, final_rank int")
+    chosen = lambda **c: {r.driver for r in collinearity.select(ranked, collinearity.combined(aligned, ranked, ["correlation", "hierarchical"], **c), 2).where("status = 'selected'").collect()}
+    assert chosen() == {"d01", "d28"}
+    assert chosen(candidates=5) == {"d01", "d02"}  # those beyond weren't computed, and are never taken
+
+
 def test_correlations(spark):
     x, y = [1, 3, 4, 5, 2], [4, 3, 1, 2, 5]
     df = spark.createDataFrame([("k", MONTHS[i], float(x[i]), float(y[i])) for i in range(5)] + [("flat", MONTHS[i], 1.0, float(i)) for i in range(5)] + [("k", MONTHS[5], None, 1.0)], "key string, month date, x double, y double")
