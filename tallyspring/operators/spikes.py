@@ -152,14 +152,17 @@ def _judge_rows(table: pa.Table, habits: list[Habit]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c["kind"][keep]), pa.array(c["row_id"][keep])], names=["kind", "row_id"])
 
 
-POINT = "kind byte, g long, h long, t double, point double, like double, course double, band double"
+POINT = "kind byte, g long, h long, t double, point double, like double, course double, band double, spared double"
 
 
 def _judge_points(table: pa.Table, habits: list[Habit]) -> pa.RecordBatch:
-    """Of one point per source and month: those that are flagged, with how near to the point a row shares its verdict, and those of several rows, with the course."""
+    """Of one point per source and month: those that are flagged, with how near to the point a row shares its verdict, and those of several rows, with the course.
+
+    A point beyond the band that is no spike (it comes again, behaves as its neighbour, lasts, is at an end) spares the rows within the band around it, too.
+    """
     c = {k: table.column(k).to_numpy() for k in ("g", "h", "kind", "t", "v", "n")}
     starts, sizes = _groups(c)
-    like, course, band = np.full(len(c["v"]), -1.0), c["v"].copy(), np.full(len(c["v"]), np.inf)
+    like, course, band, spared = np.full(len(c["v"]), -1.0), c["v"].copy(), np.full(len(c["v"]), np.inf), np.full(len(c["v"]), -1.0)
     for k, habit in enumerate(habits):
         mine = np.flatnonzero(c["kind"][starts] == k)
         if len(mine):
@@ -167,8 +170,9 @@ def _judge_points(table: pa.Table, habits: list[Habit]) -> pa.RecordBatch:
             like = np.where(found.stuck, 2.01 * found.digit, np.where(found.spike, np.abs(found.rest) / 2, like))
             at = c["kind"] == k
             course, band = np.where(at, c["v"] - found.rest, course), np.where(at & ~found.stuck, found.band, band)
+            spared = np.where(at & ~found.stuck & ~found.spike & (np.abs(found.rest) > found.band), found.band, spared)
     keep = (like >= 0) | (c["n"] > 1)
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (c["kind"], c["g"], c["h"], c["t"], c["v"], like, course, band)], names=["kind", "g", "h", "t", "point", "like", "course", "band"])
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (c["kind"], c["g"], c["h"], c["t"], c["v"], like, course, band, spared)], names=["kind", "g", "h", "t", "point", "like", "course", "band", "spared"])
 
 
 @dataclass
@@ -230,7 +234,8 @@ def implausible(tables: list[Measured], shard_rows: int = SHARD_ROWS) -> DataFra
     rows = long.where(monthly)
     points = rows.where("NOT alone").groupBy("kind", "g", "h", "t").agg(F.percentile_approx("v", 0.5, 1000).alias("v"), F.count(F.lit(1)).alias("n"))
     judged = points.repartition("g").sortWithinPartitions("g", "h", "t").mapInArrow(lambda it: _by_group(it, lambda x: _judge_points(x, habits)), POINT)
-    shared = (F.abs(F.col("v") - F.col("point")) <= F.col("like")) | (F.abs(F.col("v") - F.col("course")) > F.col("band"))
+    off = F.abs(F.col("v") - F.col("point"))
+    shared = (off <= F.col("like")) | ((F.abs(F.col("v") - F.col("course")) > F.col("band")) & (off > F.col("spared")))
     by_month = rows.where("NOT alone AND NOT out").join(judged, ["kind", "g", "h", "t"]).where(shared)
     found = found.unionByName(by_month.select("kind", "row_id")).unionByName(rows.where("out").select("kind", "row_id"))
     names = F.element_at(F.array(*[F.lit(m.name) for m in tables]), F.col("kind").cast("int") + 1)

@@ -156,3 +156,19 @@ def test_monthly_rows_share_the_verdict_of_their_month_however_often_they_repeat
     m = spikes.Measured("t", df, "id", [F.col("source")], F.col("at"), F.col("v"), spikes.MONTHLY)
     assert {r.row_id for r in spikes.implausible([m]).collect()} == spike
     assert spikes.implausible([spikes.Measured("t", df.limit(0), "id", [F.col("source")], F.col("at"), F.col("v"), spikes.MONTHLY)]).count() == 0
+
+
+def test_months_that_are_no_spike_are_none_with_repeated_rows_too(spark):
+    rng = np.random.default_rng(4)
+    month = np.arange(84)
+    x = np.round(100 + 20 * np.sin(month * np.pi / 6) + rng.normal(0, 1, 84), 2)
+    x[[28, 52, 76]] += 60  # the same month of three years
+    x[33:39] += 60  # longer than a spike lasts
+    monthly = lambda rows: [spikes.Measured("t", spark.createDataFrame(rows, "id long, source string, at date, v double"), "id", [F.col("source")], F.col("at"), F.col("v"), spikes.MONTHLY)]
+    at = [datetime.date(2017 + i // 12, i % 12 + 1, 1) for i in range(84)]
+    once = [(i, "s", at[i], float(x[i])) for i in range(84)]
+    again = [(1000 + 10 * i + c, "s", at[i], float(x[i])) for i in (20, 28, 35, 52, 76) for c in range(2)]
+    assert spikes.implausible(monthly(once)).count() == 0
+    assert spikes.implausible(monthly(once + again)).count() == 0
+    apart = [(5000, "s", at[28], 900.0), (5001, "s", at[20], 900.0)]  # rows unlike the month's others
+    assert {r.row_id for r in spikes.implausible(monthly(once + again + apart)).collect()} == {5000, 5001}
