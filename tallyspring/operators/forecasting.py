@@ -38,7 +38,8 @@ def _months_after(last: date, n: int) -> list[date]:
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(*keys)
+    # a number of its own, as few rows here are much work, and partitions of few rows would be put together
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 # ---- drivers

@@ -79,31 +79,32 @@ def choose_methods(use_default: bool = False, use: list[str] | None = None, leav
 
 
 def _joint(pairs: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
-    """keys, metric, value: one task per (account, classification), the months by drivers matrix inside it."""
+    """keys, metric, value: one task per (account, classification) and method, the months by drivers matrix inside it."""
     tail = keys[2:]
+    # a number of its own, as few rows here are much work, and partitions of few rows would be put together
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf["metric"].iloc[0]
         pdf = pdf.dropna(subset=["x", "y"]).sort_values([*tail, "month"])
         wide = pdf.pivot_table(index="month", columns=tail, values="x").dropna(axis=1).sort_index()
         y = pdf.drop_duplicates("month").set_index("month")["y"].reindex(wide.index).to_numpy(float)
         names = wide.columns.to_frame(index=False).set_axis(tail, axis=1)
-        out = []
-        for m in methods:
-            try:
-                score = JOINT[m](wide.to_numpy(float), y) if len(y) > 2 and wide.shape[1] else np.full(wide.shape[1], np.nan)
-            except np.linalg.LinAlgError:
-                score = np.full(wide.shape[1], np.nan)
-            except Exception as e:
-                raise RuntimeError(f"ranking by {m}: {e}") from e
-            out.append(names.assign(metric=m, value=score))
-        got = pd.concat(out, ignore_index=True)
+        try:
+            score = JOINT[m](wide.to_numpy(float), y) if len(y) > 2 and wide.shape[1] else np.full(wide.shape[1], np.nan)
+        except np.linalg.LinAlgError:
+            score = np.full(wide.shape[1], np.nan)
+        except Exception as e:
+            raise RuntimeError(f"ranking by {m}: {e}") from e
+        got = names.assign(metric=m, value=score)
         for k in keys[:2]:
             got[k] = pdf[k].iloc[0] if len(pdf) else None
         return got[[*keys, "metric", "value"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", metric string, value double"
-    return pairs.select(*keys, "month", "x", "y").groupBy(*keys[:2]).applyInPandas(run, schema).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    rows = pairs.select(*keys, "month", "x", "y", F.explode(F.array(*[F.lit(m) for m in methods])).alias("metric")).repartition(spread, *keys[:2], "metric")
+    return rows.groupBy(*keys[:2], "metric").applyInPandas(run, schema).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 def scores(pairs: DataFrame, methods: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -453,7 +453,7 @@ def ranking_report(spark, folder):
 
 @_query()
 def ranking_joint(spark, folder):
-    return ranking.scores(pairs(spark, folder).where("account = 'revenue'"), list(ranking.JOINT)).withColumn("value", F.round("value", 6))
+    return ranking.scores(pairs(spark, folder), list(ranking.JOINT)).withColumn("value", F.round("value", 6))
 
 
 _LAGGED = (
@@ -669,7 +669,7 @@ def account_validation(spark, folder):
 
 @_query()
 def account_tuning(spark, folder):
-    tuned = forecasting.run_models(_designs(spark, folder), ["ridge", "lasso", "moving_average", "exponential_smoothing"], TRAIN_END, VALID_END, tune="even")
+    tuned = forecasting.run_models(_designs(spark, folder), [m for m, k in forecasting.MODELS.items() if k.ranges], TRAIN_END, VALID_END, tune="even")
     return forecasting.metrics(tuned.select("account", "method", "month", "forecast", "actual")).withColumn("value", F.round("value", 6))
 
 

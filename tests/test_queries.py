@@ -59,3 +59,13 @@ def test_filters_reach_the_scan(spark):
     plan = core.queries()["p5_found"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<driver_unique_name:string,date:string,read_at:timestamp_ntz,driver_value:double>" in plan or "driver_value" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_joint_ranking_and_tuning_leave_out_no_account_and_no_method(spark, monkeypatch):
+    from tallyspring.operators import forecasting, ranking
+
+    q = core.queries()
+    monkeypatch.setattr(ranking, "JOINT", {"pca": ranking.JOINT["pca"]})  # which accounts and methods, not how they score
+    assert {r.account for r in q["ranking_joint"](spark, FOLDER).select("account").distinct().collect()} == {"order_count", "revenue", "gross", "discount", "net"}
+    got = {(r.account, r.method) for r in q["account_tuning"](spark, FOLDER).select("account", "method").distinct().collect()}
+    assert {m for _, m in got} == {m for m, k in forecasting.MODELS.items() if k.ranges} and len(got) == 5 * len({m for _, m in got})
