@@ -117,7 +117,10 @@ def _difference(x: np.ndarray, d: int, seasonal: int, period: int) -> tuple[np.n
 
 
 def arima(x: np.ndarray, horizon: int, order: tuple[int, int, int] = (1, 1, 1), seasonal: tuple[int, int, int] = (0, 0, 0), period: int = 12, exog: np.ndarray | None = None, future: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """(forecast, AIC) of an ARIMA with optional regressors by Hannan-Rissanen: a long autoregression gives the innovations, one regression the rest."""
+    """(forecast, AIC) of an ARIMA with optional regressors by Hannan-Rissanen: a long autoregression gives the innovations, one regression the rest.
+
+    The AIC is that for small samples, per month that is left and times all months, as orders use up different numbers of them.
+    """
     (p, d, q), (sp, sd, sq) = order, seasonal
     beta = None
     if exog is not None and exog.shape[1]:
@@ -146,7 +149,8 @@ def arima(x: np.ndarray, horizon: int, order: tuple[int, int, int] = (1, 1, 1),
     for t in range(m, len(w)):
         e[t] = w[t] - phi[: len(lags_ar)] @ w[[t - i for i in lags_ar]] - phi[len(lags_ar) :] @ e[[t - i for i in lags_ma]] if k else w[t]
     n = len(w) - m
-    aic = n * np.log(max((e[m:] ** 2).mean(), 1e-12)) + 2 * (k + 1)
+    terms = 2 * (k + 1) * n / (n - k - 2)
+    aic = len(x) * (np.log(max((e[m:] ** 2).mean(), 1e-12)) + terms / n)
     ws, es = list(w), list(e)
     for _ in range(horizon):
         ws.append(sum(f * ws[-i] for f, i in zip(phi, lags_ar)) + sum(f * es[-i] for f, i in zip(phi[len(lags_ar) :], lags_ma)))
@@ -179,7 +183,7 @@ def arima_default(x: np.ndarray, horizon: int, threshold: float = 0.1, period: i
     return np.full(horizon, x[-1])
 
 
-def auto_arima(x: np.ndarray, horizon: int, p: int = 2, d: int = 1, q: int = 2, sp: int = 1, sd: int = 1, sq: int = 1, period: int = 12, exog: np.ndarray | None = None, future: np.ndarray | None = None) -> np.ndarray:
+def auto_arima(x: np.ndarray, horizon: int, p: int = 5, d: int = 2, q: int = 5, sp: int = 2, sd: int = 1, sq: int = 2, period: int = 12, exog: np.ndarray | None = None, future: np.ndarray | None = None) -> np.ndarray:
     """The order with the least AIC of a grid; seasonal orders only with two periods of data."""
     best = (np.inf, np.full(horizon, x[-1]))
     long = len(x) >= 3 * period

@@ -105,19 +105,18 @@ class Tree:
             return at
         d = x.shape[1]
         pick = self.rng.choice(d, max(1, int(round(d * self.columns))), replace=False) if self.columns < 1 else np.arange(d)
-        best = (1e-12, -1, 0.0)
-        n, total = len(y), y.sum()
-        for j in np.sort(pick):
-            o = np.argsort(x[:, j], kind="stable")
-            xs, cs = x[o, j], np.cumsum(y[o])[:-1]
-            k = np.arange(1, n)
-            ok = (xs[1:] > xs[:-1]) & (k >= self.leaf) & (n - k >= self.leaf)
-            if not ok.any():
-                continue
-            gain = np.where(ok, cs**2 / k + (total - cs) ** 2 / (n - k) - total**2 / n, -np.inf)
-            i = int(gain.argmax())
-            if gain[i] > best[0]:
-                best = (float(gain[i]), int(j), float((xs[i] + xs[i + 1]) / 2))
+        best, cols, n, total = (1e-12, -1, 0.0), np.sort(pick), len(y), y.sum()
+        o = np.argsort(x[:, cols], axis=0, kind="stable")
+        xs, cs = np.take_along_axis(x[:, cols], o, axis=0), np.cumsum(y[o], axis=0)[:-1]
+        k = np.arange(1, n)[:, None]
+        ok = (xs[1:] > xs[:-1]) & (k >= self.leaf) & (n - k >= self.leaf)
+        gain = np.where(ok, cs**2 / k + (total - cs) ** 2 / (n - k) - total**2 / n, -np.inf)
+        most = gain.argmax(axis=0)
+        top = gain[most, np.arange(len(cols))]
+        j = int(top.argmax())
+        if top[j] > best[0]:
+            i = int(most[j])
+            best = (float(top[j]), int(cols[j]), float((xs[i, j] + xs[i + 1, j]) / 2))
         if best[1] < 0:
             return at
         self.gain[best[1]] += best[0]
@@ -127,13 +126,12 @@ class Tree:
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for i, row in enumerate(x):
-            j, cut, lo, hi, v = self.nodes[0]
-            while j >= 0:
-                j, cut, lo, hi, v = self.nodes[lo if row[j] <= cut else hi]
-            out[i] = v
-        return out
+        j, cut, lo, hi, v = (np.array(c) for c in zip(*self.nodes))
+        at, rows = np.zeros(len(x), int), np.arange(len(x))
+        while len(rows := rows[j[at[rows]] >= 0]):
+            now = at[rows]
+            at[rows] = np.where(x[rows, j[now]] <= cut[now], lo[now], hi[now])
+        return v[at]
 
 
 class Forest:
@@ -226,7 +224,7 @@ def binomial_tail(hits: int, n: int) -> float:
     return float(min(1.0, first * p.sum()))
 
 
-def boruta(x: np.ndarray, y: np.ndarray, iterations: int = 100, trees: int = 30, alpha: float = 0.05, depth: int = 5) -> np.ndarray:
+def boruta(x: np.ndarray, y: np.ndarray, iterations: int = 100, trees: int = 100, alpha: float = 0.05, depth: int = 5) -> np.ndarray:
     """1000 x share of rounds won against the best shuffled copy once confirmed, plus relative importance."""
     d, rng = x.shape[1], np.random.default_rng(42)
     hits, gain = np.zeros(d, int), np.zeros(d)

@@ -128,10 +128,10 @@ MODELS: dict[str, Model] = {
     "lr_drivers": Model(_linear_in_x(lambda x, y, p: M.ols(x, y))),
     "ridge": Model(_linear_in_x(lambda x, y, p: M.ridge(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}),
     "lasso": Model(_linear_in_x(lambda x, y, p: M.lasso(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}),
-    "hyperlasso": Model(_linear_in_x(lambda x, y, p: M.lasso_cv(x, y, p["alphas"], p["folds"])[:2]), {"alphas": 20, "folds": 5}),
-    "random_forest": Model(_scaled_trees(lambda p: M.Forest(p["trees"], p["depth"], p["leaf"])), {"trees": 50, "depth": 8, "leaf": 1}, {"trees": [30, 50, 100], "depth": [3, 6, 10], "leaf": [1, 3, 5]}),
+    "hyperlasso": Model(_linear_in_x(lambda x, y, p: M.lasso_cv(x, y, p["alphas"], p["folds"])[:2]), {"alphas": 100, "folds": 5}),
+    "random_forest": Model(_scaled_trees(lambda p: M.Forest(p["trees"], p["depth"], p["leaf"])), {"trees": 100, "depth": 8, "leaf": 1}, {"trees": [30, 50, 100], "depth": [3, 6, 10], "leaf": [1, 3, 5]}),
     "xgboost": Model(_scaled_trees(lambda p: M.Boosted(p["trees"], p["depth"], p["rate"])), {"trees": 100, "depth": 3, "rate": 0.1}, {"trees": [50, 100, 200], "depth": [1, 3, 5], "rate": [0.05, 0.1, 0.3]}),
-    "sarimax": Model(lambda y, x, p: lambda future, horizon: U.auto_arima(y, horizon, p["p"], p["d"], p["q"], 0, 0, 0, exog=x, future=future), {"p": 2, "d": 1, "q": 2}),
+    "sarimax": Model(lambda y, x, p: lambda future, horizon: U.auto_arima(y, horizon, p["p"], p["d"], p["q"], p["P"], p["D"], p["Q"], exog=x, future=future), {"p": 2, "d": 1, "q": 2, "P": 1, "D": 1, "Q": 1}),
     "moving_average": Model(_alone(U.last_mean), {"window": 3}, {"window": [3, 6, 9, 12]}, uses_drivers=False),
     "exponential_smoothing": Model(_alone(U.exponential_smoothing), {"threshold": 0.1}, {"threshold": [0.05, 0.1, 0.2]}, uses_drivers=False),
     "prophet": Model(lambda y, x, p: lambda future, horizon: U.trend_fourier(y, horizon, penalty=p["penalty"]), {"penalty": 1.0}, {"penalty": [0.1, 1.0, 10.0]}, uses_drivers=False),

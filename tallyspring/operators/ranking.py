@@ -50,13 +50,13 @@ def _single(pairs: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
 #: Methods on a class's drivers together: (months x drivers, account) -> score per driver.
 JOINT: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "pca": models.pca_score,
-    "rfe_random_forest": lambda x, y: models.elimination(x, y, lambda a, b, k: models.Forest(10, 5, seed=k).fit(a, b).gain, 5),
+    "rfe_random_forest": lambda x, y: models.elimination(x, y, lambda a, b, k: models.Forest(100, 5, seed=k).fit(a, b).gain, 50),
     "rfe_linear": lambda x, y: models.elimination(x, y, lambda a, b, k: np.abs(models.ols(models.standardize(a), b)[0]), 50),
     "lasso": models.lasso_stability,
     "ridge": models.ridge_importance,
     "xgboost": models.boosted_importance,
     "random_forest_lightgbm": models.forest_importance,
-    "boruta": lambda x, y: models.boruta(x, y, 25, 10),
+    "boruta": models.boruta,
     "mrmr": models.mrmr,
 }
 METHODS = [*SINGLE, *JOINT]

@@ -137,3 +137,14 @@ def test_pipeline(spark):
         assert plans[a, "lowest", m] <= v + 1e-6 <= plans[a, "highest", m] + 2e-6
     assert any(plans["x", "chosen", m] > flat["x", m] + 1e-6 for a, m in flat if a == "x")
     assert {x.lag for x in tables.selected_long(r.selected, r.lags, "total", "total").collect()} <= {0, 1, 2}
+
+
+def test_searched_orders_reach_the_stated_limits_in_any_unit():
+    rng, x = np.random.default_rng(5), np.zeros(140)
+    for t in range(5, 140):
+        x[t] = -0.9 * x[t - 5] + rng.normal(0, 0.3)
+    made = U.auto_arima(x[:120], 5, sp=0, sd=0, sq=0)
+    assert np.abs(made - (-0.9 * x[115:120])).max() < 0.4
+    assert np.abs(U.auto_arima(x[:120], 5, 2, 1, 2, 0, 0, 0) - (-0.9 * x[115:120])).max() > 0.4
+    assert U.auto_arima(1000 * x[:60], 5) == pytest.approx(1000 * U.auto_arima(x[:60], 5), rel=1e-6)
+    assert forecasting.MODELS["hyperlasso"].params["alphas"] == 100 and forecasting.MODELS["random_forest"].params["trees"] == 100

@@ -107,6 +107,27 @@ def test_joint_methods_find_the_driver(matrix, method):
         assert ranking.JOINT[method](x, y).argmax() == 1
 
 
+def test_joint_methods_run_as_often_as_stated(monkeypatch):
+    made = []
+
+    class Fake:  # driver 0 beats the shadows in 70 % of the rounds, driver 1 in half of them
+        def __init__(self, trees, *_, seed=0, **__):
+            made.append(trees)
+            self.seed = seed
+
+        def fit(self, x, y):
+            self.gain = np.full(x.shape[1], 2.0)
+            self.gain[:2] = 3.0 * (self.seed % 10 < 7), 3.0 * (self.seed % 2)
+            return self
+
+    monkeypatch.setattr(models, "Forest", Fake)
+    x, y = np.random.default_rng(9).normal(size=(40, 2)), np.arange(40.0)
+    assert ranking.JOINT["boruta"](x, y)[0] >= 700 and made == [100] * 100
+    made.clear()
+    ranking.JOINT["rfe_random_forest"](x, y)
+    assert made == [100] * 50
+
+
 def test_regressions(matrix):
     x, y = matrix
     a = np.column_stack([np.ones(60), x])
