@@ -101,6 +101,7 @@ class Model:
     params: dict = field(default_factory=dict)
     ranges: dict[str, list] = field(default_factory=dict)
     uses_drivers: bool = True
+    search: str = ""  # how its extrema over drivers are found: "" by correlation (linear, or without drivers), rows (each month by itself), additive (drivers add up)
 
 
 def _linear_in_x(f: Callable) -> Callable:
@@ -129,9 +130,9 @@ MODELS: dict[str, Model] = {
     "ridge": Model(_linear_in_x(lambda x, y, p: M.ridge(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}),
     "lasso": Model(_linear_in_x(lambda x, y, p: M.lasso(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}),
     "hyperlasso": Model(_linear_in_x(lambda x, y, p: M.lasso_cv(x, y, p["alphas"], p["folds"])[:2]), {"alphas": 100, "folds": 5}),
-    "random_forest": Model(_scaled_trees(lambda p: M.Forest(p["trees"], p["depth"], p["leaf"])), {"trees": 100, "depth": 8, "leaf": 1}, {"trees": [30, 50, 100], "depth": [3, 6, 10], "leaf": [1, 3, 5]}),
-    "xgboost": Model(_scaled_trees(lambda p: M.Boosted(p["trees"], p["depth"], p["rate"])), {"trees": 100, "depth": 3, "rate": 0.1}, {"trees": [50, 100, 200], "depth": [1, 3, 5], "rate": [0.05, 0.1, 0.3]}),
-    "sarimax": Model(lambda y, x, p: lambda future, horizon: U.auto_arima(y, horizon, p["p"], p["d"], p["q"], p["P"], p["D"], p["Q"], exog=x, future=future), {"p": 2, "d": 1, "q": 2, "P": 1, "D": 1, "Q": 1}),
+    "random_forest": Model(_scaled_trees(lambda p: M.Forest(p["trees"], p["depth"], p["leaf"])), {"trees": 100, "depth": 8, "leaf": 1}, {"trees": [30, 50, 100], "depth": [3, 6, 10], "leaf": [1, 3, 5]}, search="rows"),
+    "xgboost": Model(_scaled_trees(lambda p: M.Boosted(p["trees"], p["depth"], p["rate"])), {"trees": 100, "depth": 3, "rate": 0.1}, {"trees": [50, 100, 200], "depth": [1, 3, 5], "rate": [0.05, 0.1, 0.3]}, search="rows"),
+    "sarimax": Model(lambda y, x, p: lambda future, horizon: U.auto_arima(y, horizon, p["p"], p["d"], p["q"], p["P"], p["D"], p["Q"], exog=x, future=future), {"p": 2, "d": 1, "q": 2, "P": 1, "D": 1, "Q": 1}, search="additive"),
     "moving_average": Model(_alone(U.last_mean), {"window": 3}, {"window": [3, 6, 9, 12]}, uses_drivers=False),
     "exponential_smoothing": Model(_alone(U.exponential_smoothing), {"threshold": 0.1}, {"threshold": [0.05, 0.1, 0.2]}, uses_drivers=False),
     "prophet": Model(lambda y, x, p: lambda future, horizon: U.trend_fourier(y, horizon, penalty=p["penalty"]), {"penalty": 1.0}, {"penalty": [0.1, 1.0, 10.0]}, uses_drivers=False),
@@ -139,14 +140,14 @@ MODELS: dict[str, Model] = {
 DEFAULT_MODELS = [m for m in MODELS if m not in ("sarimax", "hyperlasso")]
 
 
-def design(aligned: DataFrame) -> DataFrame:
-    """account, names, rows: the selected drivers of an account as one array of (month, y, x[]) in order; y is null in months to forecast."""
-    name = F.concat_ws("/", "classification", "driver")
-    by_month = aligned.groupBy("account", "month").agg(F.max("y").alias("y"), F.array_sort(F.collect_list(F.struct(name.alias("n"), "x"))).alias("d"))
-    packed = by_month.groupBy("account").agg(F.array_sort(F.collect_list(F.struct("month", "y", F.transform("d", lambda e: e["x"]).alias("x"), F.size("d").alias("k")))).alias("rows"))
+def design(aligned: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """account (or other keys), rows: the selected drivers of an account as one array of (month, y, x[]) in order; y is null in months to forecast."""
+    keys, name = keys or ["account"], F.concat_ws("/", "classification", "driver")
+    by_month = aligned.groupBy(*keys, "month").agg(F.max("y").alias("y"), F.array_sort(F.collect_list(F.struct(name.alias("n"), "x"))).alias("d"))
+    packed = by_month.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month", "y", F.transform("d", lambda e: e["x"]).alias("x"), F.size("d").alias("k")))).alias("rows"))
     widest = F.array_max(F.transform("rows", lambda e: e["k"]))
     # months in which a driver is missing can't be used
-    return packed.select("account", F.filter("rows", lambda e: e["k"] == widest).alias("rows"))
+    return packed.select(*keys, F.filter("rows", lambda e: e["k"] == widest).alias("rows"))
 
 
 def _arrays(rows: list, end: date) -> tuple[list[date], np.ndarray, np.ndarray, list[date], np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspring.functions import expressions as E
-from tallyspring.operators import stats
+from tallyspring.operators import forecasting, stats
 
 # The levels of a scenario, by name.
 LEVELS = {"VERY_LOW": -2, "LOW": -1, "AVG": 0, "HIGH": 1, "VERY_HIGH": 2}
@@ -18,6 +19,8 @@ SEASONAL_FROM, RAMP, SEGMENT, PERIODS = 0.1, 6.0, 8, (6, 12)
 SERIES = ["classification", "driver"]
 #: Combinations that are enumerated at once per account; beyond, sampling or separable models.
 ENUMERATED = 2_000_000
+#: Combinations that one task scores at once.
+BLOCK = 3125
 
 
 def scatter(drivers: DataFrame) -> DataFrame:
@@ -74,8 +77,12 @@ def combinations(spark, drivers: int, sample: int | None = None, seed: int = 42)
     total = len(LEVELS) ** drivers
     if sample is None or sample >= total:
         return spark.range(total).withColumnRenamed("id", "code")
+    return spark.createDataFrame(pd.DataFrame({"code": _sampled(total, sample, seed)}))
+
+
+def _sampled(total: int, sample: int, seed: int = 42) -> np.ndarray:
     pick = np.random.default_rng(seed).choice(total, sample, replace=False) if total <= ENUMERATED else np.unique(np.random.default_rng(seed).integers(0, total, sample))
-    return spark.createDataFrame(pd.DataFrame({"code": pick.astype("int64")}))
+    return pick.astype("int64")
 
 
 def extrema_by_search(spark, coefficients: np.ndarray, means: np.ndarray, sample: int | None = None) -> dict[str, list[str]]:
@@ -118,6 +125,65 @@ def extrema_by_model(spark, predict: Callable[[np.ndarray], np.ndarray], levels:
     return {k: [names[i] for i in decode(np.array([c]), d, len(names))[0]] for k, c in (("highest", hi), ("lowest", lo))}
 
 
+def extrema_by_fit(accounts: DataFrame, past: DataFrame, levels: DataFrame, lags: DataFrame, methods: DataFrame, known: date, end: date, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """account, method, classification, driver, highest, lowest: levels of the highest and lowest mean forecast by fitted models.
+
+    ``methods`` has account and method (of those with a ``search``), ``lags`` the chosen drivers of each account. Models are
+    fitted up to ``known`` and forecast up to ``end``, over every combination of levels or a seeded sample. Combinations are in
+    blocks, each a task that fits its model again; where drivers add up, one block holds all. Of equal ones the first counts.
+    """
+    names, base = list(LEVELS), len(LEVELS)
+    y = accounts.select("account", "month", "value")
+    behind = past.withColumn("level", F.explode(F.array(*[F.lit(n) for n in names]))).select(*SERIES, "level", "month", "value")
+    both = behind.unionByName(levels.select(*SERIES, "level", "month", "value")).join(lags.join(methods.select("account").distinct(), "account", "left_semi").select("account", *SERIES, "lag"), SERIES)
+    moved = both.select("account", "level", *SERIES, F.add_months("month", F.col("lag").cast("int")).alias("month"), F.col("value").alias("x")).where(F.col("month") <= F.lit(end))
+    designs = forecasting.design(forecasting.with_future(y, moved), ["account", "level"])
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("level"))
+    packed = designs.groupBy("account").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), "rows"))).alias("options"))
+    drivers = lags.groupBy("account").agg(F.array_sort(F.collect_set(F.struct(F.concat_ws("/", *SERIES).alias("n"), *SERIES))).alias("drivers"))
+    additive = F.col("method").isin([m for m, k in forecasting.MODELS.items() if k.search == "additive"])
+    total = F.pow(F.lit(float(base)), F.size("drivers"))
+    last = F.when(additive | F.lit(sample is not None), F.lit(0)).otherwise(F.ceil(total / BLOCK).cast("int") - 1)
+    tasks = methods.select("account", "method").join(packed, "account").join(drivers, "account").withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+
+    def score(method: str, options: list, d: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        model, held = forecasting.MODELS[method], [forecasting._arrays(list(o["rows"]), known) for o in options]
+        _, target, x, months, _, _ = held[0]
+        future = np.stack([h[4] for h in held])  # levels, months, drivers
+        if future.shape[0] != base or future.shape[2] != d:
+            raise ValueError("a driver has no values at some level")
+        predict, h, every = model.fit(target, x, model.params), len(months), np.arange(d)
+        if model.search == "additive":
+            middle = names.index("AVG")
+            mean = lambda i, k: float(predict(np.where(every == i, future[k], future[middle]), h).mean())
+            effect = np.array([[mean(i, k) for k in range(base)] for i in range(d)])
+            weight = base ** (d - 1 - every)
+            codes = np.array([(effect.argmax(axis=1) * weight).sum(), (effect.argmin(axis=1) * weight).sum()])
+            return codes, effect[every[None, :], decode(codes, d, base)].sum(axis=1)
+        first = block * BLOCK
+        if sample is None:
+            codes = np.arange(first, min(first + BLOCK, base**d))
+        else:
+            codes = np.arange(base**d) if sample >= base**d else _sampled(base**d, sample, seed)
+        at = decode(codes, d, base)
+        rows = future[at[:, None, :], np.arange(h)[None, :, None], every[None, None, :]].reshape(-1, d)
+        return codes, predict(rows, len(rows)).reshape(len(codes), h).mean(axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                codes, s = score(r.method, list(r.options), len(r.drivers), int(r.block))
+                i, j = np.lexsort((codes, -s))[0], np.lexsort((codes, s))[0]
+                yield pd.DataFrame({"account": r.account, "method": r.method, "code": [int(codes[i]), int(codes[j])], "score": [s[i], s[j]]})
+
+    spread = tasks.repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account", "method", "block")
+    scored = spread.mapInPandas(run, "account string, method string, code long, score double")
+    best = scored.groupBy("account", "method").agg(F.max_by("code", F.struct("score", -F.col("code"))).alias("hi"), F.min_by("code", F.struct("score", "code")).alias("lo"))
+    each = best.join(drivers, "account").select("account", "method", "hi", "lo", F.size("drivers").alias("d"), F.posexplode("drivers").alias("i", "e"))
+    level = lambda c: F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(F.col(c) / F.pow(F.lit(float(base)), F.col("d") - 1 - F.col("i"))) % base + 1).cast("int"))
+    return each.select("account", "method", *[F.col(f"e.{c}").alias(c) for c in SERIES], level("hi").alias("highest"), level("lo").alias("lowest"))
+
+
 def extrema(spark, method: str, aligned: DataFrame | None = None, **search) -> DataFrame | dict:
     """auto: by correlation for linear models (``aligned`` given), else by sampling; correlation, sampling or exact by name."""
     if method == "correlation" or (method == "auto" and aligned is not None):

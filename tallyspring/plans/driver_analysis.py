@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -774,13 +773,16 @@ def scenario_extrema(spark, folder):
 
 @_query()
 def scenario_search(spark, folder):
-    """Highest and lowest levels of three drivers by sampling and by exact search of an additive model."""
-    means = np.array([[1.0, 2, 3, 4, 5], [5, 4, 3, 2, 1], [1, 1, 1, 1, 2]])
-    rows = []
-    for name, sample in (("exact", None), ("sampled", 120)):
-        got = scenarios.extrema_by_search(spark, np.array([1.0, 0.5, 2.0]), means, sample)
-        rows += [(name, kind, i, level) for kind, levels in got.items() for i, level in enumerate(levels)]
-    return spark.createDataFrame(rows, "search string, kind string, driver_no int, level string")
+    """Levels of the highest and lowest forecast of each account by each model that uses drivers, over its selected ones: exact and sampled, and by correlation for linear models."""
+    p, ranked = _candidates(spark, folder)
+    chosen = materialize(collinearity.select(ranked, collinearity.combined(p, ranked), 2).where("status = 'selected'").select("account", *DRIVER), "selected")
+    every = lambda searched: chosen.select("account").distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m, k in forecasting.MODELS.items() if k.uses_drivers and bool(k.search) == searched])))
+    lags, levels, past = chosen.withColumn("lag", F.lit(0)), materialize(_levels(spark, folder), "levels"), training(drivers(spark, folder))
+    end = date(TRAIN_END.year + 1, 6, 1)
+    out = scenarios.extrema_by_correlation(p.join(chosen, ["account", *DRIVER], "left_semi")).join(every(False), "account").withColumn("search", F.lit("correlation"))
+    for name, sample in (("exact", None), ("sampled", 500)):
+        out = out.unionByName(scenarios.extrema_by_fit(accounts(spark, folder), past, levels, lags, every(True), TRAIN_END, end, sample).withColumn("search", F.lit(name)))
+    return out.select("account", "method", "search", *DRIVER, "highest", "lowest")
 
 
 @_query(_PANEL + """, f AS (SELECT account, month, value FROM acc WHERE month BETWEEN DATE '2000-01-01' AND DATE '2000-06-01')

@@ -57,12 +57,13 @@ def _designs(accounts: DataFrame, drivers: DataFrame, lags: DataFrame, selected:
     return forecasting.design(forecasting.with_future(accounts, moved.select("account", "classification", "driver", "month", "x")))
 
 
-def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lags: DataFrame, selected: DataFrame, best: DataFrame, c: Config, scenario: DataFrame) -> DataFrame:
+def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lags: DataFrame, selected: DataFrame, best: DataFrame, c: Config, scenario: DataFrame, sample: int | None = None) -> DataFrame:
     """account, scenario (chosen, highest, lowest), month, value over the testing months.
 
     Drivers are forecast and perturbed to five levels; each account's chosen model is refitted and forecasts at the
-    levels of the scenario (classification, driver, level), and of the levels that raise and lower the account by the
-    sign of its correlation with each driver; all are corrected by what the base forecast differs from that at AVG.
+    levels of the scenario (classification, driver, level), and of the levels that raise and lower the account: by the
+    sign of its correlation with each driver where its model is linear, else by its fitted model over every combination
+    of levels (or ``sample`` of them); all are corrected by what the base forecast differs from that at AVG.
     """
     g = c.general
     known, end = g.validation.end_date, g.testing.end_date
@@ -72,7 +73,9 @@ def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lag
     past = panel.date_range(needed, None, known)
     levels = materialize(scenarios.perturb(forecasting.forecast_drivers(past, c.forecasting.driver_method, months), scenarios.scatter(past)), "levels")
     with_lags = lags.join(chosen, ["account", "classification", "driver"], "left_semi")
-    extrema = scenarios.extrema_by_correlation(ranking.align(panel.date_range(accounts, None, known), past, with_lags))
+    searched = best.where(F.col("method").isin([m for m, k in forecasting.MODELS.items() if k.search])).select("account", "method")
+    linear = scenarios.extrema_by_correlation(ranking.align(panel.date_range(accounts, None, known), past, with_lags)).join(searched.select("account"), "account", "left_anti")
+    extrema = materialize(linear.unionByName(scenarios.extrema_by_fit(accounts, past, levels, with_lags, searched, known, end, sample).drop("method")), "extrema")
 
     def designs(per_account: DataFrame) -> DataFrame:
         """Designs with the future of each driver at its level (account, classification, driver, level)."""

@@ -97,3 +97,48 @@ def test_search_with_any_model(spark):
     curved = lambda x: -((x[:, 0] - 1) ** 2) + x[:, 1]
     for sample in (None, 1000):
         assert S.extrema_by_model(spark, curved, levels, sample) == {"highest": ["HIGH", "VERY_HIGH"], "lowest": ["VERY_LOW", "VERY_LOW"]}
+
+
+@pytest.fixture
+def peaked(spark):
+    rng, months = np.random.default_rng(6), [date(2019 + i // 12, i % 12 + 1, 1) for i in range(66)]
+    d = {n: rng.normal(50, 5, 66) for n in ("d1", "d2")}
+    y = 500 - (d["d1"] - 50) ** 2 + d["d2"]
+    accounts = spark.createDataFrame([("x", m, float(v)) for m, v in zip(months[:60], y)], "account string, month date, value double")
+    drivers = spark.createDataFrame([("c", n, m, float(v)) for n, vs in d.items() for m, v in zip(months[:60], vs)], "classification string, driver string, month date, value double")
+    return accounts, drivers, months, d, y
+
+
+def test_search_by_fit_equals_brute_force(spark, peaked):
+    import itertools
+
+    from tallyspring.operators import forecasting
+
+    accounts, drivers, months, d, y = peaked
+    width = {"d1": 4.0, "d2": 3.0}
+    levels = spark.createDataFrame([("c", n, lv, m, 50.0 + k * width[n] + i) for n in d for lv, k in S.LEVELS.items() for i, m in enumerate(months[60:])], "classification string, driver string, level string, month date, value double")
+    lags = spark.createDataFrame([("x", "c", n, 0) for n in d], "account string, classification string, driver string, lag int")
+    methods = spark.createDataFrame([("x", m) for m in ("random_forest", "xgboost", "sarimax")], "account string, method string")
+    got = {(r.method, r.driver): (r.highest, r.lowest) for r in S.extrema_by_fit(accounts, drivers, levels, lags, methods, months[59], months[65]).collect()}
+    x = np.column_stack([d["d1"], d["d2"]])[:60]
+    for m in ("random_forest", "xgboost", "sarimax"):
+        model = forecasting.MODELS[m]
+        predict = model.fit(y[:60], x, model.params)
+        score = {c: predict(np.column_stack([50.0 + S.LEVELS[c[i]] * width[n] + np.arange(6) for i, n in enumerate(("d1", "d2"))]), 6).mean() for c in itertools.product(S.LEVELS, repeat=2)}
+        high, low = ((got[m, "d1"][i], got[m, "d2"][i]) for i in (0, 1))
+        assert score[high] == pytest.approx(max(score.values())) and score[low] == pytest.approx(min(score.values()))
+
+
+def test_plans_of_a_forest_are_its_own_extrema(spark, peaked):
+    from tallyspring.plans import pipeline
+    from tallyspring.sources.config import load_config
+
+    accounts, drivers, months, _, _ = peaked
+    c = load_config({"accounts": ["x"], "general": {"training": {"start_date": "2019-01-01", "end_date": "2022-12-01"}, "validation": {"start_date": "2023-01-01", "end_date": "2023-12-01"}, "testing": {"start_date": "2024-01-01", "end_date": "2024-06-01"}}, "forecasting": {"driver_method": "moving_average"}})
+    lags = spark.createDataFrame([("x", "c", "d1", 0)], "account string, classification string, driver string, lag int")
+    selected = lags.selectExpr("account", "classification", "driver", "'selected' AS status")
+    best = spark.createDataFrame([("x", "random_forest")], "account string, method string")
+    base = spark.createDataFrame([("x", m, 0.0) for m in months[60:]], "account string, month date, value double")
+    scenario = spark.createDataFrame([("c", "d1", "AVG")], "classification string, driver string, level string")
+    mean = {r.scenario: r.v for r in pipeline.plan_scenarios(accounts, drivers, base, lags, selected, best, c, scenario).groupBy("scenario").avg("value").toDF("scenario", "v").collect()}
+    assert mean["highest"] >= mean["chosen"] - 1e-9 and mean["lowest"] < mean["chosen"] - 20
