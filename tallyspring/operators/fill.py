@@ -161,9 +161,15 @@ def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
     both = lambda parts: parts[0] if len(parts) == 1 else both([parts[0].unionByName(parts[1]), *parts[2:]])
     fillers = filler_numbers(both(values))
     found: dict[str, list[str]] = {}
+    many = None
     if entries:
-        for field, word in filler_words(both(entries)).limit(LITERALS).collect():
-            found.setdefault(field, []).append(word)
+        words = filler_words(both(entries))
+        got = words.limit(LITERALS + 1).collect()
+        if len(got) > LITERALS:
+            many = words
+        else:
+            for field, word in got:
+                found.setdefault(field, []).append(word)
     out = []
     for p in panels:
         month = month_of(F.col(p.period))
@@ -174,8 +180,13 @@ def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
         flags = {f"no_{p.value}": v.isNull() | F.isnan(v) | F.col("_filler"), "_m": F.when(real_month, month)}
         if p.period_may_miss:
             flags[f"no_{p.period}"] = ~real_month
-        flags |= {f"no_{c}": missing_text(F.col(c), found.get(f"{p.name}.{c}", [])) for c in p.categories}
-        out.append(df.withColumns(flags).drop("_filler"))
+        for c in p.categories:
+            flags[f"no_{c}"] = missing_text(F.col(c), found.get(f"{p.name}.{c}", []))
+            if many is not None:
+                side = many.where(F.col("field") == f"{p.name}.{c}").select(F.col("word").alias(f"_word_{c}"))
+                df = df.join(side, plain(F.col(c)) == F.col(f"_word_{c}"), "left")
+                flags[f"no_{c}"] |= F.col(f"_word_{c}").isNotNull()
+        out.append(df.withColumns(flags).drop("_filler", *[f"_word_{c}" for c in p.categories]))
     return out
 
 

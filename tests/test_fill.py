@@ -91,3 +91,18 @@ def test_many_fillers_are_joined(spark, panel, monkeypatch):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
     fillers = spark.createDataFrame([(3.0,), (4.0,)], "filler double")
     assert [r.hit for r in fill.matches(df, F.col("v"), fillers, "filler", "hit").orderBy("v").collect()] == [False, False, True]
+
+
+def test_many_filler_words_are_joined(spark, monkeypatch):
+    rows, k = [], 0
+    for g in "abcd":
+        for i in range(12):
+            k += 1
+            rows.append((k, f"2024-{i + 1:02}-01", g, f"usual {g}" if i < 8 else f"odd {i}", f"kind {g}" if i < 10 else f"strange {i}", float(k)))
+    df = spark.createDataFrame(rows, "id long, month string, name string, unit string, sort string, v double")
+    p = fill.Panel("t", df, "id", "month", "v", ["name"], {"unit": "name", "sort": "name"})
+    entries = lambda: {(r.row_id, r.field_name) for r in fill.missing_entries([p]).collect()}
+    few = entries()
+    assert few == {(r[0], "unit") for r in rows if r[3].startswith("odd")} | {(r[0], "sort") for r in rows if r[4].startswith("strange")}
+    monkeypatch.setattr(fill, "LITERALS", 2)
+    assert entries() == few
