@@ -2,7 +2,7 @@
 
 A model is fitted to a bounded sample of hand-labelled documents (``FIT_DOCS``, a parameter): their
 normalised word vectors are clustered by bisecting k-means; a leaf is named by the labels of its
-documents and its discriminative terms; leaves become components of a mixture (with one more for the
+documents alone, while its discriminative terms are listed for readers; leaves become components of a mixture (with one more for the
 language common to all), refined by expectation-maximisation, in which a document may only use leaves
 of its own labels' subjects or of its own leaf's, so a few wrong labels do no harm.
 
