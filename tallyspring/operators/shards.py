@@ -4,45 +4,68 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest number of shards of one source, and of cuts (8 bytes each) that may be broadcast; more are joined.
-MOST_SHARDS, BROADCAST_CUTS = 10_000, 500_000
+from tallyspring.session import materialize
 
+#: Quantiles of one step; a source that needs more shards than a quarter of them is cut again.
+STEPS = 400
+#: Times that shards can be cut again: a place of three digits in the shard's number for each.
+DEPTH = 5
+#: Hot sources whose keys, or cuts, may be broadcast (8 bytes each); more are joined.
+BROADCAST = 500_000
 
-def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, halo: float = 0.02, counted: DataFrame | None = None) -> DataFrame:
-    """Adds ``shard`` and ``own``. Sources of up to ``target`` rows are one shard.
 
-    Larger ones are cut at quantiles of their times, which a mergeable sketch finds with partial
-    aggregation, so that no source has to be in one place. Rows near a cut (``halo`` of the
-    neighbouring shard's span) also go to the shard across it, there with ``own`` false. ``counted`` has the
-    rows' keys from before any joins, to be counted at less cost.
+def hot_sources(rows: DataFrame, keys: list[str], target: int) -> tuple[DataFrame | None, int, int]:
+    """(keys and ``_n`` of the sources of more than ``target`` rows, their number, rows of the largest)."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
+    got = counted.limit(BROADCAST // 5 + 1).collect()
+    if not got:
+        return None, 0, 0
+    if len(got) <= BROADCAST // 5:
+        return rows.sparkSession.createDataFrame(got, counted.schema), len(got), max(r["_n"] for r in got)
+    counted = materialize(counted, "hot")
+    return counted, *counted.agg(F.count(F.lit(1)), F.max("_n")).first()
+
+
+def time_shards(rows: DataFrame, keys: list[str], t: str, target: int, hot: DataFrame, many: int, largest: int, depth: int = 0) -> DataFrame:
+    """``rows`` (of the ``hot`` sources only) with ``shard``, numbered along time. Each source gets as many as its own rows need.
+
+    Cuts are quantiles of a source's times, which a mergeable sketch finds with partial aggregation, so that no source has
+    to be in one place. Rows of one moment are never parted.
     """
-    counted = (rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
-    hot, largest = counted.agg(F.count(F.lit(1)), F.max("_n")).first()
-    if not hot:
-        return rows.withColumns({"shard": F.lit(0), "own": F.lit(True)})
-    parts = max(2, min(math.ceil(largest / target), MOST_SHARDS))
-    near = F.broadcast if hot * (parts + 1) <= BROADCAST_CUTS else (lambda df: df)
-    only_hot = rows.join(near(counted), keys, "left_semi")
-    cuts = only_hot.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(t, [i / parts for i in range(parts + 1)], 20 * parts)).alias("_cuts")
+    most = STEPS // 4
+    steps = min(STEPS, 4 * math.ceil(largest / target))
+    near = F.broadcast if many * (steps + 1) <= BROADCAST else (lambda df: df)
+    found = rows.groupBy(*keys).agg(F.percentile_approx(t, [i / steps for i in range(steps + 1)], 20 * steps).alias("_q"))
+    wanted = hot.select(*[F.col(k).alias(f"_h{k}") for k in keys], F.least(F.ceil(F.col("_n") / target), F.lit(most)).cast("int").alias("_parts"))
+    on = [F.col(k) == F.col(f"_h{k}") for k in keys]
+    cuts = found.join(near(wanted), on).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.expr(f"array_distinct(transform(sequence(0, _parts), i -> _q[cast(round(i * {steps} / _parts) as int)]))").alias("_cuts")
     )
-    named = [F.col(k).alias(f"_{k}") for k in keys]
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    joined = rows.join(near(cuts.select(*named, "_cuts")), on, "left")
-    # _at: number of the shard; its bounds are _cuts[_at] and _cuts[_at + 1]. Found in two steps, among every
-    # step-th cut and then among those between, so that a row looks at twice the root of the number of cuts.
-    step = math.isqrt(parts) + 1
-    coarse = f"size(filter(sequence(0, size(_cuts) - 1, {step}), i -> _cuts[i] <= {t})) - 1"
-    fine = f"greatest(_c, 0) * {step} + size(filter(slice(_cuts, greatest(_c, 0) * {step} + 1, {step}), c -> c <= {t})) - 1"
-    placed = joined.withColumn("_c", F.expr(f"CASE WHEN size(_cuts) > 0 THEN {coarse} END")).withColumn("_at", F.expr(f"CASE WHEN size(_cuts) > 0 THEN greatest(least({fine}, size(_cuts) - 2), 0) END"))
-    shards = F.expr(f"""
-        CASE WHEN _cuts IS NULL OR size(_cuts) < 3 THEN array(named_struct('shard', 0, 'own', true)) ELSE
-        filter(array(
-          named_struct('shard', _at, 'own', true),
-          CASE WHEN _at + 2 < size(_cuts) AND {t} >= _cuts[_at + 1] - (_cuts[_at + 1] - _cuts[_at]) * {halo} THEN named_struct('shard', _at + 1, 'own', false) END,
-          CASE WHEN _at > 0 AND {t} < _cuts[_at] + (_cuts[_at + 1] - _cuts[_at]) * {halo} THEN named_struct('shard', _at - 1, 'own', false) END
-        ), s -> s IS NOT NULL) END""")
-    return placed.withColumn("_s", F.explode(shards)).withColumns({"shard": F.col("_s.shard"), "own": F.col("_s.own")}).drop("_s", "_at", "_c", "_cuts", *[f"_{k}" for k in keys])
+    cuts = materialize(cuts, "cuts")
+    placed = rows.join(near(cuts), [F.col(k) == F.col(f"_{k}") for k in keys])
+    shard = F.expr(f"greatest(least(size(filter(_cuts, c -> c <= {t})) - 1, size(_cuts) - 2), 0)").cast("long") * F.lit(1000 ** (DEPTH - depth))
+    placed = placed.withColumn("shard", shard).drop("_cuts", *[f"_{k}" for k in keys])
+    if largest <= most * target or depth == DEPTH:
+        return placed
+    # shards that are still too large are sources of their own; those that can't be cut (one moment) stay
+    placed = materialize(placed, "shards")
+    inner = [*keys, "shard"]
+    again, many, worst = hot_sources(placed, inner, 2 * target)
+    if again is None or worst >= largest:
+        return placed
+    outer = f"_outer{len(keys)}"
+    inside = placed.join(again.select(*inner), inner, "left_semi").withColumnRenamed("shard", outer)
+    cut = time_shards(inside, [*keys, outer], t, target, again.withColumnRenamed("shard", outer), many, worst, depth + 1)
+    cut = cut.withColumn("shard", F.col(outer) + F.col("shard")).drop(outer)
+    return placed.join(again.select(*inner), inner, "left_anti").unionByName(cut)
+
+
+def across(borders: DataFrame, shards: DataFrame, keys: list[str]) -> DataFrame:
+    """``borders`` (rows near a shard's ends, with ``first``: whether at its beginning) with the number of the shard across the cut."""
+    along = Window.partitionBy(*keys).orderBy("shard")
+    near = shards.select(*keys, "shard").distinct().select(*keys, "shard", F.lag("shard").over(along).alias("_before"), F.lead("shard").over(along).alias("_after"))
+    moved = borders.join(near, [*keys, "shard"]).withColumn("shard", F.when(F.col("first"), F.col("_before")).otherwise(F.col("_after")))
+    return moved.where("shard IS NOT NULL").drop("_before", "_after", "first")

@@ -1,6 +1,7 @@
 import ast
 from pathlib import Path
 
+import pytest
 from tallyspring import session
 
 ROOT = Path(session.__file__).parent
@@ -41,3 +42,24 @@ def test_nothing_outside_imports_the_optional_subpackage():
     for p in ROOT.rglob("*.py"):
         if p.parent.name != "llm":
             assert not [m for m in imports(p) if "llm" in m], p
+
+
+def test_written_tables_go_with_release(spark):
+    df = session.materialize(spark.range(3), "gone")
+    where = [Path(f.removeprefix("file:").replace("///", "/")) for f in df.inputFiles()]
+    assert all(p.exists() for p in where)
+    session.release(spark)
+    assert not any(p.exists() for p in where)
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())

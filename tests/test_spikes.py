@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tallyspring.functions import anomaly
-from tallyspring.operators import spikes
-from tallyspring.operators.shards import time_shards
+from tallyspring.operators import shards, spikes
+from tallyspring.operators.shards import hot_sources, time_shards
 
 
 def test_normal_and_t_quantiles():
@@ -120,16 +120,83 @@ def test_shards_give_what_the_whole_gives(spark, course):
     m = lambda: [spikes.Measured("t", table(spark, rows), "id", [F.col("source")], F.col("at"), F.col("v"), spikes.IRREGULAR)]
     whole = {r.row_id for r in spikes.implausible(m()).collect()}
     assert whole == planted
-    assert {r.row_id for r in spikes.implausible(m(), shard_rows=1000).collect()} == planted
-
-
-def test_shards_keep_every_row_once(spark):
-    df = spark.range(5000).selectExpr("id", "'a' AS g", "0L AS h", "CAST(id AS DOUBLE) AS t").union(spark.range(10).selectExpr("id", "'b'", "0L", "CAST(id AS DOUBLE)"))
-    out = time_shards(df, ["g", "h"], "t", 700)
-    assert out.where("own").count() == 5010 and out.where("own").select("g", "id").distinct().count() == 5010
-    assert out.where("g = 'a'").select("shard").distinct().count() > 5
-    assert out.groupBy("g", "shard").count().agg(F.max("count")).first()[0] < 1000
-    assert out.where("NOT own").count() > 0
+    assert {r.row_id for r in spikes.implausible(m(), shard_rows=1000, border=100).collect()} == planted
+
+
+def readings(spark, sources):
+    """Of {name: (times in days, values)}; ids count on."""
+    start, rows, ids = datetime.datetime(2018, 1, 1), [], {}
+    for name, (t, v) in sources.items():
+        ids[name] = range(len(rows), len(rows) + len(v))
+        rows += [(len(rows) + i, name, start + datetime.timedelta(days=float(d)), float(x), 0, 0) for i, (d, x) in enumerate(zip(t, v))]
+    return table(spark, rows), ids
+
+
+def flagged(df, **how):
+    return {r.row_id for r in spikes.implausible([spikes.Measured("t", df, "id", [F.col("source")], F.col("at"), F.col("v"), spikes.IRREGULAR)], **how).collect()}
+
+
+def test_a_large_neighbour_changes_no_verdict(spark):
+    rng = np.random.default_rng(8)
+    small, large = np.round(50 + rng.normal(0, 1, 1200), 2), np.round(100 + rng.normal(0, 1, 60_000), 2)
+    planted = rng.choice(np.arange(20, 1180, 15), 12, replace=False)
+    small[planted] += 40
+    df, ids = readings(spark, {"small": (np.arange(1200.0), small), "large": (np.arange(60_000) / 60, large)})
+    assert flagged(df, shard_rows=1000, border=100) == {ids["small"][i] for i in planted}
+
+
+def test_what_needs_the_whole_source_is_judged_alike_across_cuts(spark):
+    rng = np.random.default_rng(9)
+    n = 4000
+    t = np.arange(n) * (4 * 365.25 / n)
+    x = np.round(100 + rng.normal(0, 1, n), 2)
+    for k in range(4):  # the same time of each year
+        at = int(np.searchsorted(t, 100 + k * 365.25))
+        x[at : at + 3] += 60
+    x[1500:1900] = np.round(100 + rng.normal(0, 4, 400), 2)  # a noisier phase
+    x[980:1020] = x[980]  # a stuck stretch across a cut
+    x[2500] += 50
+    x[3000] -= 50  # at a cut, or next to one
+    df, ids = readings(spark, {"s": (t, x), "quiet": (np.arange(300.0), np.round(10 + rng.normal(0, 0.1, 300), 2))})
+    whole = flagged(df)
+    assert whole == {*range(980, 1020), 2500, 3000}
+    for rows in (2000, 1000, 500):
+        assert flagged(df, shard_rows=rows, border=100) == whole, rows
+
+
+def test_steps_closures_and_the_last_digit_are_those_of_the_whole_source(spark):
+    rng = np.random.default_rng(10)
+    steps = np.repeat(np.round(500 + rng.normal(0, 20, 200).cumsum(), 2), 15)
+    rest = np.where(np.arange(3000) % 600 < 150, 0.0, np.round(5000 + rng.normal(0, 80, 3000), 0))  # a fifth of the time at rest
+    week = np.round(100 + 30 * (np.arange(3000) % 7 >= 5) + rng.normal(0, 1, 3000), 2)
+    steps[1234], rest[1900], week[2001] = 9000, 90_000, 170
+    df, ids = readings(spark, {k: (np.arange(3000) / 2 if k != "week" else np.arange(3000.0), v) for k, v in (("steps", steps), ("rest", rest), ("week", week))})
+    whole = flagged(df)
+    assert {ids["steps"][1234], ids["rest"][1900], ids["week"][2001]} <= whole
+    assert flagged(df, shard_rows=700, border=150) == whole
+
+
+def test_shards_keep_every_row_once_and_each_source_gets_its_own_number(spark):
+    df = spark.range(5000).selectExpr("id", "'a' AS g", "0L AS h", "CAST(id AS DOUBLE) AS t").union(spark.range(1500).selectExpr("id", "'b'", "0L", "CAST(id AS DOUBLE)"))
+    hot, many, largest = hot_sources(df, ["g", "h"], 700)
+    assert (many, largest) == (2, 5000)
+    out = time_shards(df, ["g", "h"], "t", 700, hot, many, largest)
+    assert out.count() == 6500 and out.select("g", "id").distinct().count() == 6500
+    assert {r.g: r.n for r in out.groupBy("g").agg(F.countDistinct("shard").alias("n")).collect()} == {"a": 8, "b": 3}
+    sizes = [r["count"] for r in out.groupBy("g", "shard").count().collect()]
+    assert min(sizes) > 350 and max(sizes) < 900
+    assert hot_sources(df, ["g", "h"], 5000)[0] is None
+
+
+def test_more_shards_than_one_step_cuts(spark, monkeypatch):
+    monkeypatch.setattr(shards, "STEPS", 16)
+    df = spark.range(9000).selectExpr("id", "'a' AS g", "0L AS h", "CAST(id * id AS DOUBLE) AS t").union(spark.range(900).selectExpr("id", "'b'", "0L", "1.0D"))
+    out = time_shards(df, ["g", "h"], "t", 300, *hot_sources(df, ["g", "h"], 300)).cache()
+    assert out.count() == 9900
+    assert out.where("g = 'a'").groupBy("shard").count().agg(F.max("count")).first()[0] <= 700
+    assert out.where("g = 'b'").select("shard").distinct().count() == 1  # one moment can't be parted
+    order = [r.shard for r in out.where("g = 'a'").orderBy("t").select("shard").collect()]
+    assert order == sorted(order)
 
 
 def test_limits_nulls_and_empty(spark):
