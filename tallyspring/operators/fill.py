@@ -4,9 +4,9 @@ An entry is missing where it is null, NaN, blank, or holds something written in
 What is written in place of entries is found in the data: a filler number lies far outside the own
 range of several unrelated series; a filler word is nowhere the usual entry of a group whose rows
 all carry the same one; a filler date is a month in which no series has data. Well-known marks and
-numbers (a fixed list) count as such where the data alone are too few to tell.
+numbers (a panel's ``marks`` and ``numbers``, by default a fixed list) count as such where the data alone are too few to tell.
 
-Filling is time-ordered per series: numbers are interpolated between the observed neighbours,
+Filling, by which entries are also found and listed, is time-ordered per series: numbers are interpolated between the observed neighbours,
 categories carried within a gap limit; months without a row are made. Every filled entry has its
 method and its distance (in periods) from the nearest observation.
 
@@ -17,12 +17,14 @@ period are each filled alike; empty tables give empty results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspring.session import materialize
+
 # Words and marks that people and programs write where an entry is missing.
 MARKS = (
     "#n/a", "#na", "#null!", "#ref!", "#value!", "(blank)", "(leer)", "(null)", "*", "-", "--", "---", ".", "..", "...", "?", "??", "???", "empty", "k. a.", "k.a.",
@@ -34,6 +36,8 @@ NUMBERS = (-99.0, -999.0, -9999.0, -99999.0, 99999.0, 999999.0, 9999999.0, 99999
 
 #: Series in which a number must lie far outside to be a filler by the data alone; and groups for a word.
 SERIES, GROUPS = 3, 3
+#: Minus the logarithm of the chance (Chernoff's bound for a Poisson count) below which that many series with the same far number are no coincidence.
+UNLIKELY = 16.0
 #: Copies of a series' quantiles.
 SALTS = 8
 #: Fillers that are sent to the executors as literals; more than that are joined.
@@ -49,51 +53,55 @@ def plain(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""))
 
 
-def filler_numbers(values: DataFrame) -> DataFrame:
+def filler_numbers(values: DataFrame, known: tuple[float, ...] = NUMBERS) -> DataFrame:
     """Of series, v (double): the numbers, as ``filler``, that stand in place of entries."""
     real = values.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") != 0) & F.col("series").isNotNull())
-    # per series and value first: repeated values shrink to one row before anything is shuffled far
+    # per series and value first: repeated values shrink to one row before anything is shuffled far. The ranges come from
+    # the same grouping, so that the tables are read and shuffled once; values within a hundredth of each other stand together,
+    # which bounds what comes to one place of a series (its width is at least a fifth of its median).
     each = real.groupBy("series", "v").agg(F.count(F.lit(1)).alias("n"))
-    q = real.groupBy("series").agg(F.percentile_approx("v", [0.1, 0.5, 0.9], 200).alias("q"))
+    near = each.groupBy("series", F.signum("v").alias("side"), F.floor(F.log(F.abs("v")) * 100).alias("size")).agg(F.max("v").alias("v"), F.sum("n").alias("n"))
+    q = near.groupBy("series").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.col("n")).alias("q"))
     # a series that holds a large part of the rows meets its three numbers in many tasks
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = each.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     width = F.greatest(F.col("q")[2] - F.col("q")[0], F.abs(F.col("q")[1]) * 0.2, F.lit(1e-9))
     far = (F.col("v") < F.col("q")[0] - 3 * width) | (F.col("v") > F.col("q")[2] + 3 * width)
-    known = F.col("v").isin(*NUMBERS)
-    return (
-        each.join(q, ["series", "salt"])
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("series_n"), F.count(F.when(far, 1)).alias("far_n"), F.max(known).alias("known"))
-        .where(((F.col("far_n") >= SERIES) & (F.col("far_n") * 2 > F.col("series_n"))) | (F.col("known") & (F.col("far_n") >= 1)))
-        .select(F.col("v").alias("filler"))
-    )
+    listed = F.col("v").isin(*known) if known else F.lit(False)
+    number = each.join(q, ["series", "salt"]).groupBy("v").agg(F.count(F.lit(1)).alias("series_n"), F.count(F.when(far, 1)).alias("far_n"), F.max(listed).alias("known")).where("far_n > 0")
+    # Where many series have far values of like size and as many decimals, some coincide: what stands in more series than that is a filler.
+    decimals = reduce(lambda a, d: a.when(F.round("v", d) == F.col("v"), d), range(1, 6), F.when(F.round("v", 0) == F.col("v"), 0)).otherwise(6)
+    number = number.withColumns({"side": F.signum("v"), "size": F.floor(F.log2(F.abs("v"))), "decimals": decimals})
+    like = number.groupBy("side", "size", "decimals").agg(F.sum("far_n").alias("like_n"))
+    possible = F.greatest(F.pow(F.lit(2.0), "size") * F.pow(F.lit(10.0), "decimals"), F.lit(1.0))
+    chance = F.greatest(F.col("like_n") - F.col("far_n"), F.lit(1)) / possible
+    more = F.col("far_n") * F.log(F.col("far_n") / chance) - F.col("far_n") + chance
+    enough = (F.col("far_n") >= SERIES) & (F.col("far_n") * 2 > F.col("series_n")) & (F.col("far_n") > chance) & (more > UNLIKELY)
+    return number.join(like, ["side", "size", "decimals"]).where(enough | (F.col("known") & (F.col("far_n") >= 1))).select(F.col("v").alias("filler"))
 
 
-def matches(rows: DataFrame, c: Column, fillers: DataFrame, column: str, name: str) -> DataFrame:
-    """``rows`` with the flag ``name``: whether ``c`` is one of ``fillers``. Few fillers become literals, many are joined."""
-    got = [r[0] for r in fillers.limit(LITERALS + 1).collect()]
-    if len(got) <= LITERALS:
-        return rows.withColumn(name, F.coalesce(c.isin(*got), F.lit(False)) if got else F.lit(False))
-    side = fillers.select(F.col(column).alias("_filler")).distinct().withColumn("_hit", F.lit(True))
-    return rows.join(side, c == F.col("_filler"), "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_filler", "_hit")
+@dataclass
+class Fillers:
+    """What stands in place of entries: a few values as literals, or a table of many that is joined."""
 
+    few: list | None
+    many: DataFrame | None  # of one column
 
-def filler_words(entries: DataFrame) -> DataFrame:
-    """Of field, grp, w (text): field and word where a word is never a group's usual entry but stands in several groups' rows."""
-    each = entries.where(F.col("grp").isNotNull() & ~is_blank(F.col("w"))).groupBy("field", "grp", plain(F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    # one row per group and word, so the window is as small as a group's number of different words
-    ranked = each.withColumn("top", F.row_number().over(Window.partitionBy("field", "grp").orderBy(F.desc("n"), "w")) == 1)
-    return (
-        ranked.groupBy("field", "w")
-        .agg(F.count(F.when(F.col("top"), 1)).alias("tops"), F.count(F.when(~F.col("top"), 1)).alias("others"))
-        .where((F.col("tops") == 0) & (F.col("others") >= GROUPS))
-        .select("field", F.col("w").alias("word"))
-    )
+    @staticmethod
+    def of(found: DataFrame) -> Fillers:
+        got = [r[0] for r in found.limit(LITERALS + 1).collect()]
+        return Fillers(got, None) if len(got) <= LITERALS else Fillers(None, found)
 
+    def mark(self, rows: DataFrame, c: Column, name: str) -> DataFrame:
+        """``rows`` with the flag ``name``: whether ``c`` is a filler."""
+        if self.many is None:
+            return rows.withColumn(name, F.coalesce(c.isin(*self.few), F.lit(False)) if self.few else F.lit(False))
+        side = self.many.select(F.col(self.many.columns[0]).alias(f"{name}_is")).distinct()
+        return rows.join(side, c == F.col(f"{name}_is"), "left").withColumn(name, F.col(f"{name}_is").isNotNull()).drop(f"{name}_is")
 
-def missing_text(c: Column, words: list[str]) -> Column:
-    return is_blank(c) | F.coalesce(plain(c).isin(*MARKS, *words), F.lit(False))
+
+def missing_text(c: Column, marks: tuple[str, ...]) -> Column:
+    return is_blank(c) | (F.coalesce(plain(c).isin(*marks), F.lit(False)) if marks else F.lit(False))
 
 
 def month_of(c: Column) -> Column:
@@ -101,14 +109,10 @@ def month_of(c: Column) -> Column:
     return F.trunc(F.try_to_date(c, "yyyy-MM-dd"), "month")
 
 
-def span_of_months(rows: DataFrame, month: Column) -> tuple:
-    """(first, last) month that series can have: of the months that lie together (gaps of up to a year), the group with the most rows.
-
-    What comes here is one number per month of the calendar, however large the table.
-    """
-    per = rows.select(month.alias("m")).where("m IS NOT NULL").groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+def span_of_months(months: list[tuple]) -> tuple:
+    """(first, last) month that series can have, of (month, rows): of the months that lie together (gaps of up to a year), the group with the most rows."""
     groups: list[list] = []
-    for m, n in sorted(tuple(r) for r in per.collect()):
+    for m, n in sorted(months):
         k = m.year * 12 + m.month
         if not groups or k - groups[-1][3] > 12:
             groups.append([m, m, 0, k])
@@ -130,6 +134,8 @@ class Panel:
     categories: dict[str, str]  # category -> column whose rows all carry the same one
     period_may_miss: bool = True
     arrived: str | None = None  # when a row was loaded, which tells the month of one that lacks it
+    marks: tuple[str, ...] = MARKS  # words that are fillers whatever the data say
+    numbers: tuple[float, ...] = NUMBERS  # and numbers, where one is far outside a series
 
 
 def _series(p: Panel) -> Column:
@@ -143,100 +149,118 @@ def _own(p: Panel, keep: tuple[str, ...] = ()) -> DataFrame:
     return p.rows.select(*dict.fromkeys([p.row_id, p.period, p.value, *p.series, *p.categories, *p.categories.values(), *([p.arrived] if p.arrived else []), *keep]))
 
 
-def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
-    """Each panel's rows with a flag ``no_<field>`` per field, and ``_m``, the month (null where missing).
+@dataclass
+class Profile:
+    """What the tables as a whole tell about a panel."""
 
-    Of other columns only those in ``keep`` stay, where a panel has them.
-    """
+    numbers: Fillers
+    words: dict[str, Fillers] = field(default_factory=dict)
+    span: tuple = (None, None)
+    late: int | None = None  # months from a row's month to its arrival, most often
+
+
+def profiles(panels: list[Panel]) -> list[Profile]:
+    """Two passes over each table: one for the numbers of all series, one for words, months and arrivals, which are few when counted."""
     # for counting, a number stands for the series: it is a fraction of the name's size in the shuffle
     whole = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in p.series]) for p in panels]
     values = [
         p.rows.select(F.when(w, F.xxhash64(F.lit(p.name), *[F.col(c).cast("string") for c in p.series])).alias("series"), F.col(p.value).cast("double").alias("v")) for p, w in zip(panels, whole)
     ]
-    entries = [
-        p.rows.select(F.lit(f"{p.name}.{c}").alias("field"), F.col(g).cast("string").alias("grp"), F.col(c).cast("string").alias("w"))
-        for p in panels
-        for c, g in p.categories.items()
-    ]
-    both = lambda parts: parts[0] if len(parts) == 1 else both([parts[0].unionByName(parts[1]), *parts[2:]])
-    fillers = filler_numbers(both(values))
-    found: dict[str, list[str]] = {}
-    many = None
-    if entries:
-        words = filler_words(both(entries))
-        got = words.limit(LITERALS + 1).collect()
-        if len(got) > LITERALS:
-            many = words
-        else:
-            for field, word in got:
-                found.setdefault(field, []).append(word)
-    out = []
+    both = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    numbers = Fillers.of(filler_numbers(both(values), tuple(dict.fromkeys(v for p in panels for v in p.numbers))))
+    kinds, months = [], []
     for p in panels:
-        month = month_of(F.col(p.period))
-        lo, hi = span_of_months(p.rows, month)
-        v = F.col(p.value).cast("double")
-        df = matches(_own(p, tuple(c for c in keep if c in p.rows.columns)), v, fillers, "filler", "_filler")
-        real_month = F.coalesce(month.between(F.lit(lo), F.lit(hi)), F.lit(False)) if lo is not None else F.lit(False)
-        flags = {f"no_{p.value}": v.isNull() | F.isnan(v) | F.col("_filler"), "_m": F.when(real_month, month)}
-        if p.period_may_miss:
-            flags[f"no_{p.period}"] = ~real_month
-        for c in p.categories:
-            flags[f"no_{c}"] = missing_text(F.col(c), found.get(f"{p.name}.{c}", []))
-            if many is not None:
-                side = many.where(F.col("field") == f"{p.name}.{c}").select(F.col("word").alias(f"_word_{c}"))
-                df = df.join(side, plain(F.col(c)) == F.col(f"_word_{c}"), "left")
-                flags[f"no_{c}"] |= F.col(f"_word_{c}").isNotNull()
-        out.append(df.withColumns(flags).drop("_filler", *[f"_word_{c}" for c in p.categories]))
+        m = month_of(F.col(p.period))
+        late = (F.year(p.arrived) * 12 + F.month(p.arrived) - F.year(m) * 12 - F.month(m)).cast("string") if p.arrived else F.lit(None).cast("string")
+        month = F.struct(F.lit(f"{p.name}/").alias("field"), m.cast("string").alias("grp"), late.alias("w"))
+        words = [F.struct(F.lit(f"{p.name}.{c}").alias("field"), F.col(g).cast("string").alias("grp"), F.col(c).cast("string").alias("w")) for c, g in p.categories.items()]
+        kinds.append(p.rows.select(F.explode(F.array(month, *words)).alias("e")).select("e.*"))
+        months.append(f"{p.name}/")
+    is_month = F.col("field").isin(*months)
+    kept = both(kinds).where(F.col("grp").isNotNull() & (is_month | ~is_blank(F.col("w")))).select("field", "grp", F.when(is_month, F.col("w")).otherwise(plain(F.col("w"))).alias("w"))
+    each = kept.groupBy("field", "grp", "w").agg(F.count(F.lit(1)).alias("n"))
+    # one row per group and word, so the window is as small as a group's number of different words
+    ranked = each.withColumn("top", F.row_number().over(Window.partitionBy("field", "grp").orderBy(F.desc("n"), "w")) == 1)
+    # months stay apart; of words, those that are never a group's usual entry but stand in several groups' rows
+    told = ranked.groupBy("field", F.when(is_month, F.col("grp")).alias("month"), "w").agg(F.count(F.when(F.col("top"), 1)).alias("tops"), F.count(F.when(~F.col("top"), 1)).alias("others"), F.sum("n").alias("n"))
+    told = materialize(told.where(is_month | ((F.col("tops") == 0) & (F.col("others") >= GROUPS))).select("field", "month", "w", "n"), "told")
+    # one number per month of the calendar and lateness
+    calendar = told.where(is_month).select("field", F.to_date("month").alias("month"), F.col("w").cast("int").alias("late"), "n").collect()
+    out = []
+    for p, name in zip(panels, months):
+        mine = [r for r in calendar if r["field"] == name]
+        by_month: dict = {}
+        for r in mine:
+            by_month[r["month"]] = by_month.get(r["month"], 0) + r["n"]
+        lo, hi = span_of_months(list(by_month.items()))
+        lates: dict[int, int] = {}
+        for r in mine:
+            if r["late"] is not None and lo <= r["month"] <= hi:
+                lates[r["late"]] = lates.get(r["late"], 0) + r["n"]
+        words = {c: Fillers.of(told.where(F.col("field") == f"{p.name}.{c}").select("w")) for c in p.categories}
+        out.append(Profile(numbers, words, (lo, hi), min(lates, key=lambda k: (-lates[k], k), default=None)))
     return out
 
 
+def flags(p: Panel, known: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The panel's rows with a flag ``no_<field>`` per field, and ``_m``, the month (null where missing).
+
+    Of other columns only those in ``keep`` stay, where a panel has them.
+    """
+    month, (lo, hi), v = month_of(F.col(p.period)), known.span, F.col(p.value).cast("double")
+    df = known.numbers.mark(_own(p, tuple(c for c in keep if c in p.rows.columns)), v, "_filler")
+    real_month = F.coalesce(month.between(F.lit(lo), F.lit(hi)), F.lit(False)) if lo is not None else F.lit(False)
+    made = {f"no_{p.value}": v.isNull() | F.isnan(v) | F.col("_filler"), "_m": F.when(real_month, month)}
+    if p.period_may_miss:
+        made[f"no_{p.period}"] = ~real_month
+    for c in p.categories:
+        df = known.words[c].mark(df, plain(F.col(c)), f"_word_{c}")
+        made[f"no_{c}"] = missing_text(F.col(c), p.marks) | F.col(f"_word_{c}")
+    return df.withColumns(made).drop("_filler", *[f"_word_{c}" for c in p.categories])
+
+
+def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
+    """``flags`` of each panel."""
+    return [flags(p, known, keep) for p, known in zip(panels, profiles(panels))]
+
+
 def missing_entries(panels: list[Panel]) -> DataFrame:
-    """table_name, row_id, field_name of every entry that is none."""
+    """table_name, row_id, field_name of every entry that filling marks as not observed."""
     parts = []
-    for p, df in zip(panels, flagged(panels)):
+    for p, known in zip(panels, profiles(panels)):
         fields = [p.value, *([p.period] if p.period_may_miss else []), *p.categories]
-        hit = F.explode(F.filter(F.array(*[F.when(F.col(f"no_{f}"), F.lit(f)) for f in fields]), lambda x: x.isNotNull()))
-        parts.append(df.select(F.lit(p.name).alias("table_name"), F.col(p.row_id).cast("long").alias("row_id"), hit.alias("field_name")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        marked = F.explode(F.filter(F.array(*[F.when(F.col(f"{f}_method") != "observed", F.lit(f)) for f in fields]), lambda x: x.isNotNull()))
+        parts.append(filled(p, known, incomplete_only=True).select(F.lit(p.name).alias("table_name"), F.col(p.row_id).cast("long").alias("row_id"), marked.alias("field_name")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _months_from_arrival(p: Panel, base: DataFrame) -> DataFrame:
-    """Rows without a month get the one that rows usually arrive for at that time, if their series lacks it. ``_guessed`` marks them."""
-    base = base.withColumn("_guessed", F.lit(False))
-    if not p.arrived or not p.period_may_miss:
-        return base
-    late = (F.year(p.arrived) * 12 + F.month(p.arrived) - F.year("_m") * 12 - F.month("_m")).cast("int")
-    usual = base.where(F.col("_m").isNotNull() & F.col(p.arrived).isNotNull()).groupBy(late.alias("late")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "late").first()
-    if not usual:
-        return base
-    have = base.where("_m IS NOT NULL AND _s IS NOT NULL").select(F.col("_s").alias("_hs"), F.col("_m").alias("_hm")).distinct()
-    lost = base.where("_m IS NULL").withColumn("_g", F.add_months(F.trunc(p.arrived, "month"), -usual["late"]))
-    lost = lost.join(have, (F.col("_s") == F.col("_hs")) & (F.col("_g") == F.col("_hm")), "left")
-    fits = F.col("_hm").isNull() & F.col("_g").isNotNull() & F.col("_s").isNotNull()
-    lost = lost.withColumns({"_guessed": fits, "_m": F.when(fits, F.col("_g"))}).drop("_g", "_hs", "_hm")
-    return base.where("_m IS NOT NULL").unionByName(lost)
-
-
-def filled(panel: Panel, flags: DataFrame, gap_limit: int = 12) -> DataFrame:
+def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: bool = False) -> DataFrame:
     """Rows of the panel, and a row for each month without one, with every entry and per field its method and distance.
 
-    One series has at most a few hundred months; rows of the same month are first brought to one
-    observation, so a window over a series is bounded by the calendar however often rows repeat.
+    Rows without a month get the one that rows usually arrive for at that time, if their series lacks it. One series has
+    at most a few hundred months; rows of the same month are first brought to one observation, so a window over a series is
+    bounded by the calendar however often rows repeat. With ``incomplete_only`` only rows that lack an entry come out.
     """
     p = panel
     cats = list(p.categories)
-    base = _months_from_arrival(p, flags.withColumn("_s", _series(p)))
-    observed = F.when(~F.col(f"no_{p.value}"), F.col(p.value).cast("double"))
-    monthly = base.where("_m IS NOT NULL AND _s IS NOT NULL").groupBy("_s", "_m").agg(
-        F.lit(True).alias("_there"), F.avg(observed).alias("_v"), *[F.min(F.when(~F.col(f"no_{c}"), F.col(c))).alias(f"_c_{c}") for c in cats]
+    base = flags(p, known).withColumn("_s", _series(p))
+    guess = F.lit(None).cast("date")
+    if p.arrived and p.period_may_miss and known.late is not None:
+        guess = F.when(F.col("_m").isNull() & F.col("_s").isNotNull(), F.add_months(F.trunc(p.arrived, "month"), -known.late))
+    base = base.withColumn("_k", F.coalesce("_m", guess))
+    # a guessed month counts only where the series has no row of it
+    real = F.col("_m").isNotNull()
+    observed = {"_v": (F.avg, F.when(~F.col(f"no_{p.value}"), F.col(p.value).cast("double"))), **{f"_c_{c}": (F.min, F.when(~F.col(f"no_{c}"), F.col(c))) for c in cats}}
+    monthly = base.where("_k IS NOT NULL AND _s IS NOT NULL").groupBy("_s", F.col("_k").alias("_m")).agg(
+        F.max(real).alias("_real"), *[f(F.when(real, v)).alias(n) for n, (f, v) in observed.items()], *[f(F.when(~real, v)).alias(f"{n}_g") for n, (f, v) in observed.items()]
     )
-    ends = monthly.groupBy("_s").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
-    grid = ends.select("_s", F.explode(F.expr("sequence(_lo, _hi, interval 1 month)")).alias("_m")).join(monthly, ["_s", "_m"], "left")
-    i = (F.year("_m") * 12 + F.month("_m")).cast("long")
+    monthly = monthly.select("_s", "_m", "_real", *[F.when(F.col("_real"), F.col(n)).otherwise(F.col(f"{n}_g")).alias(n) for n in observed])
     w = Window.partitionBy("_s").orderBy("_m")
+    # months up to the series' next one, the first of which is there
+    gap = F.expr("sequence(0, coalesce(cast(months_between(_next, _m) as int), 1) - 1)")
+    grid = monthly.withColumn("_next", F.lead("_m").over(w)).withColumn("_j", F.explode(gap)).withColumn("_there", F.when(F.col("_j") == 0, True))
+    grid = grid.select("_s", F.add_months("_m", F.col("_j")).alias("_m"), "_there", F.when(F.col("_there"), F.col("_real")).alias("_real"), *[F.when(F.col("_there"), F.col(n)).alias(n) for n in observed])
+    i = (F.year("_m") * 12 + F.month("_m")).cast("long")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("_v").isNotNull(), F.struct(i.alias("i"), F.col("_v").alias("v")))
     grid = grid.withColumns({"_i": i, "_l": F.last(at, True).over(back), "_r": F.first(at, True).over(ahead)})
@@ -254,10 +278,15 @@ def filled(panel: Panel, flags: DataFrame, gap_limit: int = 12) -> DataFrame:
         dl, dr = F.col("_i") - F.col(f"_l_{c}.i"), F.col(f"_r_{c}.i") - F.col("_i")
         near = F.when(F.coalesce(dl, F.lit(10**6)) <= F.coalesce(dr, F.lit(10**6)), F.col(f"_l_{c}.v")).otherwise(F.col(f"_r_{c}.v"))
         grid = grid.withColumns({f"_n_{c}": F.when(F.least(dl, dr) <= gap_limit, near), f"_d_{c}": F.least(dl, dr)})
-    got = grid.select("_s", F.col("_m").alias("_month"), "_there", "_v", "_value", "_method", "_distance", *[f"_n_{c}" for c in cats], *[f"_d_{c}" for c in cats])
+    got = grid.select("_s", F.col("_m").alias("_month"), "_there", "_real", "_value", "_method", "_distance", *[f"_n_{c}" for c in cats], *[f"_d_{c}" for c in cats])
     # Rows keep to a left join, whose larger side AQE may split where one series holds many of them; months without a row come apart from it.
-    kept = base.withColumnRenamed("_s", "_bs").join(got, (F.col("_bs") == F.col("_s")) & (F.col("_m") == F.col("_month")), "left").withColumn("row_made", F.lit(False))
-    joined = kept.unionByName(got.where("_there IS NULL").withColumn("row_made", F.lit(True)), allowMissingColumns=True)
+    kept = base.withColumnRenamed("_s", "_bs")
+    lacking = reduce(lambda a, b: a | b, [F.col(f"no_{c}") for c in [p.value, *cats, *([p.period] if p.period_may_miss else [])]])
+    kept = kept.where(lacking) if incomplete_only else kept
+    at = (F.col("_bs") == F.col("_s")) & (F.col("_k") == F.col("_month")) & (F.col("_m").isNotNull() | ~F.col("_real"))
+    joined = kept.join(got, at, "left").withColumn("row_made", F.lit(False))
+    if not incomplete_only:
+        joined = joined.unionByName(got.where("_there IS NULL").withColumn("row_made", F.lit(True)), allowMissingColumns=True)
     made = F.col("row_made")
     from_series = [F.when(made, F.get(F.from_json("_s", "array<string>"), k)).otherwise(F.col(c).cast("string")).alias(c) for k, c in enumerate(p.series)]
     no_value = made | F.col(f"no_{p.value}")
@@ -265,7 +294,7 @@ def filled(panel: Panel, flags: DataFrame, gap_limit: int = 12) -> DataFrame:
             F.when(no_value, F.col("_value")).otherwise(F.col(p.value).cast("double")).alias(p.value),
             F.when(~no_value, "observed").otherwise(F.coalesce("_method", F.lit("none"))).alias(f"{p.value}_method"),
             F.when(~no_value, 0).otherwise(F.col("_distance")).alias(f"{p.value}_distance"), "row_made",
-            F.when(made, "made").when(F.col("_guessed"), "from_arrival").when(F.col("_m").isNull(), "none").otherwise("observed").alias(f"{p.period}_method")]
+            F.when(made, "made").when(F.col("_m").isNotNull(), "observed").when(F.col("_month").isNotNull(), "from_arrival").otherwise("none").alias(f"{p.period}_method")]
     for c in cats:
         none = made | F.col(f"no_{c}")
         cols += [F.when(none, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c),

@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _p4_filled(spark: SparkSession, folder: str, which: int) -> DataFrame:
     panels = _panels(spark, folder)
-    return fill.filled(panels[which], fill.flagged(panels)[which])
+    return fill.filled(panels[which], fill.profiles(panels)[which])
 
 
 def p4_accounts_filled(spark: SparkSession, folder: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_found(panel):
 
 
 def test_filled(panel):
-    out = fill.filled(panel, fill.flagged([panel])[0])
+    out = fill.filled(panel, fill.profiles([panel])[0])
     rows = out.collect()
     assert len(rows) == panel.rows.count() + sum(r.row_made for r in rows)
     by = {(r.series, r.period): r for r in rows}
@@ -72,7 +72,7 @@ def test_months_from_arrival(spark):
     rows += [(20, None, "s", "p", 6.0, "a", at(8) + "-02"), (21, None, None, None, 1.0, "a", None)]
     df = spark.createDataFrame(rows, "row_id long, period string, series string, product string, value double, plant string, loaded string").withColumn("loaded", F.to_timestamp("loaded"))
     p = fill.Panel("t", df, "row_id", "period", "value", ["series"], {"plant": "product"}, arrived="loaded")
-    got = {r.row_id: (r.period, r.period_method) for r in fill.filled(p, fill.flagged([p])[0]).collect()}
+    got = {r.row_id: (r.period, r.period_method) for r in fill.filled(p, fill.profiles([p])[0]).collect()}
     assert got[5] == ("2020-06-01", "from_arrival") and got[3] == ("2020-04-01", "observed")
     assert got[20] == (None, "none") and got[21] == (None, "none") and None not in got and len(got) == 14
 
@@ -80,17 +80,18 @@ def test_months_from_arrival(spark):
 def test_empty_and_all_missing(spark, panel):
     empty = fill.Panel("t", panel.rows.limit(0), "row_id", "period", "value", ["series"], {"plant": "product"})
     assert fill.missing_entries([empty]).count() == 0
-    assert fill.filled(empty, fill.flagged([empty])[0]).count() == 0
+    assert fill.filled(empty, fill.profiles([empty])[0]).count() == 0
     nothing = fill.Panel("t", panel.rows.withColumn("value", F.lit(None).cast("double")), "row_id", "period", "value", ["series"], {})
     assert fill.missing_entries([nothing]).where("field_name = 'value'").count() == panel.rows.count()
-    assert {r.value_method for r in fill.filled(nothing, fill.flagged([nothing])[0]).collect()} == {"none"}
+    assert {r.value_method for r in fill.filled(nothing, fill.profiles([nothing])[0]).collect()} == {"none"}
 
 
 def test_many_fillers_are_joined(spark, panel, monkeypatch):
     monkeypatch.setattr(fill, "LITERALS", 0)
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
-    fillers = spark.createDataFrame([(3.0,), (4.0,)], "filler double")
-    assert [r.hit for r in fill.matches(df, F.col("v"), fillers, "filler", "hit").orderBy("v").collect()] == [False, False, True]
+    fillers = fill.Fillers.of(spark.createDataFrame([(3.0,), (4.0,)], "filler double"))
+    assert fillers.few is None and fillers.many is not None
+    assert [r.hit for r in fillers.mark(df, F.col("v"), "hit").orderBy("v").collect()] == [False, False, True]
 
 
 def test_many_filler_words_are_joined(spark, monkeypatch):
