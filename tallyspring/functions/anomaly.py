@@ -154,7 +154,8 @@ def calendar_classes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def class_medians(x: np.ndarray, n: np.ndarray, t: np.ndarray, half: int) -> np.ndarray:
-    """Sources by classes (of the week, then of the year): the median of what the trend, a running median, leaves; 0 for classes of fewer than 3 rows."""
+    """Sources by classes (of the week, then of the year): the median of what the trend, a running median, leaves; 0 for classes of
+    fewer than 3 rows, and for those of the year in sources of less than two years."""
     live = np.arange(x.shape[1])[None, :] < n[:, None]
     rest = np.where(live, x - running_median(np.where(live, x, 0.0), n, half), np.nan)
     src = np.broadcast_to(np.arange(len(x))[:, None], x.shape)[live]
@@ -170,6 +171,8 @@ def class_medians(x: np.ndarray, n: np.ndarray, t: np.ndarray, half: int) -> np.
         end = max(len(v) - 1, 0)
         middle = (v[np.minimum(lo, end)] + v[np.minimum(hi, end)]) / 2 if len(v) else np.zeros(len(size))
         out.append(np.where(size >= 3, middle, 0.0).reshape(len(x), many))
+    span = np.take_along_axis(t, np.maximum(n - 1, 0)[:, None], axis=1)[:, 0] - t[:, 0]
+    out[1][span < 2 * YEAR] = 0
     return np.hstack(out)
 
 
@@ -292,12 +295,23 @@ def stuck_flags(x: np.ndarray, t: np.ndarray, n: np.ndarray, q: np.ndarray, chan
 NEARBY = 0.6
 
 
-def returns_yearly(days: np.ndarray, rest: np.ndarray, at: int, size: float, window: float = 12.0, years: int = 2) -> bool:
-    """Whether a deviation of like sign and size is there at the same time of at least ``years`` other years."""
-    gap = days - days[at]
+#: Days before and after the same time of another year, and the share of all deviations of like sign and size that must lie
+#: there (a fifteenth would by chance, so that a source that often deviates alike isn't taken to do so yearly).
+WINDOW, YEARLY_SHARE = 12.0, 0.25
+#: Parts of a day in which moments of deviations are told apart.
+PARTS = 4
+
+
+def returns_yearly(days: np.ndarray, rest: np.ndarray, at: float, size: float, years: int = 2) -> bool:
+    """Whether deviations of like sign and size are there at the same time of at least ``years`` other years, and not at all times."""
+    like = np.flatnonzero(np.abs(rest - size) < 0.3 * abs(size))
+    gap = days[like] - at
     k = np.rint(gap / YEAR)
-    like = (k != 0) & (np.abs(gap - k * YEAR) <= window) & (np.abs(rest - size) < 0.3 * abs(size))
-    return len(np.unique(k[like])) >= years
+    same = np.abs(gap - k * YEAR) <= WINDOW
+    if len(np.unique(k[same & (k != 0)])) < years:
+        return False
+    moments = np.floor(days[like] * PARTS)
+    return len(np.unique(moments[same])) >= YEARLY_SHARE * len(np.unique(moments))
 
 
 def at_rest(x: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -378,7 +392,7 @@ def spike_flags(
                 size = np.median(rest[i, a:b])
                 if pending is not None:
                     pending[i, a:b] = size
-                elif returns_yearly(days, rest[i, :m], a, size):
+                elif returns_yearly(days, rest[i, :m], days[a], size):
                     continue
                 near = max(0.25 * abs(size), 3 * local[i, a])
                 if steps is not None and any(abs(e) > 0.5 * abs(size) and abs(size - e) < near for e in np.median(steps[i, a:b], axis=0)):

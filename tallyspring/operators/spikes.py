@@ -287,6 +287,8 @@ def _usual_first(pdf: pd.DataFrame) -> pd.DataFrame:
         for k in range(anomaly.WEEK + anomaly.TWELFTHS):
             here = cls == k
             if times[here].sum() >= 3:
+                if k >= anomaly.WEEK and numbers[_DAYS] < 2 * anomaly.YEAR:
+                    break  # less than two years show no season
                 numbers[_MEDIANS + k] = anomaly.counted_median(bins[here], times[here], anomaly.COARSE)
         out.append(numbers.tolist())
     return pdf[["kind", "g", "h"]].assign(usual=out)
@@ -314,8 +316,6 @@ def _usual_second(pdf: pd.DataFrame) -> pd.DataFrame:
 
 JUDGED = "kind byte, g long, h long, row_id long, what byte, moment int, size long"
 _SURE, _OPEN, _EVIDENCE = range(3)
-#: Parts of a day in which moments of large remainders are told apart.
-PARTS = 4
 
 
 def _judge_shards(table: pa.Table, habits: list[Habit]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def _judge_shards(table: pa.Table, habits: list[Habit]) -> Iterator[pa.RecordBat
         parts = [(_SURE, sure, 0.0 * c["v"]), (_OPEN, open_, pending)]
         if usual.days[0] > 1.5 * anomaly.YEAR:
             parts.append((_EVIDENCE, large, found.rest))
-        rows = [(np.full((k & c["own"]).sum(), w, np.int8), np.floor(c["t"][k & c["own"]] * PARTS).astype(np.int32), anomaly.size_class(size[k & c["own"]], anomaly.FINE), c["row_id"][k & c["own"]]) for w, k, size in parts]
+        rows = [(np.full((k & c["own"]).sum(), w, np.int8), np.floor(c["t"][k & c["own"]] * anomaly.PARTS).astype(np.int32), anomaly.size_class(size[k & c["own"]], anomaly.FINE), c["row_id"][k & c["own"]]) for w, k, size in parts]
         what, moment, size, row_id = (np.concatenate(x) for x in zip(*rows))
         kind, g, h = (pa.array(np.full(len(what), c[k][0])) for k in ("kind", "g", "h"))
         yield pa.RecordBatch.from_arrays([kind, g, h, *map(pa.array, (row_id, what, moment, size))], names=[x.split()[0] for x in JUDGED.split(", ")])
@@ -341,16 +341,10 @@ def _judge_shards(table: pa.Table, habits: list[Habit]) -> Iterator[pa.RecordBat
 def _returning(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one source: moments and sizes of spikes that come again at the same time of two other years."""
     seen, asked = pdf[pdf["what"] == _EVIDENCE], pdf[pdf["what"] == _OPEN]
-    seen = seen.sort_values("moment")
-    at, size = (seen["moment"].to_numpy() + 0.5) / PARTS, anomaly.class_value(seen["size"].to_numpy(), anomaly.FINE)
-    keep = []
-    for m, s in zip((asked["moment"].to_numpy() + 0.5) / PARTS, anomaly.class_value(asked["size"].to_numpy(), anomaly.FINE)):
-        years = 0
-        span = (int(np.floor((at[0] - m) / anomaly.YEAR)), int(np.ceil((at[-1] - m) / anomaly.YEAR))) if len(at) else (0, -1)
-        for k in range(span[0], span[1] + 1):
-            a, b = np.searchsorted(at, [m + k * anomaly.YEAR - 12, m + k * anomaly.YEAR + 12])
-            years += bool(k != 0 and (np.abs(size[a:b] - s) < 0.3 * abs(s)).any())
-        keep.append(years >= 2)
+    middle = lambda x: (x["moment"].to_numpy() + 0.5) / anomaly.PARTS
+    size = lambda x: anomaly.class_value(x["size"].to_numpy(), anomaly.FINE)
+    days, rest = middle(seen), size(seen)
+    keep = [anomaly.returns_yearly(days, rest, d, s) for d, s in zip(middle(asked), size(asked))]
     return asked[np.array(keep, bool)][["kind", "g", "h", "moment", "size"]]
 
 
