@@ -81,7 +81,12 @@ def split_record(line: str | None, sep: str) -> list[str]:
         line = line[:-1]
     ready = assemble(line, sep)
     # line breaks inside a record belong to a field here; the reader takes each row as one record
-    hidden = ready.replace("\r", "\ue00d").replace("\n", "\ue00a")
+    hidden, breaks = ready, {}
+    if "\n" in ready or "\r" in ready:
+        used = set(ready)
+        free = (c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used)
+        breaks = {c: next(free) for c in "\r\n"}
+        hidden = ready.translate(str.maketrans(breaks))
     fields = next(csv.reader([hidden], delimiter=sep, strict=True), [])
     if '"' not in line:
         fields = [f.strip(" ") for f in fields]
@@ -93,8 +98,9 @@ def split_record(line: str | None, sep: str) -> list[str]:
             stripped.append(f if m else f.strip(" "))
             at = (m or _BY_SEP[sep][1].match(line, at)).end() + 1
         fields = stripped
-    if hidden != ready:
-        fields = [f.replace("\ue00d", "\r").replace("\ue00a", "\n") for f in fields]
+    if breaks:
+        back = str.maketrans({v: k for k, v in breaks.items()})
+        fields = [f.translate(back) for f in fields]
     return fields
 
 

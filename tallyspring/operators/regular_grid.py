@@ -8,7 +8,8 @@ fills its own periods without seeing any other shard.
 
 Defined cases: null and NaN values aren't usable and leave a period unobserved; readings without
 a source or a time, of a source without a known step, or at a day that is no period (weekends of
-``weekday``) are left out; several readings in a period are averaged; a source with one period
+``weekday``) are left out; several readings in a period are averaged; infinite readings are usable, and
+a gap beside one is filled with its nearer neighbour (the earlier of two as near); a source with one period
 has one row; an empty table gives none.
 """
 
@@ -75,7 +76,9 @@ def _fill_shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.R
         rp = np.where(right < shard, right + base[:, None], num("right_period")[:, None])
         rv = np.where(right < shard, at(right), num("right_value")[:, None])
         span = np.maximum(rp - lp, 1)
-        made = np.where(seen, value, lv + (rv - lv) * (period - lp) / span)
+        with np.errstate(invalid="ignore"):
+            line = lv + (rv - lv) * (period - lp) / span
+        made = np.where(seen, value, np.where(np.isfinite(lv) & np.isfinite(rv), line, np.where(period - lp <= rp - period, lv, rv)))
         live = (period >= num("first_period")[:, None]) & (period <= num("last_period")[:, None])
         src, seen = pa.array(np.nonzero(live)[0]), seen[live]
         distance = np.where(seen, 0, np.minimum(period - lp, rp - period)[live]).astype(np.int64)

@@ -7,8 +7,9 @@ sources by days, and multiplies it by a band matrix per window.
 
 Defined cases: null and NaN values add nothing and don't count, but their day counts as a day of
 the entity; rows without an entity or a day are left out; repeated rows count as often as they
-occur; the average of a window without any value is null and its total is 0; an empty table gives
-no rows.
+occur; the average of a window without any value is null and its total is 0; an infinite value makes
+the totals and averages of the windows that hold it infinite (NaN where both signs meet), and no others;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], windows: tuple[int, ...], tile: in
             total, count = np.zeros((n, halo + tile)), np.zeros((n, halo + tile))
             total[row, place] = col["sums"].flatten().to_numpy()
             count[row, place] = col["counts"].flatten().to_numpy()
+            # infinite days stay out of the products, which would carry them to every day of the tile
+            endless = [np.where(np.isnan(total) | (total == sign), 1.0, 0.0) for sign in (np.inf, -np.inf)] if not np.isfinite(total).all() else None
+            total[~np.isfinite(total)] = 0
             day = number[:, None] * tile + np.arange(tile)[None, :]
             live = (day >= col["first_day"].to_numpy()[:, None]) & (day <= col["last_day"].to_numpy()[:, None])
             src = np.nonzero(live)[0]
@@ -53,6 +57,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], windows: tuple[int, ...], tile: in
             for m in bands:
                 s, c = (total @ m)[live], np.rint((count @ m)[live]).astype(np.int64)
                 s = np.where(c == 0, 0.0, s)
+                if endless:
+                    up, down = ((e @ m)[live] > 0 for e in endless)
+                    s = np.where(up & down, np.nan, np.where(up, np.inf, np.where(down, -np.inf, s)))
                 out += [pa.array(s), pa.array(c)]
             yield pa.RecordBatch.from_arrays(out, names=["entity", "day", *(f"{k}_{w}" for w in windows for k in ("total", "n"))])
 

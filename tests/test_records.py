@@ -114,3 +114,8 @@ def test_table(spark):
     assert {r.line_id for r in records.rejected(df, ["line_id"]).collect()} == {3, 7, 8}
     assert records.accepted(df, ["line_id"]).count() == 4
     assert records.parse_lines(df.limit(0), ["line_id"]).count() == 0
+
+
+def test_line_breaks_beside_characters_of_private_use():
+    line = '2024-05-27,a,"x\ue00a\ue00d\n\ue000\r\n",1,2'
+    assert records.parse(line, ",") == (None, D, "a", "x\ue00a\ue00d\n\ue000\r\n", 1.0, 2.0)

@@ -54,6 +54,25 @@ def test_rolling_empty_and_limits(spark):
         rolling.trailing_totals(df, "entity", F.col("day"), F.col("value"), (40,), 16)
 
 
+def test_infinite_values_reach_their_own_windows_only(spark):
+    inf = float("inf")
+    rows = [("a", START + i * DAY, {100: inf, 103: -inf, 200: inf}.get(i, 1.0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "entity string, day date, value double")
+    got = [r for r in rolling.trailing_totals(df, "entity", F.col("day"), F.col("value")).orderBy("day").collect()]
+    assert [r.total_7 for r in got[94:112]] == [7.0] * 6 + [inf] * 3 + [pytest.approx(float("nan"), nan_ok=True)] * 4 + [-inf] * 3 + [7.0] * 2
+    assert all(r.total_7 == 7.0 for r in got[6:100] + got[110:200] + got[207:])
+    assert all(r.total_30 == 30.0 and r.average_30 == 1.0 for r in got[29:100] + got[133:200] + got[230:])
+    assert got[205].total_30 == inf == got[205].average_30
+
+
+def test_gaps_beside_infinite_values(spark):
+    inf = float("inf")
+    rows = [("a", START, 1.0), ("a", START + 5 * DAY, inf), ("a", START + 8 * DAY, 3.0), ("a", START + 10 * DAY, 5.0)]
+    df, steps = spark.createDataFrame(rows, "s string, d date, v double"), spark.createDataFrame([("a", "day")], "s string, grid_step string")
+    got = [r.value for r in regular_grid.regular_series(df, steps, source="s", day=F.col("d"), value=F.col("v")).orderBy("period_start").collect()]
+    assert got == [1.0, 1.0, 1.0, inf, inf, inf, inf, 3.0, 3.0, 4.0, 5.0]
+
+
 def test_band():
     m = rolling.band(3, 4, 5)
     assert m.shape == (9, 5) and (m.sum(axis=0) == 3).all() and m[4, 0] == 1 and m[1, 0] == 0
