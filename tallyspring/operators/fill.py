@@ -100,10 +100,6 @@ class Fillers:
         return rows.join(side, c == F.col(f"{name}_is"), "left").withColumn(name, F.col(f"{name}_is").isNotNull()).drop(f"{name}_is")
 
 
-def missing_text(c: Column, marks: tuple[str, ...]) -> Column:
-    return is_blank(c) | (F.coalesce(plain(c).isin(*marks), F.lit(False)) if marks else F.lit(False))
-
-
 def month_of(c: Column) -> Column:
     """The month that a period key names; null where it is no day of the calendar."""
     return F.trunc(F.try_to_date(c, "yyyy-MM-dd"), "month")
@@ -138,10 +134,11 @@ class Panel:
     numbers: tuple[float, ...] = NUMBERS  # and numbers, where one is far outside a series
 
 
-def _series(p: Panel) -> Column:
-    """Name of the series; null where a part of it is."""
-    whole = F.array(*[F.col(c).cast("string") for c in p.series])
-    return F.when(~F.exists(whole, lambda c: c.isNull()), F.to_json(whole))
+def _with_series(p: Panel, rows: DataFrame) -> DataFrame:
+    """``rows`` with two hashes that stand for the series, null where a part of it is: they sort and travel better than names."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in p.series])
+    names = [F.col(c).cast("string") for c in p.series]
+    return rows.withColumns({"_s": F.when(whole, F.xxhash64(*names)), "_t": F.when(whole, F.xxhash64(F.lit("second"), *names))})
 
 
 def _own(p: Panel, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -154,7 +151,7 @@ class Profile:
     """What the tables as a whole tell about a panel."""
 
     numbers: Fillers
-    words: dict[str, Fillers] = field(default_factory=dict)
+    words: dict[str, Fillers] = field(default_factory=dict)  # per category what is written where an entry is missing
     span: tuple = (None, None)
     late: int | None = None  # months from a row's month to its arrival, most often
 
@@ -168,24 +165,32 @@ def profiles(panels: list[Panel]) -> list[Profile]:
     ]
     both = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     numbers = Fillers.of(filler_numbers(both(values), tuple(dict.fromkeys(v for p in panels for v in p.numbers))))
-    kinds, months = [], []
+    kinds, months, marked = [], [], F.lit(False)
     for p in panels:
         m = month_of(F.col(p.period))
         late = (F.year(p.arrived) * 12 + F.month(p.arrived) - F.year(m) * 12 - F.month(m)).cast("string") if p.arrived else F.lit(None).cast("string")
-        month = F.struct(F.lit(f"{p.name}/").alias("field"), m.cast("string").alias("grp"), late.alias("w"))
-        words = [F.struct(F.lit(f"{p.name}.{c}").alias("field"), F.col(g).cast("string").alias("grp"), F.col(c).cast("string").alias("w")) for c, g in p.categories.items()]
+        month = F.struct(F.lit(f"{p.name}/").alias("field"), m.cast("string").alias("grp"), late.alias("raw"))
+        words = [F.struct(F.lit(f"{p.name}.{c}").alias("field"), F.col(g).cast("string").alias("grp"), F.col(c).cast("string").alias("raw")) for c, g in p.categories.items()]
         kinds.append(p.rows.select(F.explode(F.array(month, *words)).alias("e")).select("e.*"))
         months.append(f"{p.name}/")
+        if p.categories and p.marks:
+            marked |= F.col("field").isin(*[f"{p.name}.{c}" for c in p.categories]) & F.col("w").isin(*p.marks)
     is_month = F.col("field").isin(*months)
-    kept = both(kinds).where(F.col("grp").isNotNull() & (is_month | ~is_blank(F.col("w")))).select("field", "grp", F.when(is_month, F.col("w")).otherwise(plain(F.col("w"))).alias("w"))
-    each = kept.groupBy("field", "grp", "w").agg(F.count(F.lit(1)).alias("n"))
-    # one row per group and word, so the window is as small as a group's number of different words
-    ranked = each.withColumn("top", F.row_number().over(Window.partitionBy("field", "grp").orderBy(F.desc("n"), "w")) == 1)
-    # months stay apart; of words, those that are never a group's usual entry but stand in several groups' rows
-    told = ranked.groupBy("field", F.when(is_month, F.col("grp")).alias("month"), "w").agg(F.count(F.when(F.col("top"), 1)).alias("tops"), F.count(F.when(~F.col("top"), 1)).alias("others"), F.sum("n").alias("n"))
-    told = materialize(told.where(is_month | ((F.col("tops") == 0) & (F.col("others") >= GROUPS))).select("field", "month", "w", "n"), "told")
+    # counted as they are written first; what follows works on the few different ones
+    written = both(kinds).where(F.when(is_month, F.col("grp").isNotNull()).otherwise(F.col("raw").isNotNull())).groupBy("field", "grp", "raw").agg(F.count(F.lit(1)).alias("n"))
+    each = written.groupBy("field", "grp", F.when(is_month, F.col("raw")).otherwise(plain(F.col("raw"))).alias("w")).agg(F.sum("n").alias("n"), F.collect_set("raw").alias("raws"))
+    # one row per group and word, so the window is as small as a group's number of different words; blanks and rows without a group tell nothing
+    tells = F.col("grp").isNotNull() & ~(~is_month & is_blank(F.col("w")))
+    ranked = each.withColumn("top", tells & (F.row_number().over(Window.partitionBy("field", "grp", tells).orderBy(F.desc("n"), "w")) == 1)).withColumn("tells", tells)
+    told = ranked.groupBy("field", F.when(is_month, F.col("grp")).alias("month"), "w").agg(
+        F.count(F.when(F.col("top"), 1)).alias("tops"), F.count(F.when(F.col("tells") & ~F.col("top"), 1)).alias("others"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("raws"))).alias("raws")
+    )
+    # months stay apart; of words, those that are never a group's usual entry but stand in several groups' rows, known marks and blanks
+    filler = (F.col("tops") == 0) & (F.col("others") >= GROUPS)
+    told = told.where(is_month | filler | marked | is_blank(F.col("w"))).select("field", "month", "n", F.explode_outer("raws").alias("raw"))
+    told = materialize(told, "told")
     # one number per month of the calendar and lateness
-    calendar = told.where(is_month).select("field", F.to_date("month").alias("month"), F.col("w").cast("int").alias("late"), "n").collect()
+    calendar = told.where(is_month).select("field", F.to_date("month").alias("month"), F.col("raw").cast("int").alias("late"), "n").collect()
     out = []
     for p, name in zip(panels, months):
         mine = [r for r in calendar if r["field"] == name]
@@ -197,7 +202,7 @@ def profiles(panels: list[Panel]) -> list[Profile]:
         for r in mine:
             if r["late"] is not None and lo <= r["month"] <= hi:
                 lates[r["late"]] = lates.get(r["late"], 0) + r["n"]
-        words = {c: Fillers.of(told.where(F.col("field") == f"{p.name}.{c}").select("w")) for c in p.categories}
+        words = {c: Fillers.of(told.where((F.col("field") == f"{p.name}.{c}") & F.col("raw").isNotNull()).select("raw")) for c in p.categories}
         out.append(Profile(numbers, words, (lo, hi), min(lates, key=lambda k: (-lates[k], k), default=None)))
     return out
 
@@ -214,8 +219,8 @@ def flags(p: Panel, known: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
     if p.period_may_miss:
         made[f"no_{p.period}"] = ~real_month
     for c in p.categories:
-        df = known.words[c].mark(df, plain(F.col(c)), f"_word_{c}")
-        made[f"no_{c}"] = missing_text(F.col(c), p.marks) | F.col(f"_word_{c}")
+        df = known.words[c].mark(df, F.col(c), f"_word_{c}")
+        made[f"no_{c}"] = F.col(c).isNull() | F.col(f"_word_{c}")
     return df.withColumns(made).drop("_filler", *[f"_word_{c}" for c in p.categories])
 
 
@@ -243,7 +248,7 @@ def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: b
     """
     p = panel
     cats = list(p.categories)
-    base = flags(p, known).withColumn("_s", _series(p))
+    base = _with_series(p, flags(p, known))
     guess = F.lit(None).cast("date")
     if p.arrived and p.period_may_miss and known.late is not None:
         guess = F.when(F.col("_m").isNull() & F.col("_s").isNotNull(), F.add_months(F.trunc(p.arrived, "month"), -known.late))
@@ -251,44 +256,48 @@ def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: b
     # a guessed month counts only where the series has no row of it
     real = F.col("_m").isNotNull()
     observed = {"_v": (F.avg, F.when(~F.col(f"no_{p.value}"), F.col(p.value).cast("double"))), **{f"_c_{c}": (F.min, F.when(~F.col(f"no_{c}"), F.col(c))) for c in cats}}
-    monthly = base.where("_k IS NOT NULL AND _s IS NOT NULL").groupBy("_s", F.col("_k").alias("_m")).agg(
-        F.max(real).alias("_real"), *[f(F.when(real, v)).alias(n) for n, (f, v) in observed.items()], *[f(F.when(~real, v)).alias(f"{n}_g") for n, (f, v) in observed.items()]
+    monthly = base.where("_k IS NOT NULL AND _s IS NOT NULL").groupBy("_s", "_t", F.col("_k").alias("_m")).agg(
+        *[F.first(F.col(c).cast("string")).alias(f"_k_{c}") for c in p.series], F.max(real).alias("_real"), *[f(F.when(real, v)).alias(n) for n, (f, v) in observed.items()], *[f(F.when(~real, v)).alias(f"{n}_g") for n, (f, v) in observed.items()]
     )
-    monthly = monthly.select("_s", "_m", "_real", *[F.when(F.col("_real"), F.col(n)).otherwise(F.col(f"{n}_g")).alias(n) for n in observed])
-    w = Window.partitionBy("_s").orderBy("_m")
+    names = [f"_k_{c}" for c in p.series]
+    monthly = monthly.select("_s", "_t", "_m", *names, "_real", *[F.when(F.col("_real"), F.col(n)).otherwise(F.col(f"{n}_g")).alias(n) for n in observed])
+    w = Window.partitionBy("_s", "_t").orderBy("_m")
     # months up to the series' next one, the first of which is there
     gap = F.expr("sequence(0, coalesce(cast(months_between(_next, _m) as int), 1) - 1)")
     grid = monthly.withColumn("_next", F.lead("_m").over(w)).withColumn("_j", F.explode(gap)).withColumn("_there", F.when(F.col("_j") == 0, True))
-    grid = grid.select("_s", F.add_months("_m", F.col("_j")).alias("_m"), "_there", F.when(F.col("_there"), F.col("_real")).alias("_real"), *[F.when(F.col("_there"), F.col(n)).alias(n) for n in observed])
+    grid = grid.select("_s", "_t", *names, F.add_months("_m", F.col("_j")).alias("_m"), "_there", F.when(F.col("_there"), F.col("_real")).alias("_real"), *[F.when(F.col("_there"), F.col(n)).alias(n) for n in observed])
     i = (F.year("_m") * 12 + F.month("_m")).cast("long")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("_v").isNotNull(), F.struct(i.alias("i"), F.col("_v").alias("v")))
-    grid = grid.withColumns({"_i": i, "_l": F.last(at, True).over(back), "_r": F.first(at, True).over(ahead)})
-    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    line = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * (F.col("_i") - F.col("_l.i")) / F.greatest(F.col("_r.i") - F.col("_l.i"), F.lit(1))
-    grid = grid.withColumns({
-        "_value": F.when(both, line).otherwise(F.coalesce("_l.v", "_r.v")),
-        "_method": F.when(F.col("_v").isNotNull(), "month").when(both, "interpolated").when(F.col("_l").isNotNull() | F.col("_r").isNotNull(), "nearest").otherwise("none"),
-        "_distance": F.least(F.col("_i") - F.col("_l.i"), F.col("_r.i") - F.col("_i")),
-    })
+    # the last observation up to a month, and, along the months backwards, the next one from it: frames that grow row by row
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_s", "_t").orderBy(F.desc("_m")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = {n: F.when(F.col(n).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(n).alias("v"))) for n in observed}
+    grid = grid.withColumn("_i", i)
+    grid = grid.withColumns({f"_l{n}": F.last(x, True).over(back) for n, x in seen.items()}).withColumns({f"_r{n}": F.last(x, True).over(ahead) for n, x in seen.items()})
+    l, r = F.col("_l_v"), F.col("_r_v")
+    both = l.isNotNull() & r.isNotNull()
+    line = l["v"] + (r["v"] - l["v"]) * (F.col("_i") - l["i"]) / F.greatest(r["i"] - l["i"], F.lit(1))
+    made = {
+        "_value": F.when(both, line).otherwise(F.coalesce(l["v"], r["v"])),
+        "_method": F.when(F.col("_v").isNotNull(), "month").when(both, "interpolated").when(l.isNotNull() | r.isNotNull(), "nearest").otherwise("none"),
+        "_distance": F.least(F.col("_i") - l["i"], r["i"] - F.col("_i")),
+    }
     for c in cats:
-        seen = F.when(F.col(f"_c_{c}").isNotNull(), F.struct(F.col("_i").alias("i"), F.col(f"_c_{c}").alias("v")))
-        l, r = F.last(seen, True).over(back), F.first(seen, True).over(ahead)
-        grid = grid.withColumns({f"_l_{c}": l, f"_r_{c}": r})
-        dl, dr = F.col("_i") - F.col(f"_l_{c}.i"), F.col(f"_r_{c}.i") - F.col("_i")
-        near = F.when(F.coalesce(dl, F.lit(10**6)) <= F.coalesce(dr, F.lit(10**6)), F.col(f"_l_{c}.v")).otherwise(F.col(f"_r_{c}.v"))
-        grid = grid.withColumns({f"_n_{c}": F.when(F.least(dl, dr) <= gap_limit, near), f"_d_{c}": F.least(dl, dr)})
-    got = grid.select("_s", F.col("_m").alias("_month"), "_there", "_real", "_value", "_method", "_distance", *[f"_n_{c}" for c in cats], *[f"_d_{c}" for c in cats])
+        l, r = F.col(f"_l_c_{c}"), F.col(f"_r_c_{c}")
+        dl, dr = F.col("_i") - l["i"], r["i"] - F.col("_i")
+        near = F.when(F.coalesce(dl, F.lit(10**6)) <= F.coalesce(dr, F.lit(10**6)), l["v"]).otherwise(r["v"])
+        made |= {f"_n_{c}": F.when(F.least(dl, dr) <= gap_limit, near), f"_d_{c}": F.least(dl, dr)}
+    grid = grid.withColumns(made)
+    got = grid.select("_s", "_t", *names, F.col("_m").alias("_month"), "_there", "_real", "_value", "_method", "_distance", *[f"_n_{c}" for c in cats], *[f"_d_{c}" for c in cats])
     # Rows keep to a left join, whose larger side AQE may split where one series holds many of them; months without a row come apart from it.
-    kept = base.withColumnRenamed("_s", "_bs")
+    kept = base.withColumnsRenamed({"_s": "_bs", "_t": "_bt"})
     lacking = reduce(lambda a, b: a | b, [F.col(f"no_{c}") for c in [p.value, *cats, *([p.period] if p.period_may_miss else [])]])
     kept = kept.where(lacking) if incomplete_only else kept
-    at = (F.col("_bs") == F.col("_s")) & (F.col("_k") == F.col("_month")) & (F.col("_m").isNotNull() | ~F.col("_real"))
+    at = (F.col("_bs") == F.col("_s")) & (F.col("_bt") == F.col("_t")) & (F.col("_k") == F.col("_month")) & (F.col("_m").isNotNull() | ~F.col("_real"))
     joined = kept.join(got, at, "left").withColumn("row_made", F.lit(False))
     if not incomplete_only:
         joined = joined.unionByName(got.where("_there IS NULL").withColumn("row_made", F.lit(True)), allowMissingColumns=True)
     made = F.col("row_made")
-    from_series = [F.when(made, F.get(F.from_json("_s", "array<string>"), k)).otherwise(F.col(c).cast("string")).alias(c) for k, c in enumerate(p.series)]
+    from_series = [F.when(made, F.col(f"_k_{c}")).otherwise(F.col(c).cast("string")).alias(c) for c in p.series]
     no_value = made | F.col(f"no_{p.value}")
     cols = [F.col(p.row_id), F.date_format(F.coalesce("_m", "_month"), "yyyy-MM-dd").alias(p.period), *from_series,
             F.when(no_value, F.col("_value")).otherwise(F.col(p.value).cast("double")).alias(p.value),
