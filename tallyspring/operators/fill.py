@@ -239,12 +239,13 @@ def missing_entries(panels: list[Panel]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: bool = False) -> DataFrame:
+def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: bool = False, decimals: int | None = None) -> DataFrame:
     """Rows of the panel, and a row for each month without one, with every entry and per field its method and distance.
 
     Rows without a month get the one that rows usually arrive for at that time, if their series lacks it. One series has
     at most a few hundred months; rows of the same month are first brought to one observation, so a window over a series is
-    bounded by the calendar however often rows repeat. With ``incomplete_only`` only rows that lack an entry come out.
+    bounded by the calendar however often rows repeat. With ``incomplete_only`` only rows that lack an entry come out;
+    ``decimals`` rounds the numbers that are filled in.
     """
     p = panel
     cats = list(p.categories)
@@ -300,7 +301,7 @@ def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: b
     from_series = [F.when(made, F.col(f"_k_{c}")).otherwise(F.col(c).cast("string")).alias(c) for c in p.series]
     no_value = made | F.col(f"no_{p.value}")
     cols = [F.col(p.row_id), F.date_format(F.coalesce("_m", "_month"), "yyyy-MM-dd").alias(p.period), *from_series,
-            F.when(no_value, F.col("_value")).otherwise(F.col(p.value).cast("double")).alias(p.value),
+            F.when(no_value, F.col("_value") if decimals is None else F.round("_value", decimals)).otherwise(F.col(p.value).cast("double")).alias(p.value),
             F.when(~no_value, "observed").otherwise(F.coalesce("_method", F.lit("none"))).alias(f"{p.value}_method"),
             F.when(~no_value, 0).otherwise(F.col("_distance")).alias(f"{p.value}_distance"), "row_made",
             F.when(made, "made").when(F.col("_m").isNotNull(), "observed").when(F.col("_month").isNotNull(), "from_arrival").otherwise("none").alias(f"{p.period}_method")]

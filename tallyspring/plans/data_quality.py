@@ -50,8 +50,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _p4_filled(spark: SparkSession, folder: str, which: int) -> DataFrame:
+    """The filled table; rows that were made have row_id -1, and entries without any observation distance -1."""
     panels = _panels(spark, folder)
-    return fill.filled(panels[which], fill.profiles(panels)[which])
+    out = fill.filled(panels[which], fill.profiles(panels)[which], decimals=6)
+    return out.fillna(-1, ["row_id", *[c for c in out.columns if c.endswith("_distance")]])
 
 
 def p4_accounts_filled(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,6 +102,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_series": p5_series,
 }
 
+def _filled_sql(table_name: str, period: str, value: str, series: list[str], categories: list[str], arrived: str | None) -> str:
+    """Filling in window functions; what stands in place of an entry is named here, as it occurs in these tables."""
+    names, many = ", ".join(series), range(len(categories))
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in series)
+    cats = "".join(f", {c}, {c} IS NULL OR trim(lower({c})) IN ('', '-', '--', '?', '??', '#n/a', 'k.a.', 'n/a', 'none', 'not set', 'null', 'tbc', 'tbd', 'unknown') AS no_{k}" for k, c in zip(many, categories))
+    guess = "CASE WHEN m IS NULL AND whole THEN CAST(date_trunc('month', arrived) - to_months(CAST(d AS INTEGER)) AS DATE) END" if arrived else "CAST(NULL AS DATE)"
+    seen = lambda c, flag: f"CASE WHEN bool_or(m IS NOT NULL) THEN {c} FILTER (m IS NOT NULL AND NOT {flag}) ELSE {c} FILTER (m IS NULL AND NOT {flag}) END"
+    ends = lambda c: f", last_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER back AS l_{c}, first_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER ahead AS r_{c}"
+    worth = lambda c: f", last_value({c} IGNORE NULLS) OVER back AS lv_{c}, first_value({c} IGNORE NULLS) OVER ahead AS rv_{c}"
+    carried = lambda k: f"CASE WHEN least(i - l_c{k}, r_c{k} - i) <= 12 THEN CASE WHEN coalesce(i - l_c{k}, 1000000) <= coalesce(r_c{k} - i, 1000000) THEN lv_c{k} ELSE rv_c{k} END END AS n{k}, least(i - l_c{k}, r_c{k} - i) AS d{k}"
+    columns = lambda made: "".join(
+        f""", {f"n{k}" if made else f"CASE WHEN no_{k} THEN n{k} ELSE {c} END"} AS {c}, CASE WHEN {"false" if made else f"NOT no_{k}"} THEN 'observed' WHEN n{k} IS NOT NULL THEN 'carried' ELSE 'none' END AS {c}_method,
+    coalesce({f"d{k}" if made else f"CASE WHEN NOT no_{k} THEN 0 ELSE d{k} END"}, -1) AS {c}_distance"""
+        for k, c in zip(many, categories)
+    )
+    first = period if arrived else f"CAST({period} AS VARCHAR)"
+    return f"""
+WITH b AS (
+  SELECT row_id, {names}, {whole} AS whole, {value} AS v, {value} IS NULL OR isnan({value}) OR {value} IN (-999, -9999, -1e30, 99999.99, 999999) AS no_v{cats},
+    CASE WHEN try_cast({first} AS DATE) BETWEEN DATE '2017-01-01' AND DATE '2023-12-31' THEN CAST(date_trunc('month', try_cast({first} AS DATE)) AS DATE) END AS m{f", {arrived} AS arrived" if arrived else ""}
+  FROM {table_name}),
+{"late AS (SELECT datediff('month', m, arrived) AS d FROM b WHERE m IS NOT NULL AND arrived IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)," if arrived else ""}
+k AS (SELECT b.*, coalesce(m, {guess}) AS k FROM b{" LEFT JOIN late ON true" if arrived else ""}),
+mo AS (
+  SELECT {names}, k AS m, bool_or(m IS NOT NULL) AS actual, {seen("avg(v)", "no_v")} AS v{"".join(f", {seen(f'min({c})', f'no_{k}')} AS c{k}" for k, c in zip(many, categories))}
+  FROM k WHERE whole AND k IS NOT NULL GROUP BY {names}, k),
+g AS (SELECT {names}, CAST(unnest(generate_series(CAST(min(m) AS TIMESTAMP), CAST(max(m) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m FROM mo GROUP BY {names}),
+j AS (SELECT {", ".join(f"g.{c}" for c in series)}, g.m, actual, v{"".join(f", c{k}" for k in many)}, CAST(year(g.m) * 12 + month(g.m) AS BIGINT) AS i FROM g LEFT JOIN mo ON {" AND ".join(f"g.{c} = mo.{c}" for c in series)} AND g.m = mo.m),
+w AS (
+  SELECT *{ends("v")}{worth("v")}{"".join(ends(f"c{k}") + worth(f"c{k}") for k in many)} FROM j
+  WINDOW back AS (PARTITION BY {names} ORDER BY m ROWS UNBOUNDED PRECEDING), ahead AS (PARTITION BY {names} ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (
+  SELECT {names}, m, actual, CASE WHEN l_v IS NOT NULL AND r_v IS NOT NULL THEN lv_v + (rv_v - lv_v) * (i - l_v) / greatest(r_v - l_v, 1) ELSE coalesce(lv_v, rv_v) END AS x,
+    CASE WHEN v IS NOT NULL THEN 'month' WHEN l_v IS NOT NULL AND r_v IS NOT NULL THEN 'interpolated' WHEN l_v IS NOT NULL OR r_v IS NOT NULL THEN 'nearest' ELSE 'none' END AS method, least(i - l_v, r_v - i) AS d{"".join(", " + carried(k) for k in many)}
+  FROM w)
+SELECT row_id, strftime(coalesce(k.m, f.m), '%Y-%m-%d') AS {period}, {", ".join(f"k.{c}" for c in series)}, CASE WHEN no_v THEN round(x, 6) ELSE k.v END AS {value},
+  CASE WHEN NOT no_v THEN 'observed' ELSE coalesce(method, 'none') END AS {value}_method, coalesce(CASE WHEN NOT no_v THEN 0 ELSE f.d END, -1) AS {value}_distance, false AS row_made,
+  CASE WHEN k.m IS NOT NULL THEN 'observed' WHEN f.m IS NOT NULL THEN 'from_arrival' ELSE 'none' END AS {period}_method{columns(False)}
+FROM k LEFT JOIN f ON {" AND ".join(f"k.{c} = f.{c}" for c in series)} AND k.k = f.m AND (k.m IS NOT NULL OR NOT f.actual)
+UNION ALL SELECT -1, strftime(m, '%Y-%m-%d'), {names}, round(x, 6), method, coalesce(d, -1), true, 'made'{columns(True)} FROM f WHERE actual IS NULL"""
+
+
 _PARTED = r"""
 WITH seps AS (
   SELECT file_name, max(CASE WHEN length(raw_line) - length(replace(raw_line, ';', '')) > length(raw_line) - length(replace(raw_line, ',', '')) THEN ';' ELSE ',' END) AS sep
@@ -176,6 +220,8 @@ v AS (SELECT 'accounts' AS table_name, row_id, 'value' AS field_name, value AS x
 SELECT * EXCLUDE x FROM e WHERE x IS NULL OR trim(lower(x)) IN (SELECT w FROM words)
 UNION ALL SELECT * EXCLUDE x FROM v WHERE x IS NULL OR isnan(x) OR x IN (-999, -9999, -1e30, 99999.99, 999999)
 UNION ALL SELECT 'accounts', row_id, 'period_key' FROM accounts WHERE try_cast(period_key AS DATE) IS NULL OR try_cast(period_key AS DATE) NOT BETWEEN DATE '2017-01-01' AND DATE '2023-12-01'""",
+    "p4_accounts_filled": _filled_sql("accounts", "period_key", "value", ["account_key", "product_key"], ["plant_key", "product_group"], "loaded_at"),
+    "p4_drivers_filled": _filled_sql("drivers", "date", "driver_value", ["driver_unique_name"], ["driver_classification"], None),
     "p5_found": _PERIODS + "SELECT n AS driver_unique_name, strftime(p, '%Y-%m-%d') AS period_start FROM j WHERE value IS NULL",
     "p5_series": _PERIODS
     + """,
