@@ -11,6 +11,7 @@ observations are left out.
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
@@ -101,7 +102,8 @@ class Model:
     params: dict = field(default_factory=dict)
     ranges: dict[str, list] = field(default_factory=dict)
     uses_drivers: bool = True
-    search: str = ""  # how its extrema over drivers are found: "" by correlation (linear, or without drivers), rows (each month by itself), additive (drivers add up)
+    search: str = ""  # how its extrema over drivers are searched: rows (each month by itself), additive (drivers add up), "" without drivers
+    linear: bool = False  # whether the sign of the correlation with a driver may stand for a search
 
 
 def _linear_in_x(f: Callable) -> Callable:
@@ -126,10 +128,10 @@ def _alone(f: Callable) -> Callable:
 
 MODELS: dict[str, Model] = {
     "linear_regression": Model(_alone(U.linear), uses_drivers=False),
-    "lr_drivers": Model(_linear_in_x(lambda x, y, p: M.ols(x, y))),
-    "ridge": Model(_linear_in_x(lambda x, y, p: M.ridge(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}),
-    "lasso": Model(_linear_in_x(lambda x, y, p: M.lasso(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}),
-    "hyperlasso": Model(_linear_in_x(lambda x, y, p: M.lasso_cv(x, y, p["alphas"], p["folds"])[:2]), {"alphas": 100, "folds": 5}),
+    "lr_drivers": Model(_linear_in_x(lambda x, y, p: M.ols(x, y)), search="additive", linear=True),
+    "ridge": Model(_linear_in_x(lambda x, y, p: M.ridge(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}, search="additive", linear=True),
+    "lasso": Model(_linear_in_x(lambda x, y, p: M.lasso(x, y, p["alpha"])), {"alpha": 1.0}, {"alpha": [0.1, 0.5, 1.0, 5.0, 10.0]}, search="additive", linear=True),
+    "hyperlasso": Model(_linear_in_x(lambda x, y, p: M.lasso_cv(x, y, p["alphas"], p["folds"])[:2]), {"alphas": 100, "folds": 5}, search="additive", linear=True),
     "random_forest": Model(_scaled_trees(lambda p: M.Forest(p["trees"], p["depth"], p["leaf"])), {"trees": 100, "depth": 8, "leaf": 1}, {"trees": [30, 50, 100], "depth": [3, 6, 10], "leaf": [1, 3, 5]}, search="rows"),
     "xgboost": Model(_scaled_trees(lambda p: M.Boosted(p["trees"], p["depth"], p["rate"])), {"trees": 100, "depth": 3, "rate": 0.1}, {"trees": [50, 100, 200], "depth": [1, 3, 5], "rate": [0.05, 0.1, 0.3]}, search="rows"),
     "sarimax": Model(lambda y, x, p: lambda future, horizon: U.auto_arima(y, horizon, p["p"], p["d"], p["q"], p["P"], p["D"], p["Q"], exog=x, future=future), {"p": 2, "d": 1, "q": 2, "P": 1, "D": 1, "Q": 1}, search="additive"),
@@ -175,22 +177,26 @@ def candidates(model: Model, method: str, options: int = 3, multiplier: int = 5,
 
 
 def run_models(designs: DataFrame, methods: list[str], train_end: date, forecast_end: date, tune: str = "off", params: dict[str, dict] | None = None, score_end: date | None = None) -> DataFrame:
-    """account, method, month, forecast, actual, params of the months after ``train_end``.
+    """account, method, month, forecast, actual, params (JSON) of the months after ``train_end``.
 
     With tuning, parameter sets are compared by MAPE on the months after ``train_end`` that have actuals
     (up to ``score_end``), so the error that is reported for those months is optimistic.
     """
     rows = designs.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    given = params or {}
+    return _run(rows, train_end, forecast_end, tune, params or {}, score_end)
 
-    def one(account: str, method: str, held: list) -> pd.DataFrame | None:
+
+def _run(rows: DataFrame, train_end: date, forecast_end: date, tune: str, given: dict[str, dict], score_end: date | None) -> DataFrame:
+    """``run_models`` of rows that name their method, and, where there is a column ``params`` (JSON), its parameters."""
+
+    def one(account: str, method: str, held: list, told: str | None) -> pd.DataFrame | None:
         model = MODELS[method]
         _, y, x, months, future, actual = _arrays(held, train_end)
         keep = [i for i, m in enumerate(months) if m <= forecast_end]
         if len(y) < 3 or not keep:
             return None
         future, actual, months = future[keep], actual[keep], [months[i] for i in keep]
-        sets = [given[method]] if method in given else candidates(model, tune)
+        sets = [dict(model.params) | json.loads(told)] if told else [given[method]] if method in given else candidates(model, tune)
         best = None
         for p in sets:
             try:
@@ -206,12 +212,12 @@ def run_models(designs: DataFrame, methods: list[str], train_end: date, forecast
                 best = (error, made, p)
         if best is None:
             raise ModelNotTrainedError(f"{method} could not be fitted for account {account}")
-        return pd.DataFrame({"account": account, "method": method, "month": months, "forecast": best[1], "actual": actual, "params": str(sorted(best[2].items()))})
+        return pd.DataFrame({"account": account, "method": method, "month": months, "forecast": best[1], "actual": actual, "params": json.dumps(best[2], sort_keys=True)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                got = one(r.account, r.method, list(r.rows))
+                got = one(r.account, r.method, list(r.rows), getattr(r, "params", None))
                 if got is not None:
                     yield got
 
@@ -251,16 +257,18 @@ def with_future(accounts: DataFrame, aligned: DataFrame) -> DataFrame:
     return aligned.join(y, ["account", "month"], "left")
 
 
-def final_forecast(designs: DataFrame, best: DataFrame, train_end: date, forecast_end: date) -> DataFrame:
-    """Refit of each account's chosen method up to ``train_end``, forecasting the months after."""
-    names = [r[0] for r in best.select("method").distinct().orderBy("method").collect()]
-    if not names:
-        return run_models(designs.limit(0), ["moving_average"], train_end, forecast_end)
-    parts = []
-    for m in names:
-        mine = designs.join(best.where(F.col("method") == m).select("account"), "account", "left_semi")
-        parts.append(run_models(mine, [m], train_end, forecast_end))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def best_params(forecasts: DataFrame) -> DataFrame:
+    """account, method, params of what ``run_models`` gave: the parameters each method was left with."""
+    return forecasts.select("account", "method", "params").distinct()
+
+
+def final_forecast(designs: DataFrame, best: DataFrame, train_end: date, forecast_end: date, params: DataFrame | None = None) -> DataFrame:
+    """Refit of each account's chosen method up to ``train_end``, forecasting the months after.
+
+    ``params`` (account, method, params as from ``best_params``) are the parameters that validation was left with, else
+    each method's own are taken.
+    """
+    chosen = best.select("account", "method")
+    if params is not None:
+        chosen = chosen.join(params.select("account", "method", "params"), ["account", "method"], "left")
+    return _run(designs.join(chosen, "account"), train_end, forecast_end, "off", {}, None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -128,8 +129,8 @@ def extrema_by_model(spark, predict: Callable[[np.ndarray], np.ndarray], levels:
 def extrema_by_fit(accounts: DataFrame, past: DataFrame, levels: DataFrame, lags: DataFrame, methods: DataFrame, known: date, end: date, sample: int | None = None, seed: int = 42) -> DataFrame:
     """account, method, classification, driver, highest, lowest: levels of the highest and lowest mean forecast by fitted models.
 
-    ``methods`` has account and method (of those with a ``search``), ``lags`` the chosen drivers of each account. Models are
-    fitted up to ``known`` and forecast up to ``end``, over every combination of levels or a seeded sample. Combinations are in
+    ``methods`` has account and method (of those with a ``search``), and may have params (JSON) to fit with; ``lags`` has the
+    chosen drivers of each account. Models are fitted up to ``known`` and forecast up to ``end``, over every combination of levels or a seeded sample. Combinations are in
     blocks, each a task that fits its model again; where drivers add up, one block holds all. Of equal ones the first counts.
     """
     names, base = list(LEVELS), len(LEVELS)
@@ -144,15 +145,15 @@ def extrema_by_fit(accounts: DataFrame, past: DataFrame, levels: DataFrame, lags
     additive = F.col("method").isin([m for m, k in forecasting.MODELS.items() if k.search == "additive"])
     total = F.pow(F.lit(float(base)), F.size("drivers"))
     last = F.when(additive | F.lit(sample is not None), F.lit(0)).otherwise(F.ceil(total / BLOCK).cast("int") - 1)
-    tasks = methods.select("account", "method").join(packed, "account").join(drivers, "account").withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    tasks = methods.select("account", "method", F.col("params") if "params" in methods.columns else F.lit(None).cast("string").alias("params")).join(packed, "account").join(drivers, "account").withColumn("block", F.explode(F.sequence(F.lit(0), last)))
 
-    def score(method: str, options: list, d: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    def score(method: str, params: str | None, options: list, d: int, block: int) -> tuple[np.ndarray, np.ndarray]:
         model, held = forecasting.MODELS[method], [forecasting._arrays(list(o["rows"]), known) for o in options]
         _, target, x, months, _, _ = held[0]
         future = np.stack([h[4] for h in held])  # levels, months, drivers
         if future.shape[0] != base or future.shape[2] != d:
             raise ValueError("a driver has no values at some level")
-        predict, h, every = model.fit(target, x, model.params), len(months), np.arange(d)
+        predict, h, every = model.fit(target, x, model.params | (json.loads(params) if params else {})), len(months), np.arange(d)
         if model.search == "additive":
             middle = names.index("AVG")
             mean = lambda i, k: float(predict(np.where(every == i, future[k], future[middle]), h).mean())
@@ -172,7 +173,7 @@ def extrema_by_fit(accounts: DataFrame, past: DataFrame, levels: DataFrame, lags
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                codes, s = score(r.method, list(r.options), len(r.drivers), int(r.block))
+                codes, s = score(r.method, r.params, list(r.options), len(r.drivers), int(r.block))
                 i, j = np.lexsort((codes, -s))[0], np.lexsort((codes, s))[0]
                 yield pd.DataFrame({"account": r.account, "method": r.method, "code": [int(codes[i]), int(codes[j])], "score": [s[i], s[j]]})
 
@@ -184,8 +185,19 @@ def extrema_by_fit(accounts: DataFrame, past: DataFrame, levels: DataFrame, lags
     return each.select("account", "method", *[F.col(f"e.{c}").alias(c) for c in SERIES], level("hi").alias("highest"), level("lo").alias("lowest"))
 
 
-def extrema(spark, method: str, aligned: DataFrame | None = None, **search) -> DataFrame | dict:
-    """auto: by correlation for linear models (``aligned`` given), else by sampling; correlation, sampling or exact by name."""
-    if method == "correlation" or (method == "auto" and aligned is not None):
-        return extrema_by_correlation(aligned)
-    return extrema_by_search(spark, search["coefficients"], search["means"], None if method == "exact" else search.get("sample", 500))
+def extrema(accounts: DataFrame, past: DataFrame, aligned: DataFrame, levels: DataFrame, lags: DataFrame, methods: DataFrame, known: date, end: date, how: str = "exact", sample: int = 500) -> DataFrame:
+    """account, method, classification, driver, highest, lowest for each account's method.
+
+    exact: its fitted model over every combination of levels; sampling: over ``sample`` of them; correlation: by the sign of
+    the correlation with each driver in ``aligned``; auto: by correlation for linear models, by sampling for others. Models
+    that don't look at drivers go by correlation, as no level changes them.
+    """
+    if how not in ("exact", "sampling", "correlation", "auto"):
+        raise ValueError(f"extrema can't be found by {how}")
+    searched = {"exact": [m for m, k in forecasting.MODELS.items() if k.search], "correlation": []}
+    searched |= {"sampling": searched["exact"], "auto": [m for m in searched["exact"] if not forecasting.MODELS[m].linear]}
+    by_sign = methods.where(~F.col("method").isin(searched[how])).select("account", "method")
+    out = extrema_by_correlation(aligned).join(by_sign, "account").select("account", "method", *SERIES, "highest", "lowest")
+    if searched[how]:
+        out = out.unionByName(extrema_by_fit(accounts, past, levels, lags, methods.where(F.col("method").isin(searched[how])), known, end, None if how == "exact" else sample))
+    return out

@@ -773,16 +773,14 @@ def scenario_extrema(spark, folder):
 
 @_query()
 def scenario_search(spark, folder):
-    """Levels of the highest and lowest forecast of each account by each model that uses drivers, over its selected ones: exact and sampled, and by correlation for linear models."""
+    """Levels of the highest and lowest forecast of each account by each model that uses drivers, over its selected ones: exact, sampled, and as the model asks for."""
     p, ranked = _candidates(spark, folder)
     chosen = materialize(collinearity.select(ranked, collinearity.combined(p, ranked), 2).where("status = 'selected'").select("account", *DRIVER), "selected")
-    every = lambda searched: chosen.select("account").distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m, k in forecasting.MODELS.items() if k.uses_drivers and bool(k.search) == searched])))
+    methods = chosen.select("account").distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m, k in forecasting.MODELS.items() if k.uses_drivers])))
     lags, levels, past = chosen.withColumn("lag", F.lit(0)), materialize(_levels(spark, folder), "levels"), training(drivers(spark, folder))
-    end = date(TRAIN_END.year + 1, 6, 1)
-    out = scenarios.extrema_by_correlation(p.join(chosen, ["account", *DRIVER], "left_semi")).join(every(False), "account").withColumn("search", F.lit("correlation"))
-    for name, sample in (("exact", None), ("sampled", 500)):
-        out = out.unionByName(scenarios.extrema_by_fit(accounts(spark, folder), past, levels, lags, every(True), TRAIN_END, end, sample).withColumn("search", F.lit(name)))
-    return out.select("account", "method", "search", *DRIVER, "highest", "lowest")
+    aligned, end = p.join(chosen, ["account", *DRIVER], "left_semi"), date(TRAIN_END.year + 1, 6, 1)
+    found = [scenarios.extrema(accounts(spark, folder), past, aligned, levels, lags, methods, TRAIN_END, end, how).withColumn("search", F.lit(how)) for how in ("exact", "sampling", "auto")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("account", "method", "search", *DRIVER, "highest", "lowest")
 
 
 @_query(_PANEL + """, f AS (SELECT account, month, value FROM acc WHERE month BETWEEN DATE '2000-01-01' AND DATE '2000-06-01')

@@ -28,7 +28,7 @@ class Result:
 def analyse(accounts: DataFrame, drivers: DataFrame, c: Config, given_lags: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(lags, scores, ranks, selected) on the training months only. Each stage is written once and read by the next."""
     span, a = c.general.training, c.analysis
-    y, x = panel.date_range(accounts, span.start_date, span.end_date), panel.date_range(drivers, span.start_date, span.end_date)
+    y, x = (materialize(panel.date_range(df, span.start_date, span.end_date), name) for df, name in ((accounts, "accounts"), (drivers, "drivers")))
     if given_lags is not None:
         lags = given_lags
     elif a.optimize_lags:
@@ -57,13 +57,13 @@ def _designs(accounts: DataFrame, drivers: DataFrame, lags: DataFrame, selected:
     return forecasting.design(forecasting.with_future(accounts, moved.select("account", "classification", "driver", "month", "x")))
 
 
-def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lags: DataFrame, selected: DataFrame, best: DataFrame, c: Config, scenario: DataFrame, sample: int | None = None) -> DataFrame:
+def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lags: DataFrame, selected: DataFrame, best: DataFrame, c: Config, scenario: DataFrame, how: str = "exact", sample: int = 500) -> DataFrame:
     """account, scenario (chosen, highest, lowest), month, value over the testing months.
 
     Drivers are forecast and perturbed to five levels; each account's chosen model is refitted and forecasts at the
-    levels of the scenario (classification, driver, level), and of the levels that raise and lower the account: by the
-    sign of its correlation with each driver where its model is linear, else by its fitted model over every combination
-    of levels (or ``sample`` of them); all are corrected by what the base forecast differs from that at AVG.
+    levels of the scenario (classification, driver, level), and of the levels that raise and lower the account, found as
+    ``how`` says (see ``scenarios.extrema``); all are corrected by what the base forecast differs from that at AVG. ``best``
+    (account, method) may have the parameters to fit with in ``params``.
     """
     g = c.general
     known, end = g.validation.end_date, g.testing.end_date
@@ -73,9 +73,8 @@ def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lag
     past = panel.date_range(needed, None, known)
     levels = materialize(scenarios.perturb(forecasting.forecast_drivers(past, c.forecasting.driver_method, months), scenarios.scatter(past)), "levels")
     with_lags = lags.join(chosen, ["account", "classification", "driver"], "left_semi")
-    searched = best.where(F.col("method").isin([m for m, k in forecasting.MODELS.items() if k.search])).select("account", "method")
-    linear = scenarios.extrema_by_correlation(ranking.align(panel.date_range(accounts, None, known), past, with_lags)).join(searched.select("account"), "account", "left_anti")
-    extrema = materialize(linear.unionByName(scenarios.extrema_by_fit(accounts, past, levels, with_lags, searched, known, end, sample).drop("method")), "extrema")
+    aligned = ranking.align(panel.date_range(accounts, None, known), past, with_lags)
+    extrema = materialize(scenarios.extrema(accounts, past, aligned, levels, with_lags, best, known, end, how, sample), "extrema")
 
     def designs(per_account: DataFrame) -> DataFrame:
         """Designs with the future of each driver at its level (account, classification, driver, level)."""
@@ -86,7 +85,7 @@ def plan_scenarios(accounts: DataFrame, drivers: DataFrame, base: DataFrame, lag
         return forecasting.design(forecasting.with_future(accounts, moved.select("account", "classification", "driver", "month", F.col("value").alias("x"))))
 
     def forecast(level: DataFrame) -> DataFrame:
-        out = forecasting.final_forecast(designs(level), best, known, end)
+        out = forecasting.final_forecast(designs(level), best, known, end, best if "params" in best.columns else None)
         return out.select("account", "month", F.col("forecast").alias("value"))
 
     average = materialize(forecast(chosen.withColumn("level", F.lit("AVG"))), "average")
@@ -103,9 +102,11 @@ def run(accounts: DataFrame, drivers: DataFrame, c: Config, lags: DataFrame | No
     designs = _designs(accounts, drivers, found_lags, selected, g.training.end_date, g.validation.end_date, f.driver_method)
     validation = materialize(forecasting.run_models(designs, f.account_methods, g.training.end_date, g.validation.end_date, f.tuning), "validation")
     metrics = materialize(forecasting.metrics(validation), "metrics")
-    chosen = best if best is not None else materialize(forecasting.best_method(metrics, f.metric, f.account_methods), "best")
+    params = forecasting.best_params(validation)
+    found = best if best is not None else forecasting.best_method(metrics, f.metric, f.account_methods)
+    chosen = found if "params" in found.columns else materialize(found.join(params, ["account", "method"], "left"), "best")
     last = _designs(accounts, drivers, found_lags, selected, g.validation.end_date, g.testing.end_date, f.driver_method)
-    forecasts = materialize(forecasting.final_forecast(last, chosen, g.validation.end_date, g.testing.end_date), "forecasts")
+    forecasts = materialize(forecasting.final_forecast(last, chosen, g.validation.end_date, g.testing.end_date, chosen), "forecasts")
     plain = forecasts.select("account", "month", F.col("forecast").alias("value"))
     names = c.accounts
     formulas = reconcile.parse_formulas(c.reconciliation.formulas, names) if c.reconciliation.formulas else []

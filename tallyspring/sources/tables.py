@@ -7,11 +7,12 @@ DataFrame in the report's shape; ``write`` stores one, by default only where sav
 from __future__ import annotations
 
 import hashlib
-import json
 import time
+from collections.abc import Iterator
 from datetime import date
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +134,8 @@ def write(df: DataFrame, path: str, kind: str = "parquet", save: bool = True) ->
         df.write.mode("overwrite").csv(path, header=True)
     elif kind == "json":
         df.write.mode("overwrite").json(path)
+    elif kind == "text":
+        df.write.mode("overwrite").text(path)
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(path)
     else:
@@ -140,24 +143,37 @@ def write(df: DataFrame, path: str, kind: str = "parquet", save: bool = True) ->
     return path
 
 
-def write_params(best: dict[str, dict[str, dict]], path: str, save: bool = True) -> str | None:
-    """Best parameters per account and method, as JSON."""
-    if save:
-        Path(path).write_text(json.dumps(best, indent=1, sort_keys=True))
-        return path
-    return None
+def params_report(params: DataFrame) -> DataFrame:
+    """account, best_params: of account, method, params (JSON) one JSON object per account, its methods in order."""
+    each = F.array_sort(F.collect_set(F.struct("method", "params")))
+    part = lambda e: F.concat(F.lit('"'), e["method"], F.lit('": '), e["params"])
+    return params.groupBy("account").agg(F.concat(F.lit("{"), F.array_join(F.transform(each, part), ", "), F.lit("}")).alias("best_params"))
 
 
-def manifest(inputs: list[str], outputs: list[str], started: float) -> dict:
-    """Digests of the input files, the list of outputs, and the time taken."""
+def write_params(params: DataFrame, path: str, save: bool = True) -> str | None:
+    """Best parameters per account and method, a line of JSON for each account."""
+    line = F.concat(F.regexp_replace(F.to_json(F.struct("account")), r"\}$", ""), F.lit(', "best_params": '), "best_params", F.lit("}"))
+    return write(params_report(params).select(line.alias("value")), path, "text", save)
 
-    def digest(p: str) -> str:
-        h = hashlib.sha256()
-        for f in sorted(Path(p).rglob("*")) if Path(p).is_dir() else [Path(p)]:
-            if f.is_file():
-                with f.open("rb") as stream:
-                    for block in iter(lambda: stream.read(1 << 20), b""):
-                        h.update(block)
-        return h.hexdigest()
 
-    return {"inputs": {p: digest(p) for p in inputs}, "outputs": sorted(outputs), "elapsed_seconds": round(time.time() - started, 3)}
+def manifest(spark: SparkSession, inputs: list[str], outputs: list[str], started: float) -> dict:
+    """Digests of the input files, the list of outputs, and the time taken.
+
+    Files are read in tasks, wherever the session's file systems have them; a folder's digest is that of its files' in the
+    order of their names. One row per file comes back.
+    """
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "digest": [hashlib.sha256(c).hexdigest() for c in b["content"]]})
+
+    out = {}
+    for p in inputs:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p)
+        # Spark reads a file of up to 2 GB as one row; larger ones are told apart by their size and time of change
+        fits = F.col("length") < 2**31 - 1
+        small = files.where(fits).select("path", "content")
+        large = files.where(~fits).select("path", F.concat_ws("/", "length", "modificationTime").alias("digest"))
+        got = sorted((r["path"], r["digest"]) for r in small.mapInPandas(digests, "path string, digest string").unionByName(large).collect())
+        out[p] = got[0][1] if len(got) == 1 and got[0][0].rstrip("/").endswith(Path(p).name) else hashlib.sha256("".join(d for _, d in got).encode()).hexdigest()
+    return {"inputs": out, "outputs": sorted(outputs), "elapsed_seconds": round(time.time() - started, 3)}

@@ -99,6 +99,24 @@ def test_tuning_is_no_worse_and_repeats(designs):
     assert all(e["even"][m] <= max(e["off"][m], e["random"][m]) + 1e-12 for m in e["off"])
 
 
+def test_final_forecast_refits_with_the_tuned_parameters(spark, designs, tmp_path):
+    import json
+
+    from tallyspring.sources import tables
+
+    tuned = forecasting.run_models(designs, ["ridge", "moving_average"], MONTHS[59], MONTHS[65], "grid")
+    params = forecasting.best_params(tuned)
+    chosen = {r.method: json.loads(r.params) for r in params.collect()}
+    assert chosen["ridge"]["alpha"] != forecasting.MODELS["ridge"].params["alpha"]
+    best = spark.createDataFrame([("acc", "ridge")], "account string, method string")
+    kept, own = (forecasting.final_forecast(designs, best, MONTHS[59], MONTHS[65], p).orderBy("month").collect() for p in (params, None))
+    assert [r.forecast for r in kept] == pytest.approx([r.forecast for r in tuned.where("method = 'ridge'").orderBy("month").collect()])
+    assert [r.forecast for r in kept] != pytest.approx([r.forecast for r in own]) and json.loads(kept[0].params) == chosen["ridge"]
+    path = tables.write_params(params, str(tmp_path / "params"))
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert lines == [{"account": "acc", "best_params": chosen}]
+
+
 def test_choice_of_models(spark):
     s = spark.createDataFrame([("a", "ridge", "rmse_pct", 2.0), ("a", "lasso", "rmse_pct", 2.0), ("b", "ridge", "rmse_pct", 1e11), ("b", "lasso", "rmse_pct", None), ("c", "lasso", "rmse_pct", 1.0), ("c", "ridge", "std", 0.1)], "account string, method string, metric string, value double")
     assert {r.account: r.method for r in forecasting.best_method(s).collect()} == {"a": "ridge", "c": "lasso"}

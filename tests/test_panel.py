@@ -74,7 +74,7 @@ def test_files_and_reports(spark, tmp_path, drivers):
     assert tables.write(drivers, str(tmp_path / "no"), save=False) is None and not (tmp_path / "no").exists()
     wide = tables.driver_forecast_report(forecasting.mean_forecast(drivers, ["classification", "driver"], 2), 2)
     assert wide.columns == ["classification", "driver", "forecast_val_1", "forecast_val_2"]
-    m = tables.manifest([str(tmp_path / "d.csv")], ["b", "a"], 0.0)
+    m = tables.manifest(spark, [str(tmp_path / "d.csv")], ["b", "a"], 0.0)
     assert len(m["inputs"][str(tmp_path / "d.csv")]) == 64 and m["outputs"] == ["a", "b"]
 
 

@@ -86,7 +86,7 @@ def test_perturbation(spark):
 def test_search_equals_enumeration(spark):
     rng = np.random.default_rng(0)
     c, m = rng.normal(size=4), rng.normal(size=(4, 5))
-    exact, every = S.extrema(spark, "exact", coefficients=c, means=m), S.extrema(spark, "sampling", coefficients=c, means=m, sample=5**4)
+    exact, every = S.extrema_by_search(spark, c, m), S.extrema_by_search(spark, c, m, 5**4)
     assert exact == every
     assert S.combinations(spark, 3, 500).count() == 125 and S.combinations(spark, 4, 500).count() == 500
     assert S.decode(np.array([0, 7, 124]), 3).tolist() == [[0, 0, 0], [0, 1, 2], [4, 4, 4]]
@@ -118,10 +118,11 @@ def test_search_by_fit_equals_brute_force(spark, peaked):
     width = {"d1": 4.0, "d2": 3.0}
     levels = spark.createDataFrame([("c", n, lv, m, 50.0 + k * width[n] + i) for n in d for lv, k in S.LEVELS.items() for i, m in enumerate(months[60:])], "classification string, driver string, level string, month date, value double")
     lags = spark.createDataFrame([("x", "c", n, 0) for n in d], "account string, classification string, driver string, lag int")
-    methods = spark.createDataFrame([("x", m) for m in ("random_forest", "xgboost", "sarimax")], "account string, method string")
+    searched = ("random_forest", "xgboost", "sarimax", "ridge", "lr_drivers")
+    methods = spark.createDataFrame([("x", m) for m in searched], "account string, method string")
     got = {(r.method, r.driver): (r.highest, r.lowest) for r in S.extrema_by_fit(accounts, drivers, levels, lags, methods, months[59], months[65]).collect()}
     x = np.column_stack([d["d1"], d["d2"]])[:60]
-    for m in ("random_forest", "xgboost", "sarimax"):
+    for m in searched:
         model = forecasting.MODELS[m]
         predict = model.fit(y[:60], x, model.params)
         score = {c: predict(np.column_stack([50.0 + S.LEVELS[c[i]] * width[n] + np.arange(6) for i, n in enumerate(("d1", "d2"))]), 6).mean() for c in itertools.product(S.LEVELS, repeat=2)}
@@ -129,6 +130,21 @@ def test_search_by_fit_equals_brute_force(spark, peaked):
         assert score[high] == pytest.approx(max(score.values())) and score[low] == pytest.approx(min(score.values()))
 
 
+def test_extrema_look_at_the_model(spark, peaked):
+    accounts, drivers, months, d, y = peaked
+    levels = spark.createDataFrame([("c", n, lv, m, 50.0 + 4.0 * k) for n in d for lv, k in S.LEVELS.items() for m in months[60:]], "classification string, driver string, level string, month date, value double")
+    lags = spark.createDataFrame([("x", "c", n, 0) for n in d], "account string, classification string, driver string, lag int")
+    aligned = drivers.withColumnRenamed("value", "x").join(accounts.withColumnRenamed("value", "y"), "month").select("account", "classification", "driver", "month", "x", "y")
+    methods = spark.createDataFrame([("x", m) for m in ("random_forest", "ridge", "moving_average")], "account string, method string")
+    got = {how: {(r.method, r.driver): (r.highest, r.lowest) for r in S.extrema(accounts, drivers, aligned, levels, lags, methods, months[59], months[65], how).collect()} for how in ("exact", "sampling", "correlation", "auto")}
+    assert got["exact"]["random_forest", "d1"][0] == "AVG" == got["sampling"]["random_forest", "d1"][0] == got["auto"]["random_forest", "d1"][0]  # the peak
+    assert got["correlation"]["random_forest", "d1"][0] in ("VERY_HIGH", "VERY_LOW")
+    assert got["auto"]["ridge", "d2"] == got["correlation"]["ridge", "d2"] == got["exact"]["ridge", "d2"] == ("VERY_HIGH", "VERY_LOW")
+    assert all(len(g) == 6 for g in got.values())
+    with pytest.raises(ValueError):
+        S.extrema(accounts, drivers, aligned, levels, lags, methods, months[59], months[65], "guess")
+
+
 def test_plans_of_a_forest_are_its_own_extrema(spark, peaked):
     from tallyspring.plans import pipeline
     from tallyspring.sources.config import load_config
