@@ -12,11 +12,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspring.functions import expressions as E
 from tallyspring.functions import models
 from tallyspring.operators import stats
+from tallyspring.session import materialize
 
 # Weights of the methods, rescaled over those in use.
 WEIGHTS = {"correlation": 0.25, "pairwise_r2": 0.25, "kmeans": 0.15, "mutual_information": 0.15, "lasso": 0.05, "hierarchical": 0.15}
@@ -31,29 +33,42 @@ def _rows(aligned: DataFrame, ranked: DataFrame, candidates: int | None) -> Data
 
 
 def candidate_pairs(aligned: DataFrame, ranked: DataFrame, candidates: int | None = None) -> DataFrame:
-    """account, driver_a < driver_b, month, x, y of the candidates of each account (x and y are the two drivers)."""
-    rows = _rows(aligned, ranked, candidates)
-    a = rows.select("account", "month", F.col("driver").alias("driver_a"), F.col("x"))
-    b = rows.select("account", "month", F.col("driver").alias("driver_b"), F.col("x").alias("y"))
-    return a.join(b, ["account", "month"]).where("driver_a < driver_b")
+    """account, driver_a < driver_b, p: the candidates of each account two by two, p holding t, x, y of their common months in order.
+
+    A driver's months become one array before drivers meet, so that what is joined is one row per driver, not per month.
+    """
+    rows = _rows(aligned, ranked, candidates).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    each = rows.groupBy("account", "driver").agg(F.array_sort(F.collect_list(F.struct("month", "x"))).alias("s"))
+    a = each.select("account", F.col("driver").alias("driver_a"), F.col("s").alias("a"))
+    b = each.select("account", F.col("driver").alias("driver_b"), F.col("s").alias("b"))
+    months = lambda c: F.transform(c, lambda e: e["month"])
+    values = lambda c: F.transform(c, lambda e: e["x"])
+    same = F.zip_with("a", "b", lambda u, v: F.struct(u["x"].alias("x"), v["x"].alias("y")))
+    other = F.map_from_arrays(months("b"), values("b"))
+    common = F.filter(F.transform("a", lambda u: F.struct(u["x"].alias("x"), F.try_element_at(other, u["month"]).alias("y"))), lambda e: e["y"].isNotNull())
+    p = F.transform(F.when(months("a") == months("b"), same).otherwise(common), lambda e, i: F.struct(i.alias("t"), e["x"].alias("x"), e["y"].alias("y")))
+    return a.join(b, "account").where("driver_a < driver_b").select(*PAIR, p.alias("p"))
+
+
+def _pearson() -> Column:
+    return E.pearson_of_arrays(F.transform("p", lambda e: e["x"]), F.transform("p", lambda e: e["y"]))
 
 
 def correlation(pairs: DataFrame) -> DataFrame:
     """Mean of |Pearson|, |Spearman| (by permutations) and |Kendall|."""
-    p = stats.packed(pairs, PAIR, F.abs(stats.E.pearson(F.col("x"), F.col("y"))).alias("r"))
-    return p.select(*PAIR, ((F.col("r") + F.abs(stats.argsort_rho()) + F.abs(stats.tau())) / 3).alias("collinearity"))
+    return pairs.select(*PAIR, ((F.abs(_pearson()) + F.abs(stats.argsort_rho()) + F.abs(stats.tau())) / 3).alias("collinearity"))
 
 
 def pairwise_r2(pairs: DataFrame) -> DataFrame:
     """Share of variance that one driver explains of the other."""
-    return stats.complete(pairs).groupBy(*PAIR).agg(F.pow(stats.E.pearson(F.col("x"), F.col("y")), 2).alias("collinearity"))
+    return pairs.select(*PAIR, F.pow(_pearson(), 2).alias("collinearity"))
 
 
 def mutual_information(pairs: DataFrame, bins: int = 10) -> DataFrame:
     """Relative to the account's largest."""
-    mi = stats.mutual_information(pairs, PAIR, bins)
-    top = F.max("mutual_information").over(stats.Window.partitionBy("account"))
-    return mi.select(*PAIR, stats.E.div(F.col("mutual_information"), top).alias("collinearity"))
+    mi = stats.mutual_information(pairs.select(*PAIR, F.explode("p").alias("e")).select(*PAIR, "e.x", "e.y"), PAIR, bins)
+    top = F.max("mutual_information").over(Window.partitionBy("account"))
+    return mi.select(*PAIR, E.div(F.col("mutual_information"), top).alias("collinearity"))
 
 
 MATRIX = {"kmeans": models.kmeans_matrix, "lasso": models.lasso_matrix, "hierarchical": models.hierarchical_matrix}
@@ -64,25 +79,34 @@ def _wide(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return list(wide.columns), wide.to_numpy(float)
 
 
-def matrices(aligned: DataFrame, ranked: DataFrame, method: str, candidates: int | None = None) -> DataFrame:
-    """The methods that look at all candidates at once, per account."""
-    rows, make = _rows(aligned, ranked, candidates), MATRIX[method]
+def matrices(aligned: DataFrame, ranked: DataFrame, methods: str | list[str], candidates: int | None = None) -> DataFrame:
+    """The methods that look at all candidates of an account at once: one task per account and method. ``method`` is a column where several are asked for."""
+    listed = [methods] if isinstance(methods, str) else methods
+    rows = _rows(aligned, ranked, candidates).withColumn("method", F.explode(F.array(*[F.lit(m) for m in listed])))
+    # a number of its own, as few rows here are much work, and partitions of few rows would be put together
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account", "method")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, x = _wide(pdf)
-        m = make(x) if len(names) > 1 else np.zeros((1, 1))
+        m = MATRIX[pdf["method"].iloc[0]](x) if len(names) > 1 else np.zeros((1, 1))
         i, j = np.triu_indices(len(names), 1)
-        return pd.DataFrame({"account": pdf["account"].iloc[0], "driver_a": [names[k] for k in i], "driver_b": [names[k] for k in j], "collinearity": m[i, j]})
+        return pd.DataFrame({"account": pdf["account"].iloc[0], "driver_a": [names[k] for k in i], "driver_b": [names[k] for k in j], "collinearity": m[i, j], "method": pdf["method"].iloc[0]})
 
-    return rows.groupBy("account").applyInPandas(run, "account string, driver_a string, driver_b string, collinearity double")
+    out = rows.groupBy("account", "method").applyInPandas(run, "account string, driver_a string, driver_b string, collinearity double, method string")
+    return out.drop("method") if isinstance(methods, str) else out
 
 
 def combined(aligned: DataFrame, ranked: DataFrame, methods: list[str] | None = None, candidates: int | None = None) -> DataFrame:
     """Weighted mean over the methods; a method without a value for a pair drops out of that pair's weights."""
     methods = methods or list(WEIGHTS)
-    pairs = candidate_pairs(aligned, ranked, candidates)
     simple = {"correlation": correlation, "pairwise_r2": pairwise_r2, "mutual_information": mutual_information}
-    parts = [(simple[m](pairs) if m in simple else matrices(aligned, ranked, m, candidates)).withColumn("w", F.lit(WEIGHTS[m])) for m in methods]
+    # the pairs are looked at by each of these
+    pairs = materialize(candidate_pairs(aligned, ranked, candidates), "candidates") if sum(m in simple for m in methods) > 1 else candidate_pairs(aligned, ranked, candidates)
+    parts = [simple[m](pairs).withColumn("w", F.lit(WEIGHTS[m])) for m in methods if m in simple]
+    joint = [m for m in methods if m not in simple]
+    if joint:
+        weight = F.create_map(*[F.lit(x) for m in joint for x in (m, WEIGHTS[m])])
+        parts.append(matrices(aligned, ranked, joint, candidates).withColumn("w", weight[F.col("method")]).drop("method"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

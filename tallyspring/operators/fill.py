@@ -69,6 +69,8 @@ def filler_numbers(values: DataFrame, known: tuple[float, ...] = NUMBERS) -> Dat
     far = (F.col("v") < F.col("q")[0] - 3 * width) | (F.col("v") > F.col("q")[2] + 3 * width)
     listed = F.col("v").isin(*known) if known else F.lit(False)
     number = each.join(q, ["series", "salt"]).groupBy("v").agg(F.count(F.lit(1)).alias("series_n"), F.count(F.when(far, 1)).alias("far_n"), F.max(listed).alias("known")).where("far_n > 0")
+    # a small part of the values, written once as it is looked at twice
+    number = materialize(number, "far")
     # Where many series have far values of like size and as many decimals, some coincide: what stands in more series than that is a filler.
     decimals = reduce(lambda a, d: a.when(F.round("v", d) == F.col("v"), d), range(1, 6), F.when(F.round("v", 0) == F.col("v"), 0)).otherwise(6)
     number = number.withColumns({"side": F.signum("v"), "size": F.floor(F.log2(F.abs("v"))), "decimals": decimals})

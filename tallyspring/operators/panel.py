@@ -13,6 +13,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspring.session import materialize
+
 #: Rows of accounts (a stated query set) that may be broadcast to all drivers.
 QUERY_ROWS = 200_000
 #: Parts into which each month is salted where accounts are too many for that.
@@ -205,9 +207,10 @@ def pair(accounts: DataFrame, drivers: DataFrame) -> DataFrame:
     are broadcast, so drivers stay where they are; more are joined by month and salt. Drivers come
     partitioned by name, which later groupings by account and driver use.
     """
-    y = accounts.select("account", F.col("month").alias("_m"), F.col("value").alias("y"))
+    # written once, as counting them would make them twice
+    y = materialize(accounts.select("account", F.col("month").alias("_m"), F.col("value").alias("y")), "accounts")
     x = drivers.withColumnRenamed("value", "x").repartition("driver")
-    few = y.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+    few = y.count() <= QUERY_ROWS
     if few:
         return x.join(F.broadcast(y), F.col("month") == F.col("_m")).drop("_m")
     y = y.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -8,6 +8,7 @@ judge a class's drivers together run per (account, classification) on the class'
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from tallyspring.functions import expressions as E
 from tallyspring.functions import models
 from tallyspring.operators import panel as P
 from tallyspring.operators import stats
+from tallyspring.session import materialize
 
 KEYS = ["account", "classification", "driver"]
 #: Two average ranks nearer than this are tied.
@@ -135,12 +137,12 @@ def ranks(scored: DataFrame, keys: list[str] | None = None, decimals: int = 9) -
     return mean.withColumn("final_rank", F.row_number().over(order))
 
 
-def align(accounts: DataFrame, drivers: DataFrame, lags: DataFrame | None = None) -> DataFrame:
-    """Pairs of accounts and drivers in the months that all lagged drivers of a class share."""
+def align(accounts: DataFrame, drivers: DataFrame, lags: DataFrame | None = None, first: date | None = None) -> DataFrame:
+    """Pairs of accounts and drivers in the months that all lagged drivers of a class share. ``first`` is the drivers' first month, where it is known."""
     if lags is None:
         return P.pair(accounts, drivers)
     most = lags.groupBy("account", "classification").agg(F.max("lag").alias("_most"))
-    first = drivers.agg(F.min("month")).first()[0]
+    first = first or drivers.agg(F.min("month")).first()[0]
     by_lag = lags.select("account", F.col("classification").alias("_c"), F.col("driver").alias("_d"), "lag").join(
         most.select(F.col("account").alias("_a"), F.col("classification").alias("_mc"), "_most"), (F.col("account") == F.col("_a")) & (F.col("_c") == F.col("_mc"))
     )
@@ -152,6 +154,8 @@ def align(accounts: DataFrame, drivers: DataFrame, lags: DataFrame | None = None
 
 def lag_scores(accounts: DataFrame, drivers: DataFrame, most: int = 12, methods: list[str] | None = None) -> DataFrame:
     """account, classification, driver, lag, metric, value; every lag on the same months."""
+    # both are read several times here
+    accounts, drivers = materialize(accounts, "accounts"), materialize(drivers, "drivers")
     months = accounts.agg(F.countDistinct("month")).first()[0]
     if most < 0 or (months and months <= most + 1):
         raise P.PanelError(f"{months} months don't allow lags of up to {most}")
@@ -194,17 +198,36 @@ def report(scored: DataFrame, ranked: DataFrame, keys: list[str] | None = None)
     return scored.groupBy(*keys).pivot("metric").agg(F.first("value")).join(ranked, keys)
 
 
+def _components(wide: pd.DataFrame) -> np.ndarray:
+    """Components by months, the strongest first: principal series of months-by-drivers, each with the sign that starts positive."""
+    _, s, v = np.linalg.svd(models.standardize(wide.to_numpy(float)).T, full_matrices=False)
+    return v * np.sign(v[:, [0]] + 1e-300) * s[:, None]
+
+
+def _as_drivers(kind: str | None, made: np.ndarray, months: np.ndarray) -> pd.DataFrame:
+    names = np.repeat([f"component_{i + 1}" for i in range(len(made))], len(months))
+    return pd.DataFrame({"classification": kind, "driver": names, "month": np.tile(months, len(made)), "value": made.ravel()})
+
+
 def principal_drivers(drivers: DataFrame, count: int = 3) -> DataFrame:
     """Synthetic drivers: a class's strongest principal months, as series per component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="month", columns="driver", values="value").dropna(axis=1).sort_index()
-        _, s, v = np.linalg.svd(models.standardize(wide.to_numpy(float)).T, full_matrices=False)
-        v = v * np.sign(v[:, [0]] + 1e-300)
-        k = min(count, len(s))
-        return pd.DataFrame({
-            "classification": pdf["classification"].iloc[0], "driver": np.repeat([f"component_{i + 1}" for i in range(k)], len(wide)),
-            "month": np.tile(wide.index.to_numpy(), k), "value": (v[:k] * s[:k, None]).ravel(),
-        })
+        return _as_drivers(pdf["classification"].iloc[0], _components(wide)[:count], wide.index.to_numpy())
 
     return drivers.groupBy("classification").applyInPandas(run, "classification string, driver string, month date, value double")
+
+
+def principal_drivers_of_accounts(pairs: DataFrame, count: int = 3) -> DataFrame:
+    """Synthetic drivers per account: those of a class's components that correlate most with the account."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="month", columns="driver", values="x").dropna(axis=1).sort_index()
+        y = pdf.drop_duplicates("month").set_index("month")["y"].reindex(wide.index).to_numpy(float)
+        made = _components(wide)
+        made = made[np.linalg.norm(made, axis=1) > 1e-9 * max(np.linalg.norm(made), 1e-300)]
+        r = np.abs(models.standardize(made.T).T @ models.standardize(y[:, None]))[:, 0]
+        return _as_drivers(pdf["classification"].iloc[0], made[np.argsort(-r, kind="stable")[:count]], wide.index.to_numpy()).assign(account=pdf["account"].iloc[0])
+
+    return pairs.groupBy("account", "classification").applyInPandas(run, "account string, classification string, driver string, month date, value double")

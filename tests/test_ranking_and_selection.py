@@ -1,3 +1,4 @@
+import datetime
 from datetime import date
 
 import numpy as np
@@ -109,25 +110,73 @@ def test_joint_methods_find_the_driver(matrix, method):
 
 def test_joint_methods_run_as_often_as_stated(monkeypatch):
     made = []
+    x, y = np.random.default_rng(9).normal(size=(40, 2)), np.arange(40.0)
 
     class Fake:  # driver 0 beats the shadows in 70 % of the rounds, driver 1 in half of them
         def __init__(self, trees, *_, seed=0, **__):
             made.append(trees)
             self.seed = seed
 
-        def fit(self, x, y):
-            self.gain = np.full(x.shape[1], 2.0)
-            self.gain[:2] = 3.0 * (self.seed % 10 < 7), 3.0 * (self.seed % 2)
+        def fit(self, z, y):
+            wins = (3.0 * (self.seed % 10 < 7), 3.0 * (self.seed % 2))
+            self.gain = np.array([next((w for w, c in zip(wins, x.T) if np.array_equal(c, column)), 2.0) for column in z.T])
             return self
 
     monkeypatch.setattr(models, "Forest", Fake)
-    x, y = np.random.default_rng(9).normal(size=(40, 2)), np.arange(40.0)
-    assert ranking.JOINT["boruta"](x, y)[0] >= 700 and made == [100] * 100
+    score = ranking.JOINT["boruta"](x, y)
+    # the first is confirmed and takes no further part, the second is rejected after four fifths of the rounds
+    assert score[0] >= 700 and 500 <= score[1] <= 501 and made == [100] * 80
     made.clear()
     ranking.JOINT["rfe_random_forest"](x, y)
     assert made == [100] * 50
 
 
+def test_components_that_go_with_an_account(spark):
+    rng = np.random.default_rng(12)
+    u, v = rng.normal(0, 9, 40), rng.normal(0, 1, 40)
+    series = {"a": u, "b": u + 0.1 * rng.normal(size=40), "c": u + v, "d": u - v}
+    months = [datetime.date(2019 + i // 12, i % 12 + 1, 1) for i in range(40)]
+    rows = [("acc", "k", n, m, float(x), float(t)) for n, xs in series.items() for m, x, t in zip(months, xs, v)]
+    pairs = spark.createDataFrame(rows, "account string, classification string, driver string, month date, x double, y double")
+    strongest = ranking.principal_drivers(pairs.selectExpr("classification", "driver", "month", "x AS value"), 1)
+    mine = ranking.principal_drivers_of_accounts(pairs, 1)
+    r = lambda df, z: abs(np.corrcoef([x.value for x in df.orderBy("month").collect()], z)[0, 1])
+    assert r(strongest, u) > 0.99 and r(mine, v) > 0.9 and mine.count() == 40
+
+
+def test_selection_of_many_drivers_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(6, 48))
+    months = [datetime.date(2019 + i // 12, i % 12 + 1, 1) for i in range(48)]
+    rows, ranks, series = [], [], {}
+    for k in "pq":
+        for i in range(60):
+            series[f"{k}/d{i:02}"] = base[i % 6] + (0.05 + 0.02 * i) * rng.normal(size=48)
+            rows += [("acc", k, f"d{i:02}", m, float(x), 0.0) for m, x in zip(months, series[f"{k}/d{i:02}"])]
+            ranks.append(("acc", k, f"d{i:02}", float(i + 1), i + 1))
+    aligned = spark.createDataFrame(rows, "account string, classification string, driver string, month date, x double, y double")
+    ranked = spark.createDataFrame(ranks, "account string, classification string, driver string, avg_rank double, final_rank int")
+    got = collinearity.combined(aligned, ranked, ["pairwise_r2"])
+    table = {(r.driver_a, r.driver_b): r.collinearity for r in got.collect()}
+    assert len(table) == 120 * 119 // 2
+    r2 = lambda a, b: np.corrcoef(series[a], series[b])[0, 1] ** 2
+    assert all(table[p] == pytest.approx(r2(*p), abs=1e-9) for p in list(table)[::97])
+    expected: list[str] = []
+    for k in "pq":
+        mine, limit = [], collinearity.REMOVE
+        for _ in range(11):
+            for i in range(60):
+                n = f"{k}/d{i:02}"
+                if len(mine) < 8 and n not in mine and (not expected or np.mean([r2(n, c) for c in expected]) < limit / np.sqrt(len(expected))):
+                    mine.append(n)
+                    expected.append(n)
+            limit *= 1.1
+            if len(mine) == 8:
+                break
+    chosen = collinearity.select(ranked, got, 8).where("status = 'selected'")
+    assert {f"{r.classification}/{r.driver}" for r in chosen.collect()} == set(expected) and len(expected) == 16
+
+
 def test_regressions(matrix):
     x, y = matrix
     a = np.column_stack([np.ones(60), x])
