@@ -111,17 +111,18 @@ def ema_array(values: Column, a: float) -> Column:
 
 def pearson_of_arrays(x: Column, y: Column) -> Column:
     """Population correlation of two arrays of equal length; null if either is constant."""
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "xx", "yy", "xy")])
-    n = F.size(x).cast("double")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(a).cast("double"), F.lit(0.0))
-    # sums of deviations from the first pass's means, so that large values lose nothing
-    centred = lambda a: F.transform(a, lambda v: v - mean(a))
-    both = F.arrays_zip(centred(x).alias("x"), centred(y).alias("y"))
-    grow = lambda s, e: F.struct(
-        (s["x"] + e["x"]).alias("x"), (s["y"] + e["y"]).alias("y"), (s["xx"] + e["x"] * e["x"]).alias("xx"), (s["yy"] + e["y"] * e["y"]).alias("yy"), (s["xy"] + e["x"] * e["y"]).alias("xy")
-    )
-    end = lambda s: div(s["xy"] - s["x"] * s["y"] / n, F.sqrt((s["xx"] - s["x"] * s["x"] / n) * (s["yy"] - s["y"] * s["y"] / n)))
-    return F.aggregate(both, zero, grow, end)
+    sums = ("n", "x", "y", "xx", "yy", "xy")
+    zero = F.struct(F.lit(None).cast("double").alias("x0"), F.lit(None).cast("double").alias("y0"), *[F.lit(0.0).alias(k) for k in sums])
+
+    def grow(s: Column, e: Column) -> Column:
+        # deviations from the first values, so that large ones lose nothing
+        x0, y0 = F.coalesce(s["x0"], e["x"]), F.coalesce(s["y0"], e["y"])
+        u, v = e["x"] - x0, e["y"] - y0
+        more = {"n": F.lit(1.0), "x": u, "y": v, "xx": u * u, "yy": v * v, "xy": u * v}
+        return F.struct(x0.alias("x0"), y0.alias("y0"), *[(s[k] + more[k]).alias(k) for k in sums])
+
+    end = lambda s: div(s["xy"] - s["x"] * s["y"] / s["n"], F.sqrt((s["xx"] - s["x"] * s["x"] / s["n"]) * (s["yy"] - s["y"] * s["y"] / s["n"])))
+    return F.when(F.size(x) > 0, F.aggregate(F.arrays_zip(x.alias("x"), y.alias("y")), zero, grow, end))
 
 
 # ---- shapes
