@@ -35,6 +35,16 @@ def _query(sql: str | None = None):
     return keep
 
 
+def digits(c, n: int = 9):
+    """A number to ``n`` significant digits, so that the order of adding up doesn't show."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - (n - 1))
+    return F.when(c == 0, 0.0).otherwise(F.round(c / unit) * unit)
+
+
+def _digits(c: str, n: int = 9) -> str:
+    return f"CASE WHEN ({c}) = 0 THEN 0 ELSE round(({c}) / pow(10.0, floor(log10(abs({c}))) - {n - 1})) * pow(10.0, floor(log10(abs({c}))) - {n - 1}) END"
+
+
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.count(F.lit(1)).cast("double").alias("order_count"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
     line = table(spark, folder, "lineitem").groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("month")).agg(
@@ -108,20 +118,18 @@ def panel_drivers(spark, folder):
 
 @_query(
     """SELECT account_key AS account, strftime(date_trunc('month', try_cast(substr(CAST(period_key AS VARCHAR), 1, 10) AS DATE)), '%Y-%m-%d') AS month, round(sum(value), 4) AS value
-FROM accounts WHERE bu_key = 'Coatings' AND plant_key = 'Korsund' AND value IS NOT NULL AND NOT isnan(value) AND abs(value) < 1e9 GROUP BY ALL"""
+FROM accounts WHERE bu_key = 'Coatings' AND plant_key = 'Korsund' GROUP BY ALL"""
 )
 def load_accounts(spark, folder):
-    rows = table(spark, folder, "accounts").where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < 1e9")
-    return panel.load_accounts(rows, None, "Coatings", "Korsund").withColumns({"value": F.round("value", 4), "month": F.date_format("month", "yyyy-MM-dd")})
+    return panel.load_accounts(table(spark, folder, "accounts"), None, "Coatings", "Korsund").withColumns({"value": F.round("value", 4), "month": F.date_format("month", "yyyy-MM-dd")})
 
 
 @_query(
     """SELECT driver_classification AS classification, driver_unique_name AS driver, CAST(date_trunc('month', try_cast(substr(date, 1, 10) AS DATE)) AS DATE) AS month,
-  round(driver_value * coalesce(denorm, 1), 6) AS value FROM drivers WHERE driver_value IS NOT NULL AND NOT isnan(driver_value) AND abs(driver_value) < 1e9"""
+  round(driver_value * coalesce(denorm, 1), 6) AS value FROM drivers"""
 )
 def load_drivers(spark, folder):
-    rows = table(spark, folder, "drivers").where("driver_value IS NOT NULL AND NOT isnan(driver_value) AND abs(driver_value) < 1e9")
-    return panel.load_drivers(rows).withColumn("value", F.round("value", 6))
+    return panel.load_drivers(table(spark, folder, "drivers")).withColumn("value", F.round("value", 6))
 
 
 @_query(
@@ -188,10 +196,10 @@ def split_history(spark, folder):
 @_query(
     _PANEL
     + """SELECT account, month, value, array_to_string([CAST(CAST(round(v) AS BIGINT) AS VARCHAR) FOR v IN w], ',') AS window_text
-FROM (SELECT *, list(value) OVER (PARTITION BY account ORDER BY month ROWS 2 PRECEDING) AS w FROM acc WHERE account = 'order_count') WHERE len(w) = 3"""
+FROM (SELECT *, list(value) OVER (PARTITION BY account ORDER BY month ROWS 2 PRECEDING) AS w FROM acc) WHERE len(w) = 3"""
 )
 def sliding_windows(spark, folder):
-    w = panel.sliding_windows(accounts(spark, folder).where("account = 'order_count'"), ["account"], 3)
+    w = panel.sliding_windows(accounts(spark, folder), ["account"], 3)
     return w.select("account", "month", "value", F.array_join(F.transform("window_values", lambda v: F.round(v).cast("long").cast("string")), ",").alias("window_text"))
 
 
@@ -276,15 +284,15 @@ def mutual_information(spark, folder):
 @_query(
     _PANEL
     + """, f AS (SELECT a.account, a.month, b.value AS m, a.value AS t FROM acc a JOIN acc b ON a.account = b.account AND b.month = CAST(a.month - INTERVAL 12 MONTH AS DATE))
-SELECT account, round(sum(abs(t - m)), 3) AS l1, round(sqrt(sum(pow(t - m, 2))), 3) AS l2, round(avg(pow(t - m, 2)), -3) AS mse, round(sqrt(avg(pow(t - m, 2))), 2) AS rmse, round(avg(pow((t - m) / t, 2)) * 100, 6) AS mse_pct,
-  round(sqrt(avg(pow((t - m) / t, 2))) * 100, 6) AS rmse_pct, round(avg(abs((t - m) / t)), 8) AS mape, round(1 - sum(pow(t - m, 2)) / (var_pop(t) * count(*)), 6) AS r2 FROM f GROUP BY account"""
+SELECT account, round(sum(abs(t - m)), 3) AS l1, round(sqrt(sum(pow(t - m, 2))), 3) AS l2, {MSE} AS mse, round(sqrt(avg(pow(t - m, 2))), 2) AS rmse, round(avg(pow((t - m) / t, 2)) * 100, 6) AS mse_pct,
+  round(sqrt(avg(pow((t - m) / t, 2))) * 100, 6) AS rmse_pct, round(avg(abs((t - m) / t)), 8) AS mape, round(1 - sum(pow(t - m, 2)) / (var_pop(t) * count(*)), 6) AS r2 FROM f GROUP BY account""".replace("{MSE}", _digits("avg(pow(t - m, 2))"))
 )
 def error_metrics(spark, folder):
     a = accounts(spark, folder)
     f = panel.shift(a, F.lit(12)).select("account", "month", F.col("value").alias("m")).join(a.withColumnRenamed("value", "t"), ["account", "month"])
     m, t = F.col("m"), F.col("t")
     return f.groupBy("account").agg(
-        F.round(E.l1(t - m), 3).alias("l1"), F.round(E.l2(t - m), 3).alias("l2"), F.round(E.mse(m, t), -3).alias("mse"), F.round(E.rmse(m, t), 2).alias("rmse"),
+        F.round(E.l1(t - m), 3).alias("l1"), F.round(E.l2(t - m), 3).alias("l2"), digits(E.mse(m, t)).alias("mse"), F.round(E.rmse(m, t), 2).alias("rmse"),
         F.round(E.mse_pct(m, t), 6).alias("mse_pct"), F.round(E.rmse_pct(m, t), 6).alias("rmse_pct"), F.round(E.mape(m, t), 8).alias("mape"), F.round(E.r_squared(m, t), 6).alias("r2"),
     )
 
@@ -307,9 +315,9 @@ def lag_ramps(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@_query(_PANEL + "SELECT initcap AS title, driver FROM (SELECT DISTINCT driver, upper(left(driver, 1)) || lower(substr(driver, 2)) AS initcap FROM drv WHERE classification = 'Internal')")
+@_query(_PANEL + "SELECT array_to_string([upper(left(w, 1)) || lower(substr(w, 2)) FOR w IN string_split(replace(driver, '_', ' '), ' ')], ' ') AS title, driver FROM (SELECT DISTINCT driver FROM drv)")
 def titles(spark, folder):
-    return drivers(spark, folder).where("classification = 'Internal'").select(E.snake_title(F.col("driver")).alias("title"), "driver").distinct()
+    return drivers(spark, folder).select(E.snake_title(F.col("driver")).alias("title"), "driver").distinct()
 
 
 @_query(
@@ -329,14 +337,14 @@ def normalised(spark, folder):
 
 @_query(
     _PANEL.replace("WITH acc", "WITH RECURSIVE acc")
-    + """, o AS (SELECT account, month, value, row_number() OVER (PARTITION BY account ORDER BY month) AS t FROM acc WHERE account <> 'order_count'),
+    + """, o AS (SELECT account, month, value, row_number() OVER (PARTITION BY account ORDER BY month) AS t FROM acc),
 e AS (SELECT account, t, value AS v FROM o WHERE t = 1 UNION ALL SELECT o.account, o.t, 0.5 * o.value + 0.5 * e.v FROM e JOIN o ON o.account = e.account AND o.t = e.t + 1),
 w AS (SELECT account, month, t, value, lag(value, 1) OVER q AS l1, lag(value, 2) OVER q AS l2, avg(value) OVER (PARTITION BY account ORDER BY month ROWS 2 PRECEDING) AS s FROM o WINDOW q AS (PARTITION BY account ORDER BY month))
 SELECT account, month, round(s, 3) AS sma, round((3 * value + coalesce(2 * l1, 0) + coalesce(l2, 0)) / (3 + CASE WHEN l1 IS NULL THEN 0 ELSE 2 END + CASE WHEN l2 IS NULL THEN 0 ELSE 1 END), 3) AS wma, round(v, 3) AS ema
 FROM w JOIN e USING (account, t)"""
 )
 def moving_averages(spark, folder):
-    a = accounts(spark, folder).where("account <> 'order_count'")
+    a = accounts(spark, folder)
     w = Window.partitionBy("account").orderBy("month")
     s = a.select("account", "month", F.round(E.moving_average(F.col("value"), w, 3), 3).alias("sma"), F.round(E.weighted_average(F.col("value"), w, [1, 2, 3]), 3).alias("wma"))
     return s.join(stats.ema(a, ["account"]).withColumn("ema", F.round("ema", 3)), ["account", "month"])
@@ -386,21 +394,22 @@ def deseasonalised_std(spark, folder):
     return stats.deseasonalised_std(drivers(spark, folder), DRIVER).withColumn("deseasonalised_std", F.round("deseasonalised_std", 6))
 
 
-@_query(_PANEL + "SELECT a.account AS first, b.account AS second, round(covar_samp(a.value, b.value), 0) AS covariance FROM tacc a JOIN tacc b ON a.month = b.month AND a.account <= b.account WHERE a.account IN ('order_count', 'discount') AND b.account IN ('order_count', 'discount') GROUP BY ALL")
+@_query(_PANEL + f"SELECT first, second, {_digits('c')} AS covariance FROM (SELECT a.account AS first, b.account AS second, covar_samp(a.value, b.value) AS c FROM tacc a JOIN tacc b ON a.month = b.month AND a.account <= b.account GROUP BY ALL)")
 def covariances(spark, folder):
-    return stats.covariances(training(accounts(spark, folder)).where("account IN ('order_count', 'discount')"), "account").withColumn("covariance", F.round("covariance", 0))
+    return stats.covariances(training(accounts(spark, folder)), "account").withColumn("covariance", digits(F.col("covariance")))
 
 
 @_query(
     _PANEL
-    + """SELECT account, month, value, CAST(t AS INT) AS t, lag_1, lag_2, round(mean_3, 3) AS mean_3, round(std_3, 3) AS std_3, round(month_sin, 8) + 0.0 AS month_sin, round(month_cos, 8) + 0.0 AS month_cos FROM (
-  SELECT account, month, value, row_number() OVER w - 1 AS t, lag(value, 1) OVER w AS lag_1, lag(value, 2) OVER w AS lag_2, avg(value) OVER (PARTITION BY account ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean_3,
-    stddev_pop(value) OVER (PARTITION BY account ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS std_3, sin(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_sin, cos(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_cos
-  FROM acc WINDOW w AS (PARTITION BY account ORDER BY month)) WHERE t >= 2"""
+    + "SELECT account, month, value, CAST(t AS INT) AS t, round(month_sin, 8) + 0.0 AS month_sin, round(month_cos, 8) + 0.0 AS month_cos, "
+    + ", ".join([*(f"lag_{i}" for i in range(1, 13)), *(f"round({f}_{k}, 3) AS {f}_{k}" for k in (3, 6, 12) for f in ("mean", "std"))])
+    + " FROM (SELECT account, month, value, row_number() OVER w - 1 AS t, sin(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_sin, cos(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_cos, "
+    + ", ".join([*(f"lag(value, {i}) OVER w AS lag_{i}" for i in range(1, 13)), *(f"{g}(value) OVER (PARTITION BY account ORDER BY month ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS {f}_{k}" for k in (3, 6, 12) for f, g in (("mean", "avg"), ("std", "stddev_pop")))])
+    + " FROM acc WINDOW w AS (PARTITION BY account ORDER BY month)) WHERE t >= 12"
 )
 def lag_features(spark, folder):
-    f = stats.lag_features(accounts(spark, folder), ["account"], 2, (3,))
-    return f.withColumns({c: F.round(c, 3) for c in ("mean_3", "std_3")} | {c: F.round(c, 8) + F.lit(0.0) for c in ("month_sin", "month_cos")})
+    f = stats.lag_features(accounts(spark, folder), ["account"])
+    return f.withColumns({c: F.round(c, 3) for c in f.columns if c.startswith(("mean_", "std_"))} | {c: F.round(c, 8) + F.lit(0.0) for c in ("month_sin", "month_cos")})
 
 
 # ---- ranking
@@ -459,7 +468,7 @@ _LAGGED = (
     _PANEL
     + f""", pl AS (
   SELECT account, classification, driver, CAST(lag AS INT) AS lag, CAST(d.month + to_months(CAST(lag AS INT)) AS DATE) AS month, d.value AS x, a.value AS y
-  FROM tdrv d, unnest(generate_series(0, 6)) AS u(lag), tacc a WHERE a.month = CAST(d.month + to_months(CAST(lag AS INT)) AS DATE) AND a.month >= DATE '1995-07-01'),
+  FROM tdrv d, unnest(generate_series(0, 12)) AS u(lag), tacc a WHERE a.month = CAST(d.month + to_months(CAST(lag AS INT)) AS DATE) AND a.month >= DATE '1996-01-01'),
 so AS (SELECT account, classification, driver, lag, row_number() OVER (PARTITION BY account, classification, driver, lag ORDER BY x, month) AS rx, row_number() OVER (PARTITION BY account, classification, driver, lag ORDER BY y, month) AS ry,
   row_number() OVER (PARTITION BY account, classification, driver, lag ORDER BY month) AS t FROM pl),
 sl AS (
@@ -470,7 +479,7 @@ sl AS (
 
 
 def _lag_scores(spark, folder):
-    return ranking.lag_scores(training(accounts(spark, folder)), training(drivers(spark, folder)), 6, ["spearman", "slr"])
+    return ranking.lag_scores(training(accounts(spark, folder)), training(drivers(spark, folder)), 12, ["spearman", "slr"])
 
 
 @_query(_LAGGED + "SELECT account, classification, driver, lag, metric, CASE WHEN metric = 'slr' THEN round(value, 2) ELSE round(value, 5) END AS value FROM sl")
@@ -483,10 +492,39 @@ def lag_scores(spark, folder):
     + """, rl AS (SELECT *, rank() OVER (PARTITION BY account, classification, driver, metric ORDER BY round(value, 5) DESC NULLS LAST) AS r FROM sl),
 al AS (SELECT account, classification, driver, lag, avg(r) AS a FROM rl GROUP BY ALL),
 ol AS (SELECT *, row_number() OVER (PARTITION BY account, classification, driver ORDER BY round(a / 1e-5), lag) AS r FROM al)
-SELECT account, classification, driver, max(lag) AS lag FROM ol WHERE r <= 2 GROUP BY ALL"""
+SELECT account, classification, driver, max(lag) AS lag FROM ol WHERE r <= 4 GROUP BY ALL"""
 )
 def best_lags(spark, folder):
-    return ranking.best_lags(_lag_scores(spark, folder), 2, decimals=5)
+    return ranking.best_lags(_lag_scores(spark, folder), decimals=5)
+
+
+@_query()
+def lag_scores_of_all_methods(spark, folder):
+    return ranking.lag_scores(training(accounts(spark, folder)), training(drivers(spark, folder))).withColumn("value", F.round("value", 6))
+
+
+_MOST = """, lags AS (SELECT account, classification, driver, CAST((row_number() OVER (PARTITION BY account ORDER BY classification, driver) * 3) % 7 AS INT) AS lag FROM (SELECT DISTINCT account, classification, driver FROM pairs)),
+most AS (SELECT account, classification, max(lag) AS m FROM lags GROUP BY ALL)"""
+
+
+def _some_lags(spark, folder):
+    each = pairs(spark, folder).select("account", *DRIVER).distinct()
+    return each.withColumn("lag", (F.row_number().over(Window.partitionBy("account").orderBy(*DRIVER)) * 3 % 7).cast("int"))
+
+
+@_query(
+    _PANEL
+    + _MOST
+    + """SELECT account, classification, driver, lag, CAST(d.month + to_months(lag) AS DATE) AS month, d.value AS x, a.value AS y FROM tdrv d JOIN lags USING (classification, driver) JOIN most USING (account, classification)
+JOIN tacc a USING (account) WHERE a.month = CAST(d.month + to_months(lag) AS DATE) AND a.month >= CAST(DATE '1995-01-01' + to_months(m) AS DATE)"""
+)
+def aligned_lags(spark, folder):
+    return ranking.align(training(accounts(spark, folder)), training(drivers(spark, folder)), _some_lags(spark, folder))
+
+
+@_query(_PANEL + _MOST + "SELECT account, classification, driver, lag FROM lags")
+def lag_report(spark, folder):
+    return T.lag_report(_some_lags(spark, folder))
 
 
 @_query(_PANEL + "SELECT DISTINCT account, classification, driver, 0 AS lag FROM pairs")
@@ -494,6 +532,11 @@ def zero_lags(spark, folder):
     return ranking.zero_lags(training(accounts(spark, folder)), training(drivers(spark, folder)))
 
 
+@_query()
+def principal_drivers_of_accounts(spark, folder):
+    return ranking.principal_drivers_of_accounts(pairs(spark, folder), 2).withColumn("value", F.round("value", 6))
+
+
 @_query()
 def principal_drivers(spark, folder):
     return ranking.principal_drivers(training(drivers(spark, folder)), 2).withColumn("value", F.round("value", 6))
@@ -544,6 +587,61 @@ def collinearity_mutual_information(spark, folder):
     return collinearity.mutual_information(collinearity.candidate_pairs(*_candidates(spark, folder))).withColumn("collinearity", F.round("collinearity", 8))
 
 
+_WEIGHTED = (
+    _SCORES
+    + _CAND
+    + f""", r2 AS (SELECT account, driver_a, driver_b, pow({_PEARSON}, 2) AS c, abs({_PEARSON}) AS p FROM dp GROUP BY ALL),
+so AS (SELECT account, driver_a, driver_b, row_number() OVER (PARTITION BY account, driver_a, driver_b ORDER BY x, month) AS rx, row_number() OVER (PARTITION BY account, driver_a, driver_b ORDER BY y, month) AS ry, row_number() OVER (PARTITION BY account, driver_a, driver_b ORDER BY month) AS t FROM dp),
+sp AS (SELECT a.account, a.driver_a, a.driver_b, 1 - 6 * sum(pow(a.t - b.t, 2)) / (count(*) * (pow(count(*), 2) - 1)) AS s FROM so a JOIN so b ON a.account = b.account AND a.driver_a = b.driver_a AND a.driver_b = b.driver_b AND a.rx = b.ry GROUP BY ALL),
+ke AS (SELECT a.account, a.driver_a, a.driver_b, sum(sign(a.x - b.x) * sign(a.y - b.y)) / nullif(sqrt(CAST(sum(abs(sign(a.x - b.x))) AS DOUBLE) * sum(abs(sign(a.y - b.y)))), 0) AS k
+  FROM dp a JOIN dp b ON a.account = b.account AND a.driver_a = b.driver_a AND a.driver_b = b.driver_b AND a.month > b.month GROUP BY ALL),
+we AS (SELECT account, driver_a, driver_b, (c + (p + abs(s) + abs(k)) / 3) / 2 AS c FROM r2 JOIN sp USING (account, driver_a, driver_b) JOIN ke USING (account, driver_a, driver_b))"""
+)
+
+
+@_query(_WEIGHTED + "SELECT account, driver_a, driver_b, round(c, 8) AS collinearity FROM we")
+def collinearity_report(spark, folder):
+    """Two methods, weighted; the upper triangle."""
+    p, ranked = _candidates(spark, folder)
+    return T.collinearity_report(collinearity.combined(p, ranked, ["correlation", "pairwise_r2"])).withColumn("collinearity", F.round("collinearity", 8))
+
+
+def _greedy_sql(quota: int, threshold: float, accept: str, within_class: bool) -> str:
+    """The greedy choice: a step looks at the next ranked driver of a class, a round raises the threshold by a tenth, and a class comes after the one before."""
+    used = "list_filter(g.taken, lambda n: starts_with(n, o.classification || '/'))" if within_class else "g.taken"
+    return f""", o AS (SELECT account, classification, classification || '/' || driver AS name, final_rank AS pos, count(*) OVER (PARTITION BY account, classification) AS n, dense_rank() OVER (PARTITION BY account ORDER BY classification) AS cls FROM fin),
+ms AS (SELECT account, map_from_entries(list((driver_a || '|' || driver_b, c))) AS m FROM we GROUP BY account),
+g AS (
+  SELECT account, CAST(1 AS BIGINT) AS cls, CAST(1 AS BIGINT) AS pos, 0 AS rnd, CAST([] AS VARCHAR[]) AS taken, 0 AS mine FROM (SELECT DISTINCT account FROM o)
+  UNION ALL
+  SELECT account, CASE WHEN over_ THEN cls + 1 ELSE cls END, CASE WHEN over_ OR last_ THEN 1 ELSE pos + 1 END, CASE WHEN over_ THEN 0 WHEN last_ THEN rnd + 1 ELSE rnd END, now, CASE WHEN over_ THEN 0 ELSE many END
+  FROM (
+    SELECT *, pos = n AS last_, pos = n AND (many >= least({quota}, n) OR rnd = 10) AS over_
+    FROM (SELECT *, CASE WHEN ok THEN list_append(taken, name) ELSE taken END AS now, CASE WHEN ok THEN mine + 1 ELSE mine END AS many
+      FROM (SELECT g.*, o.name, o.n, g.mine < {quota} AND NOT list_contains(g.taken, o.name) AND (len({used}) = 0 OR
+          list_avg(list_transform({used}, lambda c: ms.m[least(c, o.name) || '|' || greatest(c, o.name)])) < {threshold} * pow(1.1, g.rnd) / {accept.format(f"len({used})")}) AS ok
+        FROM g JOIN o ON o.account = g.account AND o.cls = g.cls AND o.pos = g.pos JOIN ms ON ms.account = g.account)))),
+fi AS (SELECT account, arg_max(taken, len(taken)) AS taken FROM g GROUP BY account),
+st AS (SELECT o.*, list_contains(taken, name) AS got FROM o JOIN fi USING (account)),
+sel AS (SELECT account, classification, substr(name, len(classification) + 2) AS driver, CAST(pos AS INT) AS final_rank,
+  CASE WHEN got THEN 'selected' WHEN pos < coalesce(max(CASE WHEN got THEN pos END) OVER (PARTITION BY account, classification), 0) THEN 'skipped' ELSE 'not_considered' END AS status FROM st)"""
+
+
+@_query(_WEIGHTED + _greedy_sql(2, collinearity.REMOVE, "sqrt({0})", False) + "SELECT * FROM sel")
+def selection_report(spark, folder):
+    """Drivers that say nothing twice, by two methods of collinearity, of all classes together."""
+    p, ranked = _candidates(spark, folder)
+    chosen = collinearity.select(ranked, collinearity.combined(p, ranked, ["correlation", "pairwise_r2"]), 2)
+    return T.selection_report(ranked, chosen)
+
+
+@_query(_WEIGHTED + _greedy_sql(2, collinearity.REMOVE, "sqrt({0})", False) + _MOST.replace(", lags AS", ", lags AS", 1) + "SELECT account, classification, driver, lag, 'total' AS segment, 'total' AS region FROM sel JOIN lags USING (account, classification, driver) WHERE status = 'selected'")
+def selected_long(spark, folder):
+    p, ranked = _candidates(spark, folder)
+    chosen = collinearity.select(ranked, collinearity.combined(p, ranked, ["correlation", "pairwise_r2"]), 2)
+    return T.selected_long(chosen, _some_lags(spark, folder), "total", "total")
+
+
 @_query()
 def collinearity_combined(spark, folder):
     return collinearity.combined(*_candidates(spark, folder)).withColumn("collinearity", F.round("collinearity", 6))
@@ -555,7 +653,7 @@ def driver_selection(spark, folder):
     return collinearity.select(ranked, collinearity.combined(p, ranked), 2)
 
 
-@_query()
+@_query(_WEIGHTED + _greedy_sql(4, collinearity.PRUNE, "(ln({0}) + 1)", True) + "SELECT * FROM sel")
 def driver_pruning(spark, folder):
     p, ranked = _candidates(spark, folder)
     return collinearity.select(ranked, collinearity.combined(p, ranked, ["correlation", "pairwise_r2"]), 4, within_class=True)
@@ -587,6 +685,29 @@ def driver_forecast_report(spark, folder):
     return wide.withColumns({c: F.round(c, 5) for c in wide.columns if c.startswith("forecast_val_")})
 
 
+_DEMAND = (
+    _PANEL.replace("WITH acc", "WITH RECURSIVE acc")
+    + """, dm AS (SELECT classification, driver, row_number() OVER (PARTITION BY classification, driver ORDER BY month) AS t, greatest(value - avg(value) OVER (PARTITION BY classification, driver), 0) AS v FROM tdrv),
+fs AS (SELECT classification, driver, min(t) AS t0, count(*) AS seen FROM dm WHERE v > 0 GROUP BY ALL),
+cr AS (
+  SELECT classification, driver, t, v AS size, CAST(t AS DOUBLE) AS gap, 0 AS since, 1.0 / t AS chance FROM dm JOIN fs USING (classification, driver) WHERE t = t0 AND seen > 1
+  UNION ALL SELECT d.classification, d.driver, d.t, CASE WHEN d.v > 0 THEN size + 0.1 * (d.v - size) ELSE size END, CASE WHEN d.v > 0 THEN gap + 0.1 * (since + 1 - gap) ELSE gap END, CASE WHEN d.v > 0 THEN 0 ELSE since + 1 END,
+    chance + 0.1 * (CASE WHEN d.v > 0 THEN 1 ELSE 0 END - chance) FROM cr JOIN dm d ON d.classification = cr.classification AND d.driver = cr.driver AND d.t = cr.t + 1),
+la AS (SELECT classification, driver, arg_max(size, t) AS size, arg_max(gap, t) AS gap, arg_max(chance, t) AS chance FROM cr GROUP BY ALL)
+SELECT classification, driver, CAST(DATE '1999-12-01' + to_months(CAST(h AS INT)) AS DATE) AS month, method, round(CASE method WHEN 'croston' THEN size / gap ELSE size * chance END, 6) AS value
+FROM la, unnest(['croston', 'croston_tsb']) AS m(method), unnest(generate_series(1, 6)) AS u(h)"""
+)
+
+
+@_query(_DEMAND)
+def forecast_intermittent(spark, folder):
+    """What drivers have above their mean, which is nothing in many months."""
+    d = training(drivers(spark, folder))
+    d = d.withColumn("value", F.greatest(F.col("value") - F.avg("value").over(Window.partitionBy(*DRIVER)), F.lit(0.0)))
+    both = [forecasting.forecast_drivers(d, m, 6).withColumn("method", F.lit(m)) for m in ("croston", "croston_tsb")]
+    return both[0].unionByName(both[1]).withColumn("value", F.round("value", 6))
+
+
 def _by_method(spark, folder, horizon: int = 6) -> DataFrame:
     d = training(drivers(spark, folder))
     parts = [forecasting.forecast_drivers(d, m, horizon).withColumn("method", F.lit(m)) for m in forecasting.U.METHODS]
@@ -621,9 +742,9 @@ ml AS (UNPIVOT me ON mse_pct, rmse_pct, mape, std INTO NAME metric VALUE value)"
 )
 
 
-@_query(_VALID + "SELECT account, method, metric, round(value, 6) AS value FROM ml WHERE metric <> 'std'")
+@_query(_VALID + "SELECT account, method, metric, CASE WHEN metric = 'std' THEN round(value, 0) ELSE round(value, 6) END AS value FROM ml")
 def validation_metrics(spark, folder):
-    return forecasting.metrics(_simple_validation(spark, folder)).where("metric <> 'std'").withColumn("value", F.round("value", 6))
+    return forecasting.metrics(_simple_validation(spark, folder)).withColumn("value", F.when(F.col("metric") == "std", F.round("value", 0)).otherwise(F.round("value", 6)))
 
 
 @_query(_VALID + "SELECT account, method, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY value, method) AS r FROM ml WHERE metric = 'rmse_pct') WHERE r = 1")
@@ -636,6 +757,18 @@ def validation_long(spark, folder):
     return T.validation_long(_simple_validation(spark, folder)).withColumn("value", F.round("value", 4))
 
 
+@_query(
+    _VALID
+    + ", wide AS (SELECT account, method, "
+    + ", ".join(f"round(max(CASE WHEN i = {k + 1} THEN forecast END), 4) AS forecast_val_{k}" for k in range(12))
+    + " FROM va GROUP BY ALL) SELECT wide.*, round(mse_pct, 6) AS mse_pct, round(rmse_pct, 6) AS rmse_pct, round(mape, 6) AS mape, round(std, 0) AS std FROM wide JOIN me USING (account, method)"
+)
+def validation_report(spark, folder):
+    v = _simple_validation(spark, folder)
+    wide = T.validation_report(v, forecasting.metrics(v), 12)
+    return wide.withColumns({c: F.round(c, 4) for c in wide.columns if c.startswith("forecast_val_")} | {c: F.round(c, 6) for c in ("mse_pct", "rmse_pct", "mape")} | {"std": F.round("std", 0)})
+
+
 @_query(_VALID + "SELECT account, method, " + ", ".join(f"round(max(CASE WHEN i = {k + 1} THEN forecast END), 4) AS forecast_val_{k}" for k in range(12)) + " FROM va GROUP BY ALL")
 def account_forecast_report(spark, folder):
     wide = T.account_forecast_report(_simple_validation(spark, folder).withColumnRenamed("forecast", "value"), 12)
@@ -672,6 +805,25 @@ def account_tuning(spark, folder):
     return forecasting.metrics(tuned.select("account", "method", "month", "forecast", "actual")).withColumn("value", F.round("value", 6))
 
 
+@_query(
+    _PANEL
+    + """, wi AS (SELECT unnest([3, 6, 9, 12]) AS w),
+nt AS (SELECT account, value, row_number() OVER (PARTITION BY account ORDER BY month DESC) AS r FROM tacc),
+fw AS (SELECT account, w, avg(value) AS f FROM nt JOIN wi ON r <= w GROUP BY ALL),
+ew AS (SELECT account, w, avg(abs((value - f) / value)) AS e FROM fw JOIN acc USING (account) WHERE month BETWEEN DATE '2000-01-01' AND DATE '2000-12-01' GROUP BY ALL),
+bw AS (SELECT account, w FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY e, w) AS r FROM ew) WHERE r = 1),
+nv AS (SELECT account, value, row_number() OVER (PARTITION BY account ORDER BY month DESC) AS r FROM acc WHERE month <= DATE '2000-12-01')
+SELECT account, 'moving_average' AS method, CAST(DATE '2000-12-01' + to_months(CAST(h AS INT)) AS DATE) AS month, round(avg(value), 2) AS forecast, '{"window": ' || w || '}' AS params
+FROM nv JOIN bw USING (account), unnest(generate_series(1, 6)) AS u(h) WHERE r <= w GROUP BY account, w, h"""
+)
+def account_tuned_forecast(spark, folder):
+    """Windows of the mean are tuned on the validation months, and the final forecast refits with each account's own."""
+    tuned = materialize(forecasting.run_models(_designs(spark, folder), ["moving_average"], TRAIN_END, VALID_END, tune="grid"), "tuned")
+    best = forecasting.best_method(forecasting.metrics(tuned))
+    out = forecasting.final_forecast(_designs(spark, folder, VALID_END, TEST_END), best, VALID_END, TEST_END, forecasting.best_params(tuned))
+    return out.select("account", "method", "month", F.round("forecast", 2).alias("forecast"), "params")
+
+
 @_query()
 def account_final_forecast(spark, folder):
     best = forecasting.best_method(forecasting.metrics(_simple_validation(spark, folder)))
@@ -708,14 +860,32 @@ def reconcile_min_trace(spark, folder):
 
 @_query(
     _VALID
-    + """, fr AS (SELECT account, month, forecast AS value FROM fc WHERE method = 'moving_average'), re AS (SELECT account, month, value * 2 AS value FROM fr WHERE account IN ('gross', 'net'))
+    + """, mx AS (SELECT * FROM va WHERE method = CASE WHEN account = 'net' THEN 'moving_average' ELSE 'linear_regression' END), fr AS (SELECT account, month, forecast AS value FROM mx),
+er AS (SELECT account, month, actual - forecast AS e, sum(CASE account WHEN 'net' THEN actual - forecast WHEN 'gross' THEN forecast - actual WHEN 'discount' THEN actual - forecast ELSE 0 END) OVER (PARTITION BY month) AS r FROM mx WHERE account IN ('net', 'gross', 'discount')),
+k AS (SELECT account, covar_samp(e, r) / var_samp(r) AS k FROM er GROUP BY account),
+off AS (SELECT month, sum(CASE account WHEN 'net' THEN value WHEN 'gross' THEN -value WHEN 'discount' THEN value ELSE 0 END) AS r FROM fr GROUP BY month)
+SELECT account, month, round(value - coalesce(k, 0) * r, 2) AS value FROM fr LEFT JOIN k USING (account) JOIN off USING (month)"""
+)
+def reconcile_min_trace_errors(spark, folder):
+    """Minimum trace with the covariance of the validation errors, accounts being forecast by different methods."""
+    v = _simple_validation(spark, folder).where(F.col("method") == F.when(F.col("account") == "net", "moving_average").otherwise("linear_regression"))
+    errors = v.select("account", "month", (F.col("actual") - F.col("forecast")).alias("value"))
+    off = v.select("account", "month", F.col("forecast").alias("value"))
+    formulas = reconcile.parse_formulas(_FORMULAS[:1], ["gross", "discount", "net"])
+    return reconcile.min_trace(off, formulas, errors).withColumn("value", F.round("value", 2))
+
+
+@_query(
+    _VALID
+    + """, fr AS (SELECT account, month, forecast AS value FROM fc WHERE method = 'moving_average'),
+re AS (SELECT account, month, value FROM fr WHERE account <> 'net' UNION ALL SELECT 'net', month, sum(CASE account WHEN 'gross' THEN value WHEN 'discount' THEN -value END) FROM fr WHERE account IN ('gross', 'discount') GROUP BY month)
 SELECT account, month, round(a.value, 4) AS actual, round(f.value, 4) AS forecast, round(r.value, 4) AS reconciled
 FROM (SELECT * FROM acc WHERE month >= DATE '1999-01-01' AND month <= DATE '2000-06-01') a FULL JOIN fr f USING (account, month) FULL JOIN re r USING (account, month)"""
 )
 def report_series(spark, folder):
     a = accounts(spark, folder)
     f = forecasting.mean_forecast(training(a), ["account"], 12)
-    r = f.where("account IN ('gross', 'net')").withColumn("value", F.col("value") * 2)
+    r = reconcile.direct(f, reconcile.parse_formulas(_FORMULAS[:1], ["gross", "discount", "net"]))
     out = T.report_series(panel.date_range(a, date(1999, 1, 1), date(2000, 6, 1)), f, r)
     return out.select("account", "month", *[F.round(c, 4).alias(c) for c in ("actual", "forecast", "reconciled")])
 
@@ -760,7 +930,16 @@ def scenario_scatter(spark, folder):
     return scenarios.scatter(training(drivers(spark, folder))).withColumn("scatter", F.round("scatter", 6))
 
 
-@_query()
+_LEVELS = (
+    _SCATTER
+    + _MEAN
+    + """, nm AS (SELECT *, row_number() OVER (PARTITION BY classification, driver ORDER BY month) / 6.0 AS ramp FROM mf),
+lev AS (SELECT classification, driver, level, month, CASE WHEN seasonal THEN value * greatest(1 + ramp * coalesce(scatter, 0) * k, 0) ELSE value + ramp * coalesce(scatter, 0) * k END AS value
+  FROM nm JOIN scat USING (classification, driver), (VALUES ('VERY_LOW', -2), ('LOW', -1), ('AVG', 0), ('HIGH', 1), ('VERY_HIGH', 2)) AS e(level, k))"""
+)
+
+
+@_query(_LEVELS + "SELECT classification, driver, level, month, round(value, 5) AS value FROM lev WHERE level = CASE WHEN classification = 'External' AND driver = 'ASIA' THEN 'HIGH' WHEN classification = 'Internal' AND driver = 'PROMO' THEN 'LOW' ELSE 'AVG' END")
 def scenario_assembled(spark, folder):
     wanted = spark.createDataFrame([("External", "ASIA", "HIGH"), ("Internal", "PROMO", "LOW")], "classification string, driver string, level string")
     return scenarios.assemble(_levels(spark, folder), wanted).withColumn("value", F.round("value", 5))
@@ -783,12 +962,22 @@ def scenario_search(spark, folder):
     return found[0].unionByName(found[1]).unionByName(found[2]).select("account", "method", "search", *DRIVER, "highest", "lowest")
 
 
-@_query(_PANEL + """, f AS (SELECT account, month, value FROM acc WHERE month BETWEEN DATE '2000-01-01' AND DATE '2000-06-01')
-SELECT account, month, round(value * 1.1 + value - value * 0.9, 4) AS value FROM f""")
+@_query(
+    _LEVELS
+    + """, fit AS (SELECT account, avg(y) - covar_pop(x, y) / nullif(var_pop(x), 0) * avg(x) AS a, covar_pop(x, y) / nullif(var_pop(x), 0) AS b FROM pairs WHERE classification = 'External' AND driver = 'ASIA' GROUP BY account),
+fo AS (SELECT account, month, level, a + b * value AS value FROM lev, fit WHERE classification = 'External' AND driver = 'ASIA'),
+ba AS (SELECT account, CAST(DATE '1999-12-01' + to_months(CAST(h AS INT)) AS DATE) AS month, avg(value) AS value FROM tacc, unnest(generate_series(1, 6)) AS u(h) WHERE month >= DATE '1999-10-01' GROUP BY account, h)
+SELECT account, month, round(h.value + ba.value - m.value, 4) AS value FROM (SELECT * FROM fo WHERE level = 'HIGH') h JOIN (SELECT * FROM fo WHERE level = 'AVG') m USING (account, month) JOIN ba USING (account, month)"""
+)
 def scenario_account(spark, folder):
-    f = panel.date_range(accounts(spark, folder), date(2000, 1, 1), date(2000, 6, 1))
-    times = lambda k: f.withColumn("value", F.col("value") * k)
-    return scenarios.account_scenario(times(1.1), times(0.9), f).withColumn("value", F.round("value", 4))
+    """Each account by its regression on one driver, that driver being at HIGH."""
+    p, x, y = pairs(spark, folder).where("classification = 'External' AND driver = 'ASIA'"), F.col("x"), F.col("y")
+    fit = p.groupBy("account").agg(E.intercept(x, y).alias("a"), E.slope(x, y).alias("b"))
+    levels = materialize(_levels(spark, folder).where("classification = 'External' AND driver = 'ASIA'"), "levels")
+    # as many accounts as are asked about
+    at = lambda level: levels.where(F.col("level") == level).join(fit.withColumn("level", F.lit(level)), "level").select("account", "month", (F.col("a") + F.col("b") * F.col("value")).alias("value"))
+    base = forecasting.mean_forecast(training(accounts(spark, folder)), ["account"], 6)
+    return scenarios.account_scenario(at("HIGH"), at("AVG"), base).withColumn("value", F.round("value", 4))
 
 
 # ---- the flagship: for each account the best driver of each class at its best lag

@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return ""
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
@@ -42,10 +42,10 @@ def test_against_sql(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql()) - {"collinearity_combined", "driver_pruning"}))
+@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql()) - {"ranking_joint"}))
 def test_runs(spark, name):
     out = core.queries()[name](spark, FOLDER)
-    assert len(out.columns) == len(set(out.columns)) and out.count() >= 0
+    assert len(out.columns) == len(set(out.columns)) and out.count() > 0
 
 
 def test_found_columns(spark):
@@ -57,7 +57,8 @@ def test_found_columns(spark):
 
 def test_filters_reach_the_scan(spark):
     plan = core.queries()["p5_found"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<driver_unique_name:string,date:string,read_at:timestamp_ntz,driver_value:double>" in plan or "driver_value" in plan
+    assert "ReadSchema: struct<driver_unique_name:string,date:string,read_at:timestamp_ntz,driver_value:double>" in plan
+    assert "loaded_at" not in plan and "reading_id" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
