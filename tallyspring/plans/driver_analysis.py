@@ -402,14 +402,15 @@ def covariances(spark, folder):
 @_query(
     _PANEL
     + "SELECT account, month, value, CAST(t AS INT) AS t, round(month_sin, 8) + 0.0 AS month_sin, round(month_cos, 8) + 0.0 AS month_cos, "
-    + ", ".join([*(f"lag_{i}" for i in range(1, 13)), *(f"round({f}_{k}, 3) AS {f}_{k}" for k in (3, 6, 12) for f in ("mean", "std"))])
+    + ", ".join([*(f"lag_{i}" for i in range(1, 13)), *(f"round({f}_{k} + 0.00001, 3) AS {f}_{k}" for k in (3, 6, 12) for f in ("mean", "std"))])
     + " FROM (SELECT account, month, value, row_number() OVER w - 1 AS t, sin(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_sin, cos(2 * 3.141592653589793 * (month(month) - 1) / 12) AS month_cos, "
     + ", ".join([*(f"lag(value, {i}) OVER w AS lag_{i}" for i in range(1, 13)), *(f"{g}(value) OVER (PARTITION BY account ORDER BY month ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS {f}_{k}" for k in (3, 6, 12) for f, g in (("mean", "avg"), ("std", "stddev_pop")))])
     + " FROM acc WINDOW w AS (PARTITION BY account ORDER BY month)) WHERE t >= 12"
 )
 def lag_features(spark, folder):
     f = stats.lag_features(accounts(spark, folder), ["account"])
-    return f.withColumns({c: F.round(c, 3) for c in f.columns if c.startswith(("mean_", "std_"))} | {c: F.round(c, 8) + F.lit(0.0) for c in ("month_sin", "month_cos")})
+    # means of numbers of four decimals often end in half a thousandth
+    return f.withColumns({c: F.round(F.col(c) + 0.00001, 3) for c in f.columns if c.startswith(("mean_", "std_"))} | {c: F.round(c, 8) + F.lit(0.0) for c in ("month_sin", "month_cos")})
 
 
 # ---- ranking
@@ -818,9 +819,11 @@ FROM nv JOIN bw USING (account), unnest(generate_series(1, 6)) AS u(h) WHERE r <
 )
 def account_tuned_forecast(spark, folder):
     """Windows of the mean are tuned on the validation months, and the final forecast refits with each account's own."""
-    tuned = materialize(forecasting.run_models(_designs(spark, folder), ["moving_average"], TRAIN_END, VALID_END, tune="grid"), "tuned")
+    own = accounts(spark, folder).select("account", F.lit("none").alias("classification"), F.lit("none").alias("driver"), "month", F.lit(0.0).alias("x"), F.col("value").alias("y"))
+    designs = materialize(forecasting.design(own), "designs")
+    tuned = materialize(forecasting.run_models(designs, ["moving_average"], TRAIN_END, VALID_END, tune="grid"), "tuned")
     best = forecasting.best_method(forecasting.metrics(tuned))
-    out = forecasting.final_forecast(_designs(spark, folder, VALID_END, TEST_END), best, VALID_END, TEST_END, forecasting.best_params(tuned))
+    out = forecasting.final_forecast(designs, best, VALID_END, TEST_END, forecasting.best_params(tuned))
     return out.select("account", "method", "month", F.round("forecast", 2).alias("forecast"), "params")
 
 
@@ -864,7 +867,7 @@ def reconcile_min_trace(spark, folder):
 er AS (SELECT account, month, actual - forecast AS e, sum(CASE account WHEN 'net' THEN actual - forecast WHEN 'gross' THEN forecast - actual WHEN 'discount' THEN actual - forecast ELSE 0 END) OVER (PARTITION BY month) AS r FROM mx WHERE account IN ('net', 'gross', 'discount')),
 k AS (SELECT account, covar_samp(e, r) / var_samp(r) AS k FROM er GROUP BY account),
 off AS (SELECT month, sum(CASE account WHEN 'net' THEN value WHEN 'gross' THEN -value WHEN 'discount' THEN value ELSE 0 END) AS r FROM fr GROUP BY month)
-SELECT account, month, round(value - coalesce(k, 0) * r, 2) AS value FROM fr LEFT JOIN k USING (account) JOIN off USING (month)"""
+SELECT account, month, {VALUE} AS value FROM fr LEFT JOIN k USING (account) JOIN off USING (month)""".replace("{VALUE}", _digits("value - coalesce(k, 0) * r", 6))
 )
 def reconcile_min_trace_errors(spark, folder):
     """Minimum trace with the covariance of the validation errors, accounts being forecast by different methods."""
@@ -872,7 +875,7 @@ def reconcile_min_trace_errors(spark, folder):
     errors = v.select("account", "month", (F.col("actual") - F.col("forecast")).alias("value"))
     off = v.select("account", "month", F.col("forecast").alias("value"))
     formulas = reconcile.parse_formulas(_FORMULAS[:1], ["gross", "discount", "net"])
-    return reconcile.min_trace(off, formulas, errors).withColumn("value", F.round("value", 2))
+    return reconcile.min_trace(off, formulas, errors).withColumn("value", digits(F.col("value"), 6))
 
 
 @_query(
