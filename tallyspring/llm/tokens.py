@@ -6,6 +6,10 @@ boundary of the overlap that both have (from there on both read the text alike),
 between stitches are encoded in parallel. Where an overlap has no common boundary (one endless
 word), its two chunks stay one piece. Decoding concatenates the tokens' raw bytes.
 
+A piece model has no pre-tokens; where none of its pieces holds a line break (which the model is asked), nothing is
+merged across one, and long texts are cut before line breaks instead. A line is never cut, so one endless line is the
+work of one task, and so is a text of a model whose pieces hold line breaks.
+
 Defined cases: null and empty texts have an empty list; strings that look like special tokens are
 ordinary text; texts of blanks have the ids of the blanks; repeated texts have equal ids; an empty
 table gives none.
@@ -55,6 +59,20 @@ def pre_token():
     return regex.compile(PATTERN)
 
 
+@lru_cache(maxsize=4)
+def parted_by_lines(name: str, folder: str) -> bool:
+    """Whether a piece model reads what begins with a line break alike with and without the text before it."""
+    m = piece_model(name, folder)
+    alone = not any("\n" in m.id_to_piece(i) for i in range(m.get_piece_size()))
+    tried = [("x", "\ny"), ("x ", "\n\n  y"), ("  x\t", "\n y z")]
+    return alone and all(m.encode(a + b) == m.encode(a) + _after_start(m, b) for a, b in tried)
+
+
+def _after_start(model, text: str) -> list[int]:
+    """Ids of what follows in a longer text: without the blank that the model puts before a text's beginning."""
+    return model.encode(text)[1:]
+
+
 def encoder(name: str, folder: str = FOLDER) -> Callable[[str], list[int]]:
     """Text to ids, for one of the tokenizers with a .tiktoken or .model file."""
     if os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
@@ -110,13 +128,17 @@ def _chunk_info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, ints), pa.array(tails, ints)], names=[*b.schema.names, "head", "tail"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], keys: int, name: str, folder: str, count: bool) -> Iterator[pa.RecordBatch]:
-    """Replaces the last column, a text, by its ids or their number."""
+def _encode(batches: Iterator[pa.RecordBatch], keys: int, name: str, folder: str, count: bool, follows: bool = False) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, a text, by its ids or their number. With ``follows`` pieces but the first (0) follow others at a line break."""
     encode = encoder(name, folder)
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
         kept = b.columns[:keys]
-        if count:
+        if follows:
+            model, number = piece_model(name, folder), b.column("piece").to_pylist()
+            coded = [(_after_start(model, t) if k else encode(t)) if t else [] for k, t in zip(number, texts)]
+            last = pa.array([len(c) for c in coded], pa.int64()) if count else pa.array(coded, pa.list_(pa.int32()))
+        elif count:
             last = pa.array([len(encode(t)) if t else 0 for t in texts], pa.int64())
         else:
             flat, ends = array("i"), np.zeros(len(texts) + 1, np.int32)
@@ -145,11 +167,26 @@ def _pieces(long: DataFrame, key: str) -> DataFrame:
     return numbered.groupBy(key, "piece").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("x")).select(key, "piece", F.expr("array_join(transform(x, e -> e.part), '')").alias("text"))
 
 
-def encode_texts(docs: DataFrame, key: str, text: str, name: str, *, folder: str = FOLDER, count: bool = False, whole: bool = False) -> DataFrame:
-    """key, ids (array of int); with ``count`` key, tokens (long).
-
-    ``whole`` encodes long texts in one piece, as needed by tokenizers whose pieces can cross any boundary.
-    """
+def _line_pieces(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """key, piece (number), text: texts cut before the first line break after each ``CHUNK`` characters."""
+    for b in batches:
+        rows, number, parts = [], [], []
+        for i, t in enumerate(b.column("text").to_pylist()):
+            at, k = 0, 0
+            while at < len(t):
+                end = t.find("\n", at + CHUNK)
+                end = len(t) if end < 0 else end
+                rows.append(i)
+                number.append(k)
+                parts.append(t[at:end])
+                at, k = end, k + 1
+        yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(number, pa.int64()), pa.array(parts, pa.string())], names=[key, "piece", "text"])
+
+
+def encode_texts(docs: DataFrame, key: str, text: str, name: str, *, folder: str = FOLDER, count: bool = False) -> DataFrame:
+    """key, ids (array of int); with ``count`` key, tokens (long)."""
+    byte_level = os.path.exists(os.path.join(folder, f"{name}.tiktoken"))
+    whole = not byte_level and not parted_by_lines(name, folder)
     rows = docs.select(F.col(key), F.col(text).alias("text"))
     key_type = rows.schema[key].dataType.simpleString()
     result = "long" if count else "array<int>"
@@ -157,8 +194,9 @@ def encode_texts(docs: DataFrame, key: str, text: str, name: str, *, folder: str
     short = rows if whole else rows.where(~is_long)
     out = short.mapInArrow(lambda it: _encode(it, 1, name, folder, count), f"`{key}` {key_type}, ids {result}")
     if not whole:
-        pieces = _pieces(rows.where(is_long), key)
-        coded = pieces.repartition(key, "piece").mapInArrow(lambda it: _encode(it, 2, name, folder, count), f"`{key}` {key_type}, piece long, ids {result}")
+        long = rows.where(is_long)
+        pieces = _pieces(long, key) if byte_level else long.mapInArrow(lambda it: _line_pieces(it, key), f"`{key}` {key_type}, piece long, text string")
+        coded = pieces.repartition(key, "piece").mapInArrow(lambda it: _encode(it, 2, name, folder, count, not byte_level), f"`{key}` {key_type}, piece long, ids {result}")
         if count:
             joined = coded.groupBy(key).agg(F.sum("ids").alias("ids"))
         else:

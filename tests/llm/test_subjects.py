@@ -72,3 +72,22 @@ def test_no_labels_and_no_documents(spark):
     lab = spark.createDataFrame([], "doc_id long, subject string")
     assert subjects.assign_subjects(d, lab, ["law"]).count() == 0
     assert subjects.assign_subjects(d.limit(0), spark.createDataFrame([(1, "law")], lab.schema), ["law"]).count() == 0
+
+
+def test_leaves_of_the_corpus_are_named_by_their_terms(spark, corpus, monkeypatch):
+    docs, truth = corpus
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, s) for i in range(60) for s in truth[i]], "doc_id long, subject string")
+    model, known = subjects.learn(d, labels, sorted(TERMS), "doc_id", "text", "subject")
+    assert known.count() == len(docs)
+    own = {s: set(t) for s, t in TERMS.items()}
+    for s, terms in zip(model.leaf_subjects, model.leaf_terms):
+        if terms:
+            assert len(own[s] & set(terms[:4])) >= 2, (s, terms)
+    assert set(model.leaf_subjects) == set(TERMS)
+    # however the corpus is dealt to tasks and brought together, each document counts once
+    monkeypatch.setattr(subjects, "TOGETHER", 40)
+    dims = np.arange(30)
+    leaves = subjects.corpus_leaves(known, dims, np.ones(30))
+    vectors = subjects.corpus_leaves(known.coalesce(1), dims, np.ones(30))
+    assert leaves.mass.sum(axis=0) == pytest.approx(vectors.mass.sum(axis=0), rel=1e-4)

@@ -57,8 +57,27 @@ def test_boundaries_split_exactly(text):
         assert enc(text[:e]) + enc(text[e:]) == whole
 
 
-def test_sentence_pieces_are_counted_whole(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "Hello world"), (4, "word " * 5_000)], "doc_id long, text string")
-    got = {r.doc_id: r.tokens for r in tokens.encode_texts(df, "doc_id", "text", "piece_bpe_32k", count=True, whole=True).collect()}
-    model = tokens.piece_model("piece_bpe_32k", tokens.FOLDER)
-    assert got == {1: 0, 2: 0, 3: len(model.encode("Hello world")), 4: len(model.encode("word " * 5_000))}
+PIECES = "piece_bpe_32k"
+
+
+def test_sentence_pieces_of_long_texts(spark):
+    model = tokens.piece_model(PIECES, tokens.FOLDER)
+    assert tokens.parted_by_lines(PIECES, tokens.FOLDER)
+    r = random.Random(3)
+    words = ["def x():", "  return", "\n", "\n\n", "日本語", "\t", "  ", "🙂", "\r\n", " a", "é", "<0x0A>", "▁"]
+    given_ = {1: None, 2: "", 3: "Hello world", 4: "word " * 5_000, 5: "".join(r.choice(words) for _ in range(30_000)), 6: "\n" * 50_000, 7: "x" * 20_000 + "\n" + "y" * 20_000, 8: "a\n" * 40_000, 9: " \n " * 20_000}
+    df = spark.createDataFrame(list(given_.items()), "doc_id long, text string").selectExpr("doc_id", "text", "1 AS piece", "2 AS ids")
+    expected = {k: model.encode(t) if t else [] for k, t in given_.items()}
+    assert {r.doc_id: r.ids for r in tokens.encode_texts(df, "doc_id", "text", PIECES).collect()} == expected
+    assert {r.doc_id: r.tokens for r in tokens.encode_texts(df, "doc_id", "text", PIECES, count=True).collect()} == {k: len(v) for k, v in expected.items()}
+    long = df.where("length(text) > 16384").select("doc_id", "text")
+    pieces = long.mapInArrow(lambda it: tokens._line_pieces(it, "doc_id"), "doc_id long, piece long, text string").groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in pieces if r.doc_id in (4, 6, 8)} == {4: 1, 6: 4, 8: 5}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1 \t\r'.é日▁", max_size=30), st.text(alphabet="ab1 \n\t\r'.é日▁", max_size=30))
+def test_line_breaks_part_sentence_pieces(before, after):
+    model = tokens.piece_model(PIECES, tokens.FOLDER)
+    whole = model.encode(before + "\n" + after)
+    assert (model.encode(before) if before else whole[:1]) + tokens._after_start(model, "\n" + after) == whole
