@@ -137,6 +137,13 @@ def ranks(scored: DataFrame, keys: list[str] | None = None, decimals: int = 9) -
     return mean.withColumn("final_rank", F.row_number().over(order))
 
 
+def details(scored: DataFrame, keys: list[str] | None = None, decimals: int = 9) -> DataFrame:
+    """keys, metric, value, rank, avg_rank, final_rank: every step of ``ranks``."""
+    keys = keys or KEYS
+    each = scored.withColumn("rank", rank_with_ties(F.round("value", decimals), [*keys[:2], "metric"]))
+    return each.join(ranks(scored, keys, decimals), keys)
+
+
 def align(accounts: DataFrame, drivers: DataFrame, lags: DataFrame | None = None, first: date | None = None) -> DataFrame:
     """Pairs of accounts and drivers in the months that all lagged drivers of a class share. ``first`` is the drivers' first month, where it is known."""
     if lags is None:

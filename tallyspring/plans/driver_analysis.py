@@ -460,6 +460,17 @@ def ranking_report(spark, folder):
     return r.withColumns({c: F.round(c, 6) for c in ("pearson", "spearman", "moving_average")} | {"slr": F.round("slr", 2), "avg_rank": F.round("avg_rank", 8)})
 
 
+@_query(
+    _SCORES
+    + """SELECT account, classification, driver, metric, CASE WHEN metric = 'slr' THEN round(value, 2) ELSE round(value, 6) END AS value, CAST(r AS INT) AS rank, round(avg_rank, 8) AS avg_rank, CAST(final_rank AS INT) AS final_rank
+FROM rk JOIN fin USING (account, classification, driver)"""
+)
+def ranking_details(spark, folder):
+    """Every step of the ranking: value and rank per method, their mean, and the place."""
+    d = ranking.details(materialize(_single_scores(spark, folder), "scores"), decimals=6)
+    return d.withColumns({"value": F.when(F.col("metric") == "slr", F.round("value", 2)).otherwise(F.round("value", 6)), "avg_rank": F.round("avg_rank", 8)})
+
+
 @_query()
 def ranking_joint(spark, folder):
     return ranking.scores(pairs(spark, folder), list(ranking.JOINT)).withColumn("value", F.round("value", 6))
@@ -806,22 +817,37 @@ def account_tuning(spark, folder):
     return forecasting.metrics(tuned.select("account", "method", "month", "forecast", "actual")).withColumn("value", F.round("value", 6))
 
 
-@_query(
+_TUNED = (
     _PANEL
     + """, wi AS (SELECT unnest([3, 6, 9, 12]) AS w),
 nt AS (SELECT account, value, row_number() OVER (PARTITION BY account ORDER BY month DESC) AS r FROM tacc),
 fw AS (SELECT account, w, avg(value) AS f FROM nt JOIN wi ON r <= w GROUP BY ALL),
 ew AS (SELECT account, w, avg(abs((value - f) / value)) AS e FROM fw JOIN acc USING (account) WHERE month BETWEEN DATE '2000-01-01' AND DATE '2000-12-01' GROUP BY ALL),
-bw AS (SELECT account, w FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY e, w) AS r FROM ew) WHERE r = 1),
-nv AS (SELECT account, value, row_number() OVER (PARTITION BY account ORDER BY month DESC) AS r FROM acc WHERE month <= DATE '2000-12-01')
+bw AS (SELECT account, w FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY e, w) AS r FROM ew) WHERE r = 1)"""
+)
+
+
+def _tuned(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """(designs of the accounts alone, their means over windows tuned on the validation months)."""
+    own = accounts(spark, folder).select("account", F.lit("none").alias("classification"), F.lit("none").alias("driver"), "month", F.lit(0.0).alias("x"), F.col("value").alias("y"))
+    designs = materialize(forecasting.design(own), "designs")
+    return designs, materialize(forecasting.run_models(designs, ["moving_average"], TRAIN_END, VALID_END, tune="grid"), "tuned")
+
+
+@_query(_TUNED + """SELECT account, '{"moving_average": {"window": ' || w || '}}' AS best_params FROM bw""")
+def best_params_report(spark, folder):
+    return T.params_report(forecasting.best_params(_tuned(spark, folder)[1]))
+
+
+@_query(
+    _TUNED
+    + """, nv AS (SELECT account, value, row_number() OVER (PARTITION BY account ORDER BY month DESC) AS r FROM acc WHERE month <= DATE '2000-12-01')
 SELECT account, 'moving_average' AS method, CAST(DATE '2000-12-01' + to_months(CAST(h AS INT)) AS DATE) AS month, round(avg(value), 2) AS forecast, '{"window": ' || w || '}' AS params
 FROM nv JOIN bw USING (account), unnest(generate_series(1, 6)) AS u(h) WHERE r <= w GROUP BY account, w, h"""
 )
 def account_tuned_forecast(spark, folder):
-    """Windows of the mean are tuned on the validation months, and the final forecast refits with each account's own."""
-    own = accounts(spark, folder).select("account", F.lit("none").alias("classification"), F.lit("none").alias("driver"), "month", F.lit(0.0).alias("x"), F.col("value").alias("y"))
-    designs = materialize(forecasting.design(own), "designs")
-    tuned = materialize(forecasting.run_models(designs, ["moving_average"], TRAIN_END, VALID_END, tune="grid"), "tuned")
+    """The final forecast refits with each account's own window."""
+    designs, tuned = _tuned(spark, folder)
     best = forecasting.best_method(forecasting.metrics(tuned))
     out = forecasting.final_forecast(designs, best, VALID_END, TEST_END, forecasting.best_params(tuned))
     return out.select("account", "method", "month", F.round("forecast", 2).alias("forecast"), "params")
@@ -893,6 +919,21 @@ def report_series(spark, folder):
     return out.select("account", "month", *[F.round(c, 4).alias(c) for c in ("actual", "forecast", "reconciled")])
 
 
+@_query(
+    _VALID
+    + """, fr AS (SELECT account, month, forecast AS value FROM fc WHERE method = 'linear_regression'), re AS (SELECT account, month, value FROM fr WHERE account <> 'net' UNION ALL SELECT 'net', month, sum(CASE account WHEN 'gross' THEN value WHEN 'discount' THEN -value END) FROM fr WHERE account IN ('gross', 'discount') GROUP BY month),
+nr AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY month) - 1 AS i FROM re)
+SELECT account, """
+    + ", ".join(f"round(max(CASE WHEN i = {k} THEN value END), 3) AS forecast_val_{k}" for k in range(12))
+    + " FROM nr GROUP BY account"
+)
+def reconciled_report(spark, folder):
+    f = forecasting.trend_forecast(training(accounts(spark, folder)), ["account"], 12)
+    made = reconcile.direct(f, reconcile.parse_formulas(_FORMULAS[:1], ["gross", "discount", "net"]))
+    wide = T.account_forecast_report(made, 12, ["account"])
+    return wide.withColumns({c: F.round(c, 3) for c in wide.columns if c.startswith("forecast_val_")})
+
+
 # ---- scenarios
 
 _SIX = _SEASON.replace("ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING", "ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING").replace("lag(value, 6) OVER w + lead(value, 6)", "lag(value, 3) OVER w + lead(value, 3)").replace("/ 12 AS tr", "/ 6 AS tr").replace("t % 12", "t % 6").replace("t >= 6 AND t < n - 6", "t >= 3 AND t < n - 3")

@@ -23,6 +23,7 @@ class Result:
     best: DataFrame
     forecasts: DataFrame
     reconciled: DataFrame
+    params: DataFrame  # account, method, params: what tuning left each method with
 
 
 def analyse(accounts: DataFrame, drivers: DataFrame, c: Config, given_lags: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -111,4 +112,4 @@ def run(accounts: DataFrame, drivers: DataFrame, c: Config, lags: DataFrame | No
     names = c.accounts
     formulas = reconcile.parse_formulas(c.reconciliation.formulas, names) if c.reconciliation.formulas else []
     errors = validation.join(chosen.select("account", "method"), ["account", "method"], "left_semi").select("account", "month", (F.col("actual") - F.col("forecast")).alias("value"))
-    return Result(found_lags, scores, ranked, selected, validation, metrics, chosen, forecasts, reconcile.reconcile(plain, formulas, c.reconciliation.method, errors, c.reconciliation.fallback))
+    return Result(found_lags, scores, ranked, selected, validation, metrics, chosen, forecasts, reconcile.reconcile(plain, formulas, c.reconciliation.method, errors, c.reconciliation.fallback), params)

@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,17 +37,87 @@ def read(spark: SparkSession, source: str | DataFrame, schema: str | None = None
     return raw.select(*[(F.expr(f"try_cast(`{c}` AS {kinds[c]})").alias(c) if c in kinds else F.col(c)) for c in raw.columns])
 
 
-def load(spark: SparkSession, accounts: str | DataFrame, drivers: str | DataFrame, *, names: list[str] | None = None, segment: str | None = None, region: str | None = None, check: bool = True) -> tuple[DataFrame, DataFrame]:
+class Loader(Protocol):
+    """What a source of a panel must give: rows of accounts and of drivers, in the columns of ``ACCOUNTS`` and ``DRIVERS``."""
+
+    def accounts(self) -> DataFrame: ...
+
+    def drivers(self) -> DataFrame: ...
+
+
+@dataclass
+class Files:
+    """CSV or Parquet files, or folders of them."""
+
+    spark: SparkSession
+    account_path: str
+    driver_path: str
+
+    def accounts(self) -> DataFrame:
+        return read(self.spark, self.account_path, ACCOUNTS)
+
+    def drivers(self) -> DataFrame:
+        return read(self.spark, self.driver_path, DRIVERS)
+
+
+@dataclass
+class Frames:
+    """DataFrames at hand."""
+
+    account_rows: DataFrame
+    driver_rows: DataFrame
+
+    def accounts(self) -> DataFrame:
+        return self.account_rows
+
+    def drivers(self) -> DataFrame:
+        return self.driver_rows
+
+
+@dataclass
+class Tables:
+    """Tables of the session's catalogue."""
+
+    spark: SparkSession
+    account_table: str
+    driver_table: str
+
+    def accounts(self) -> DataFrame:
+        return self.spark.table(self.account_table)
+
+    def drivers(self) -> DataFrame:
+        return self.spark.table(self.driver_table)
+
+
+LOADERS: dict[str, type[Loader]] = {"files": Files, "frames": Frames, "tables": Tables}
+
+
+def loader(kind: str, *where) -> Loader:
+    """The loader of a kind by its name."""
+    if kind not in LOADERS:
+        raise ValueError(f"unknown kind of source: {kind}; there are {', '.join(LOADERS)}")
+    return LOADERS[kind](*where)
+
+
+def load_from(source: Loader, *, names: list[str] | None = None, segment: str | None = None, region: str | None = None, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(accounts, drivers) of a configuration, dense unless ``check`` is off."""
-    a = P.load_accounts(read(spark, accounts, ACCOUNTS), names, segment, region)
-    d = P.load_drivers(read(spark, drivers, DRIVERS))
+    a, d = P.load_accounts(source.accounts(), names, segment, region), P.load_drivers(source.drivers())
     if check:
         P.assert_dense(a, ["account"])
         P.assert_dense(d, ["classification", "driver"])
     return a, d
 
 
-LOADERS = {"files": load}
+def load(spark: SparkSession, accounts: str | DataFrame, drivers: str | DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """``load_from`` of paths or DataFrames."""
+    frames = Frames(read(spark, accounts, ACCOUNTS), read(spark, drivers, DRIVERS))
+    return load_from(frames, **how)
+
+
+def load_for_ranking(source: Loader, start: date, end: date, **how) -> tuple[DataFrame, DataFrame]:
+    """``load_from`` for driver analysis: only the training months."""
+    a, d = load_from(source, **how)
+    return P.date_range(a, start, end), P.date_range(d, start, end)
 
 
 # ---- report shapes

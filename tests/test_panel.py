@@ -92,3 +92,24 @@ def test_config(tmp_path):
 def test_generated_series_repeat(spark):
     a, b = (panel.generate_series(spark, ["u", "v"], 24, seed=3).orderBy("driver", "month").collect() for _ in range(2))
     assert a == b and len(a) == 48
+
+
+def test_loaders(spark, tmp_path):
+    import datetime
+
+    a = spark.createDataFrame([(f"2024-0{m}-01", "x", "b", "p", "g", "k", float(m)) for m in (1, 2, 3)], tables.ACCOUNTS)
+    d = spark.createDataFrame([(f"2024-0{m}-01", "n", "c", float(m), None) for m in (1, 2, 3)], tables.DRIVERS)
+    tables.write(a, str(tmp_path / "a"))
+    tables.write(d, str(tmp_path / "d.csv"), "csv")
+    a.createOrReplaceTempView("account_rows")
+    d.createOrReplaceTempView("driver_rows")
+    sources = [tables.loader("frames", a, d), tables.loader("files", spark, str(tmp_path / "a"), str(tmp_path / "d.csv")), tables.loader("tables", spark, "account_rows", "driver_rows")]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    first = tuple(map(rows, tables.load_from(sources[0])))
+    assert len(first[0]) == 3 == len(first[1]) and all(tuple(map(rows, tables.load_from(s))) == first for s in sources[1:])
+    y, x = tables.load_for_ranking(sources[1], datetime.date(2024, 2, 1), datetime.date(2024, 3, 1))
+    assert y.count() == 2 == x.count()
+    with pytest.raises(ValueError):
+        tables.loader("cloud")
+    with pytest.raises(panel.PanelError):
+        tables.load_from(tables.loader("frames", a.where("period_key <> '2024-02-01'"), d))
