@@ -103,8 +103,10 @@ class Fillers:
 
 
 def month_of(c: Column) -> Column:
-    """The month that a period key names; null where it is no day of the calendar."""
-    return F.trunc(F.try_to_date(c, "yyyy-MM-dd"), "month")
+    """The month that a period key (YYYY-MM-DD) names; null where it is no day of the calendar."""
+    # a cast is many times cheaper than a parser with a pattern, but takes other forms, too
+    whole = c.like("____-__-__") & F.right(c, F.lit(1)).between("0", "9")
+    return F.trunc(F.when(whole, c.try_cast("date")), "month")
 
 
 def span_of_months(months: list[tuple]) -> tuple:
@@ -169,11 +171,11 @@ def profiles(panels: list[Panel]) -> list[Profile]:
     numbers = Fillers.of(filler_numbers(both(values), tuple(dict.fromkeys(v for p in panels for v in p.numbers))))
     kinds, months, marked = [], [], F.lit(False)
     for p in panels:
-        m = month_of(F.col(p.period))
+        rows, m = _own(p).withColumn("_month", month_of(F.col(p.period))), F.col("_month")
         late = (F.year(p.arrived) * 12 + F.month(p.arrived) - F.year(m) * 12 - F.month(m)).cast("string") if p.arrived else F.lit(None).cast("string")
         month = F.struct(F.lit(f"{p.name}/").alias("field"), m.cast("string").alias("grp"), late.alias("raw"))
         words = [F.struct(F.lit(f"{p.name}.{c}").alias("field"), F.col(g).cast("string").alias("grp"), F.col(c).cast("string").alias("raw")) for c, g in p.categories.items()]
-        kinds.append(p.rows.select(F.explode(F.array(month, *words)).alias("e")).select("e.*"))
+        kinds.append(rows.select(F.explode(F.array(month, *words)).alias("e")).select("e.*"))
         months.append(f"{p.name}/")
         if p.categories and p.marks:
             marked |= F.col("field").isin(*[f"{p.name}.{c}" for c in p.categories]) & F.col("w").isin(*p.marks)
@@ -214,8 +216,10 @@ def flags(p: Panel, known: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
 
     Of other columns only those in ``keep`` stay, where a panel has them.
     """
-    month, (lo, hi), v = month_of(F.col(p.period)), known.span, F.col(p.value).cast("double")
-    df = known.numbers.mark(_own(p, tuple(c for c in keep if c in p.rows.columns)), v, "_filler")
+    month, (lo, hi), v = F.col("_month"), known.span, F.col(p.value).cast("double")
+    # a column of its own, so that it is made once per row
+    df = _own(p, tuple(c for c in keep if c in p.rows.columns)).withColumn("_month", month_of(F.col(p.period)))
+    df = known.numbers.mark(df, v, "_filler")
     real_month = F.coalesce(month.between(F.lit(lo), F.lit(hi)), F.lit(False)) if lo is not None else F.lit(False)
     made = {f"no_{p.value}": v.isNull() | F.isnan(v) | F.col("_filler"), "_m": F.when(real_month, month)}
     if p.period_may_miss:
@@ -223,7 +227,7 @@ def flags(p: Panel, known: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
     for c in p.categories:
         df = known.words[c].mark(df, F.col(c), f"_word_{c}")
         made[f"no_{c}"] = F.col(c).isNull() | F.col(f"_word_{c}")
-    return df.withColumns(made).drop("_filler", *[f"_word_{c}" for c in p.categories])
+    return df.withColumns(made).drop("_filler", "_month", *[f"_word_{c}" for c in p.categories])
 
 
 def flagged(panels: list[Panel], keep: tuple[str, ...] = ()) -> list[DataFrame]:
@@ -256,13 +260,15 @@ def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: b
     if p.arrived and p.period_may_miss and known.late is not None:
         guess = F.when(F.col("_m").isNull() & F.col("_s").isNotNull(), F.add_months(F.trunc(p.arrived, "month"), -known.late))
     base = base.withColumn("_k", F.coalesce("_m", guess))
+    # only rows that are made take their series' names from elsewhere
+    named = [] if incomplete_only else p.series
     # a guessed month counts only where the series has no row of it
     real = F.col("_m").isNotNull()
     observed = {"_v": (F.avg, F.when(~F.col(f"no_{p.value}"), F.col(p.value).cast("double"))), **{f"_c_{c}": (F.min, F.when(~F.col(f"no_{c}"), F.col(c))) for c in cats}}
     monthly = base.where("_k IS NOT NULL AND _s IS NOT NULL").groupBy("_s", "_t", F.col("_k").alias("_m")).agg(
-        *[F.first(F.col(c).cast("string")).alias(f"_k_{c}") for c in p.series], F.max(real).alias("_real"), *[f(F.when(real, v)).alias(n) for n, (f, v) in observed.items()], *[f(F.when(~real, v)).alias(f"{n}_g") for n, (f, v) in observed.items()]
+        *[F.first(F.col(c).cast("string")).alias(f"_k_{c}") for c in named], F.max(real).alias("_real"), *[f(F.when(real, v)).alias(n) for n, (f, v) in observed.items()], *[f(F.when(~real, v)).alias(f"{n}_g") for n, (f, v) in observed.items()]
     )
-    names = [f"_k_{c}" for c in p.series]
+    names = [f"_k_{c}" for c in named]
     monthly = monthly.select("_s", "_t", "_m", *names, "_real", *[F.when(F.col("_real"), F.col(n)).otherwise(F.col(f"{n}_g")).alias(n) for n in observed])
     w = Window.partitionBy("_s", "_t").orderBy("_m")
     # months up to the series' next one, the first of which is there
@@ -300,7 +306,7 @@ def filled(panel: Panel, known: Profile, gap_limit: int = 12, incomplete_only: b
     if not incomplete_only:
         joined = joined.unionByName(got.where("_there IS NULL").withColumn("row_made", F.lit(True)), allowMissingColumns=True)
     made = F.col("row_made")
-    from_series = [F.when(made, F.col(f"_k_{c}")).otherwise(F.col(c).cast("string")).alias(c) for c in p.series]
+    from_series = [(F.when(made, F.col(f"_k_{c}")).otherwise(F.col(c).cast("string")) if named else F.col(c).cast("string")).alias(c) for c in p.series]
     no_value = made | F.col(f"no_{p.value}")
     cols = [F.col(p.row_id), F.date_format(F.coalesce("_m", "_month"), "yyyy-MM-dd").alias(p.period), *from_series,
             F.when(no_value, F.col("_value") if decimals is None else F.round("_value", decimals)).otherwise(F.col(p.value).cast("double")).alias(p.value),

@@ -107,3 +107,9 @@ def test_many_filler_words_are_joined(spark, monkeypatch):
     assert few == {(r[0], "unit") for r in rows if r[3].startswith("odd")} | {(r[0], "sort") for r in rows if r[4].startswith("strange")}
     monkeypatch.setattr(fill, "LITERALS", 2)
     assert entries() == few
+
+
+def test_months_of_period_keys(spark):
+    keys = ["2024-02-29", "2023-02-29", "2024-2-01", "2024-02-1T", "2024-02", "20240201", " 2024-02-01", "2024-02-01 ", "", "TBC", None, "2024-13-01", "0001-01-01", "٢٠٢٤-٠٥-٢٧"]
+    got = [r.m for r in spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").withColumn("m", fill.month_of(F.col("k")).cast("string")).orderBy("i").collect()]
+    assert got == ["2024-02-01", *[None] * 11, "0001-01-01", None]
