@@ -17,6 +17,7 @@ period are each filled alike; empty tables give empty results.
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -42,6 +43,8 @@ UNLIKELY = 16.0
 SALTS = 8
 #: Fillers that are sent to the executors as literals; more than that are joined.
 LITERALS = 1_000
+#: Months and words that are looked up together on the driver; more than that are looked up one by one.
+TOLD = 50_000
 
 
 def is_blank(c: Column) -> Column:
@@ -181,8 +184,8 @@ def profiles(panels: list[Panel]) -> list[Profile]:
             marked |= F.col("field").isin(*[f"{p.name}.{c}" for c in p.categories]) & F.col("w").isin(*p.marks)
     is_month = F.col("field").isin(*months)
     # counted as they are written first; what follows works on the few different ones
-    written = both(kinds).where(F.when(is_month, F.col("grp").isNotNull()).otherwise(F.col("raw").isNotNull())).groupBy("field", "grp", "raw").agg(F.count(F.lit(1)).alias("n"))
-    each = written.groupBy("field", "grp", F.when(is_month, F.col("raw")).otherwise(plain(F.col("raw"))).alias("w")).agg(F.sum("n").alias("n"), F.collect_set("raw").alias("raws"))
+    as_written = both(kinds).where(F.when(is_month, F.col("grp").isNotNull()).otherwise(F.col("raw").isNotNull())).groupBy("field", "grp", "raw").agg(F.count(F.lit(1)).alias("n"))
+    each = as_written.groupBy("field", "grp", F.when(is_month, F.col("raw")).otherwise(plain(F.col("raw"))).alias("w")).agg(F.sum("n").alias("n"), F.collect_set("raw").alias("raws"))
     # one row per group and word, so the window is as small as a group's number of different words; blanks and rows without a group tell nothing
     tells = F.col("grp").isNotNull() & ~(~is_month & is_blank(F.col("w")))
     ranked = each.withColumn("top", tells & (F.row_number().over(Window.partitionBy("field", "grp", tells).orderBy(F.desc("n"), "w")) == 1)).withColumn("tells", tells)
@@ -193,20 +196,30 @@ def profiles(panels: list[Panel]) -> list[Profile]:
     filler = (F.col("tops") == 0) & (F.col("others") >= GROUPS)
     told = told.where(is_month | filler | marked | is_blank(F.col("w"))).select("field", "month", "n", F.explode_outer("raws").alias("raw"))
     told = materialize(told, "told")
-    # one number per month of the calendar and lateness
-    calendar = told.where(is_month).select("field", F.to_date("month").alias("month"), F.col("raw").cast("int").alias("late"), "n").collect()
+    # one number per month of the calendar and lateness, and usually few words, in one go
+    got = told.limit(TOLD + 1).collect()
+    calendar = got if len(got) <= TOLD else told.where(is_month).collect()
+    calendar = [(r["field"], datetime.date.fromisoformat(r["month"]), None if r["raw"] is None else int(r["raw"]), r["n"]) for r in calendar if r["month"] is not None]
+
+    def written(name: str) -> Fillers:
+        if len(got) <= TOLD:
+            mine = [r["raw"] for r in got if r["field"] == name and r["raw"] is not None]
+            if len(mine) <= LITERALS:
+                return Fillers(mine, None)
+        return Fillers.of(told.where((F.col("field") == name) & F.col("raw").isNotNull()).select("raw"))
+
     out = []
     for p, name in zip(panels, months):
-        mine = [r for r in calendar if r["field"] == name]
+        mine = [r[1:] for r in calendar if r[0] == name]
         by_month: dict = {}
-        for r in mine:
-            by_month[r["month"]] = by_month.get(r["month"], 0) + r["n"]
+        for m, _, n in mine:
+            by_month[m] = by_month.get(m, 0) + n
         lo, hi = span_of_months(list(by_month.items()))
         lates: dict[int, int] = {}
-        for r in mine:
-            if r["late"] is not None and lo <= r["month"] <= hi:
-                lates[r["late"]] = lates.get(r["late"], 0) + r["n"]
-        words = {c: Fillers.of(told.where((F.col("field") == f"{p.name}.{c}") & F.col("raw").isNotNull()).select("raw")) for c in p.categories}
+        for m, late, n in mine:
+            if late is not None and lo <= m <= hi:
+                lates[late] = lates.get(late, 0) + n
+        words = {c: written(f"{p.name}.{c}") for c in p.categories}
         out.append(Profile(numbers, words, (lo, hi), min(lates, key=lambda k: (-lates[k], k), default=None)))
     return out
 
