@@ -45,6 +45,13 @@ def _digits(c: str, n: int = 9) -> str:
     return f"CASE WHEN ({c}) = 0 THEN 0 ELSE round(({c}) / pow(10.0, floor(log10(abs({c}))) - {n - 1})) * pow(10.0, floor(log10(abs({c}))) - {n - 1}) END"
 
 
+def rounded(c, n: int):
+    """A number to ``n`` decimals as SQL rounds it: the half is one of the number times 10^n, not of its decimals; what isn't finite, before or after, stays."""
+    scaled = c * 10.0**n
+    r = F.signum(scaled) * F.round(F.abs(scaled)) / 10.0**n
+    return F.when(F.abs(r) < float("inf"), r).otherwise(c)
+
+
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.count(F.lit(1)).cast("double").alias("order_count"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
     line = table(spark, folder, "lineitem").groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("month")).agg(
@@ -129,7 +136,7 @@ def load_accounts(spark, folder):
   round(driver_value * coalesce(denorm, 1), 6) AS value FROM drivers"""
 )
 def load_drivers(spark, folder):
-    return panel.load_drivers(table(spark, folder, "drivers")).withColumn("value", F.round("value", 6))
+    return panel.load_drivers(table(spark, folder, "drivers")).withColumn("value", rounded(F.col("value"), 6))
 
 
 @_query(

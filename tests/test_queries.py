@@ -70,3 +70,16 @@ def test_joint_ranking_and_tuning_leave_out_no_account_and_no_method(spark, monk
     assert {r.account for r in q["ranking_joint"](spark, FOLDER).select("account").distinct().collect()} == {"order_count", "revenue", "gross", "discount", "net"}
     got = {(r.account, r.method) for r in q["account_tuning"](spark, FOLDER).select("account", "method").distinct().collect()}
     assert {m for _, m in got} == {m for m, k in forecasting.MODELS.items() if k.ranges} and len(got) == 5 * len({m for _, m in got})
+
+
+def test_load_drivers_equals_its_sql_on_odd_values(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    values = [(nan, None), (nan, 0.01), (None, 2.0), (1.5, nan), (inf, None), (-inf, 0.01), (inf, 0.0), (1e305, None), (-1e30, None), (-1e-7, None), (8.0880055, 1.0), (-8.367897, 0.5), (4.3325, 0.001), (-1.15895, 0.01), (1e15 + 0.3, None)]
+    rows = [("2020-01-01", f"d{i}", "c", *v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "date string, driver_unique_name string, driver_classification string, driver_value double, denorm double").write.parquet(str(tmp_path / "drivers.parquet"))
+    bits = lambda v: v if v is None else "nan" if v != v else float.hex(v)  # noqa: E731  (NaN and null are told apart, nothing is rounded)
+    got = {r.driver: bits(r.value) for r in core.queries()["load_drivers"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW drivers AS SELECT * FROM '{tmp_path}/drivers.parquet/*.parquet'")
+    assert got == {d: bits(v) for d, v in c.execute(f"SELECT driver, value FROM ({core.oracle_sql()['load_drivers']})").fetchall()}
+    assert got["d0"] == got["d1"] == "nan" and got["d2"] is None
